@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankstead.functions.text import folded
-from rankstead.llm import dedup, overlap, splits, terms, tokenizer
+from rankstead.llm import dedup, leakage, overlap, residue, splits, terms, tokenizer
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -117,9 +117,49 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.col("text").alias("was")).join(back, "doc_id").select("doc_id", (F.coalesce("was", F.lit("")) == F.col("text")).alias("same"))
 
 
+# Problem 8
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_table(spark, d, "documents"), "doc_id", "text", _table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs whose nearest windows, of twelve words, are equal."""
+    return _leaks(spark, d).filter("edits = 0").select("item_id", "doc_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each item with the number of documents that repeat a window of it exactly."""
+    found = _leaks(spark, d).filter("edits = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return _table(spark, d, "eval_items").select("item_id", "suite", "split").join(found, "item_id", "left").fillna(0, ["n_docs"])
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs with windows within two edits, with the fewest edits found."""
+    return _leaks(spark, d)
+
+
+# Problem 9
+def _residue(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(_table(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).filter("kind IS NOT NULL").select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return _residue(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+def p9_boilerplate(spark: SparkSession, d: str) -> DataFrame:
+    """Recurrent lines of each host, one per row."""
+    plates = residue.boilerplate(_table(spark, d, "documents"), "doc_id", "text", "source")
+    return plates.select("host", F.explode("lines").alias("line"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p6_found, p6_counts, p6_words, p7_ids, p7_round_trip)
+    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p6_found, p6_counts, p6_words, p7_ids, p7_round_trip, p8_found, p8_items, p8_near, p9_found, p9_kinds, p9_boilerplate)
 }
 
 _CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
@@ -139,6 +179,9 @@ _NEAR = f"""
     near AS (SELECT test_id, fold_set, train_id, source, hamming(e.p, t.p) AS h FROM e JOIN t ON length(e.p) = length(t.p) AND hamming(e.p, t.p) <= 2)"""
 _COUNTS = f"WITH c AS (SELECT {_FOLD} AS peptide, count(*) AS n FROM atlas_labelled WHERE peptide IS NOT NULL GROUP BY 1)"
 
+_RUNS = "SELECT {0}, list_aggregate(w[k:k + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1}))"
+_SHARED = f"""WITH shared AS (SELECT DISTINCT item_id, doc_id FROM ({_RUNS.format('item_id', 'eval_items')}) JOIN ({_RUNS.format('doc_id', 'documents')}) USING (g))"""
+
 SQL = {
     "p3_found": f"{_CLASSES} SELECT src_table, first_id, row_id AS copy_id FROM c WHERE row_id > first_id",
     "p3_records": f"{_CLASSES} SELECT src_table, first_id, count(*) AS n_copies FROM c GROUP BY ALL",
@@ -160,5 +203,8 @@ SQL = {
     "p6_words": """
         WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM documents)
         SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM t GROUP BY term""",
+    "p8_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
+    "p8_items": f"""{_SHARED} SELECT e.item_id, e.suite, e.split, count(s.doc_id) AS n_docs FROM eval_items e LEFT JOIN shared s USING (item_id)
+        GROUP BY ALL""",
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
 }

@@ -91,11 +91,12 @@ class Transducer:
         # The next tokens start no earlier than the longest suffix that still begins a token; what all prefixes from there
         # on share is final.
         reach = next((k for k in range(min(self.longest - 1, n), 0, -1) if data[n - k :] in self.prefixes), 0)
-        chains = [set(self._chain(lasts, q)) for q in range(n - reach, n + 1)]
-        cut = max(set.intersection(*chains))
+        shared = set(self._chain(lasts, n))
+        for q in range(n - reach, n):
+            shared &= set(self._chain(lasts, q))
+        cut = max(shared)
         out = tuple(lasts[p - 1] for p in reversed(self._chain(lasts, cut)[:-1]))
-        used = set().union(*chains)  # no later token can follow a prefix that isn't on any of these ways
-        new = (out[-1] if out else before, data[cut:], tuple(lasts[p - 1] if p in used else -1 for p in range(cut + 1, n + 1)))
+        new = (out[-1] if out else before, data[cut:], lasts[cut:])
         at = self.index.get(new)
         if at is None:
             at = self.index[new] = len(self.states)
