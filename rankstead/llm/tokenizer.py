@@ -40,30 +40,59 @@ class Transducer:
         self.longest = max(map(len, ranks), default=1)
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}  # proper ones
         self._follows: dict[tuple[int, int], bool] = {}
+        self._built: dict[int, tuple[list[int], list[int], tuple[int, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: the last token put out (-1: none), the bytes since, and the last token of each prefix of these.
-        self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
+        # A state: the last token put out (-1: none), the bytes since, the last token of each prefix of these, and how many
+        # of the last bytes begin some token.
+        self.states: list[tuple[int, bytes, tuple[int, ...], int]] = [(-1, b"", (), 0)]
         self.index = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
 
-    def _merged(self, data: bytes) -> list[int]:
-        """Plain BPE of a few bytes, to settle which tokens may follow each other."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) + 1_000_000), i) for i in range(len(parts) - 1))
-            if parts[at] + parts[at + 1] not in self.ranks:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+    def _ends(self, token: int) -> tuple[list[int], list[int], tuple[int, int]]:
+        """How BPE builds a token: the symbols at its left and right end as they come to be, and the last two parts."""
+        known = self._built.get(token)
+        if known is None:
+            data, ranks = self.bytes_of[token], self.ranks
+            parts = [data[i : i + 1] for i in range(len(data))]
+            lefts, rights, split = [ranks[parts[0]]], [ranks[parts[-1]]], (-1, -1)
+            while len(parts) > 1:
+                rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                split = (ranks[parts[at]], ranks[parts[at + 1]])
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                if at == 0:
+                    lefts.append(rank)
+                if at == len(parts) - 1:
+                    rights.append(rank)
+            known = self._built[token] = (lefts, rights, split)
+        return known
 
     def follows(self, a: int, b: int) -> bool:
+        """Whether BPE gives just ``a`` and ``b`` for their joined bytes: no merge crosses the border.
+
+        A symbol at the border is there until the merge that takes it in. A crossing merge happens if it comes before both
+        of these; of equal merges the one further left is first.
+        """
         known = self._follows.get((a, b))
-        if known is None:
-            known = self._follows[a, b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if known is not None:
+            return known
+        rights, lefts, ranks, bytes_of = self._ends(a)[1], self._ends(b)[0], self.ranks, self.bytes_of
+        known = True
+        for i, x in enumerate(rights):
+            x_until = rights[i + 1] if i + 1 < len(rights) else 1 << 60
+            for j, y in enumerate(lefts):
+                made = ranks.get(bytes_of[x] + bytes_of[y])
+                if made is not None and made < x_until and (j + 1 == len(lefts) or made <= lefts[j + 1]) and self._ends(made)[2] == (x, y):
+                    known = False
+                    break
+            if not known:
+                break
+        self._follows[a, b] = known
         return known
 
     def _chain(self, lasts: tuple[int, ...], at: int) -> list[int]:
@@ -75,11 +104,12 @@ class Transducer:
         return places
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, held, lasts = self.states[state]
+        before, held, lasts, begun = self.states[state]
         data = held + bytes((byte,))
         n = len(data)
-        for size in range(min(self.longest, n), 0, -1):
-            token = self.ranks.get(data[n - size :])
+        ranks = self.ranks
+        for size in range(begun + 1, 0, -1):
+            token = ranks.get(data[n - size :])
             if token is None:
                 continue
             left = lasts[n - size - 1] if n > size else before
@@ -90,13 +120,16 @@ class Transducer:
         lasts = (*lasts, token)
         # The next tokens start no earlier than the longest suffix that still begins a token; what all prefixes from there
         # on share is final.
-        reach = next((k for k in range(min(self.longest - 1, n), 0, -1) if data[n - k :] in self.prefixes), 0)
-        shared = set(self._chain(lasts, n))
-        for q in range(n - reach, n):
-            shared &= set(self._chain(lasts, q))
-        cut = max(shared)
+        reach = next((k for k in range(begun + 1, 0, -1) if data[n - k :] in self.prefixes), 0)
+        ways = set(range(n - reach, n + 1))
+        while len(ways) > 1:  # go back from the farthest place until all ways have met
+            at = max(ways)
+            ways.remove(at)
+            ways.add(at - len(self.bytes_of[lasts[at - 1]]))
+        cut = ways.pop()
         out = tuple(lasts[p - 1] for p in reversed(self._chain(lasts, cut)[:-1]))
-        new = (out[-1] if out else before, data[cut:], lasts[cut:])
+        # The token before the cut matters only as long as one may start there.
+        new = ((out[-1] if out else before) if cut == n - reach else -1, data[cut:], lasts[cut:], reach)
         at = self.index.get(new)
         if at is None:
             at = self.index[new] = len(self.states)
@@ -105,7 +138,7 @@ class Transducer:
         return made
 
     def _end(self, state: int) -> tuple[int, ...]:
-        _, held, lasts = self.states[state]
+        _, held, lasts, _ = self.states[state]
         made = self.ends[state] = tuple(lasts[p - 1] for p in reversed(self._chain(lasts, len(held))[:-1]))
         return made
 
