@@ -19,7 +19,6 @@ def normalize_key(c: Column | str) -> Column:
     colon = F.regexp_extract(bare, r"^[A-Z]+(\d+):(\d+)", 1)
     second = F.regexp_extract(bare, r"^[A-Z]+(\d+):(\d+)", 2)
     digits = F.regexp_extract(bare, r"^[A-Z]+(\d{4})", 1)
-    with_colon = F.concat(F.lit("HLA-"), locus, F.lit("*"), F.lpad(colon, 2, "0"), F.lit(":"), F.lpad(second, 2, "0"))
     # lpad cuts longer fields, so three-digit fields are taken as they are
     field = lambda x: F.when(F.length(x) >= 2, x).otherwise(F.lpad(x, 2, "0"))
     with_colon = F.concat(F.lit("HLA-"), locus, F.lit("*"), field(colon), F.lit(":"), field(second))
@@ -30,7 +29,7 @@ def normalize_key(c: Column | str) -> Column:
 def normalize_key_strict(c: Column | str) -> Column:
     """Strict: loci A, B and C only; all digits after the first two make the second field; anything else is null."""
     t = F.regexp_replace(F.regexp_replace(F.upper(F.trim(_c(c))), r"^HLA-", ""), r"[*:]", "")
-    ok = t.rlike(r"^[ABC][0-9]{4,}$")
+    ok = t.rlike(r"^[ABC][0-9]{4,}\z")
     return F.when(ok, F.concat(F.lit("HLA-"), F.substring(t, 1, 1), F.lit("*"), F.substring(t, 2, 2), F.lit(":"), F.substring(t, 4, 100)))
 
 
@@ -86,9 +85,9 @@ def fold_name_parts(c: Column | str) -> Column:
 def variant_note(c: Column | str) -> Column:
     """``seedK_p<pos><aa>``: struct of seed, position, aa; a bare ``seedK`` has null position and letter."""
     n = _c(c)
-    pos = F.regexp_extract(n, r"_p(\d+)([A-Z])$", 1)
+    pos = F.regexp_extract(n, r"_p(\d+)([A-Z])\z", 1)
     return F.struct(
         F.nullif(F.regexp_extract(n, r"^(seed\d+)", 1), F.lit("")).alias("seed"),
         F.try_to_number(F.nullif(pos, F.lit("")), F.lit("99999")).cast("int").alias("position"),
-        F.nullif(F.regexp_extract(n, r"_p(\d+)([A-Z])$", 2), F.lit("")).alias("aa"),
+        F.nullif(F.regexp_extract(n, r"_p(\d+)([A-Z])\z", 2), F.lit("")).alias("aa"),
     )

@@ -20,7 +20,7 @@ def letters(c: Column | str) -> Column:
 
 
 def is_valid(c: Column | str, alphabet: str = AMINO_ACIDS) -> Column:
-    return _c(c).rlike(f"^[{alphabet}]+$")
+    return _c(c).rlike(rf"^[{alphabet}]+\z")
 
 
 def mismatches(a: Column | str, b: Column | str) -> Column:
@@ -52,8 +52,6 @@ def within(a: Column | str, b: Column | str, most: int | Column) -> Column:
 def encode(c: Column | str, length: int, alphabet: str = AMINO_ACIDS) -> Column:
     """Array of ``length`` integers: place in the alphabet from 1, UNKNOWN for other letters, PAD after the end."""
     t = F.upper(F.substring(_c(c), 1, length))
-    code = lambda x: F.when(x == " ", PAD).when(F.instr(F.lit(alphabet), x) > 0, F.locate(x, F.lit(alphabet))).otherwise(UNKNOWN)
-    del code
     table = F.create_map(*[v for i, a in enumerate(alphabet, 1) for v in (F.lit(a), F.lit(i))])
     known = F.transform(letters(t), lambda x: F.coalesce(F.try_element_at(table, x), F.lit(UNKNOWN)))
     return F.concat(known, F.array_repeat(F.lit(PAD), F.lit(length) - F.size(known)))

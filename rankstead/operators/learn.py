@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankstead.operators.ranking import hash_order, zscore
+from rankstead.operators.ranking import hash_order, with_zscore
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -37,8 +37,8 @@ def _fold_rows(df: DataFrame, group: str, key: list[str], label: str, features:
     The number of groups multiplies the rows; both are small for an evaluation set, whose groups are a stated list.
     """
     slim = df.select(group, *key, F.col(label).cast("int").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    groups = slim.agg(F.sort_array(F.collect_set(group)).alias("_gs"))  # one row
-    return slim.join(F.broadcast(groups)).withColumn("_fold", F.explode("_gs")).drop("_gs")
+    groups = slim.agg(F.sort_array(F.collect_set(group)).alias("_gs")).scalar()
+    return slim.withColumn("_gs", groups).withColumn("_fold", F.explode("_gs")).drop("_gs")
 
 
 def logo_predictions(df: DataFrame, group: str, key: list[str], label: str, features: list[str], c: float = 1.0, components: int | None = None) -> DataFrame:
@@ -91,8 +91,8 @@ def logistic_coefficients(df: DataFrame, label: str, features: list[str], c: flo
 def gated(df: DataFrame, group: list[str], a: str, b: str, gate: str) -> DataFrame:
     """Features of the gated model: both scores standardised by group, and each times the gate or its complement."""
     g = F.col(gate)
-    za, zb = zscore(a, group), zscore(b, group)
-    return df.withColumns({"za": za, "zb": zb}).withColumns({"ga": F.col("za") * g, "gb": F.col("zb") * (F.lit(1.0) - g)})
+    both = with_zscore(with_zscore(df, a, group, "za"), b, group, "zb")
+    return both.withColumns({"ga": F.col("za") * g, "gb": F.col("zb") * (F.lit(1.0) - g)})
 
 
 def shuffled_gate(df: DataFrame, gate: str, key: list[str], seed: int, group: list[str] = ()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact, tie-aware ranking metrics, per group.
 
 Every metric starts from the *level table*: one row per (group, distinct score) with its rows and positives. It is a
-combinable aggregation, so ties and repeated scores shrink before the shuffle, and the windows that follow run over levels
-instead of rows. Rows with a null score or label don't count. A metric that needs both classes is null where one is absent.
+combinable aggregation, so ties and repeated scores shrink before the shuffle; what follows runs over levels instead of rows
+and is spread over the cluster even for one huge group. Rows with a null score or label don't count. A metric that needs both classes is null where one is absent.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankstead.operators.skew import running_totals
+
 
 def level_table(df: DataFrame, label: Column | str, score: Column | str, group: list[str] = ()) -> DataFrame:
     """``group``, ``s`` (score), ``nn`` (rows), ``pp`` (positives) per distinct score of a group."""
@@ -20,10 +22,12 @@ def level_table(df: DataFrame, label: Column | str, score: Column | str, group:
 
 
 def _cumulated(levels: DataFrame, group: list[str]) -> DataFrame:
-    """Levels from the highest score down, with running rows ``cn`` and positives ``cp`` and totals ``n``, ``p``."""
-    down = Window.partitionBy(*group).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    return levels.withColumns({"cn": F.sum("nn").over(down), "cp": F.sum("pp").over(down), "n": F.sum("nn").over(whole), "p": F.sum("pp").over(whole)})
+    """Levels from the highest score down, with running rows ``cn`` and positives ``cp`` and totals ``n``, ``p``.
+
+    A group, or the whole table, may have any number of distinct scores: see :func:`rankstead.operators.skew.running_totals`.
+    """
+    down = levels.withColumn("_down", -F.col("s"))
+    return running_totals(down, list(group), ["_down"], {"cn": F.col("nn"), "cp": F.col("pp")}, {"n": F.col("nn"), "p": F.col("pp")}).drop("_down")
 
 
 def _grouped(df: DataFrame, group: list[str], *aggs: Column) -> DataFrame:

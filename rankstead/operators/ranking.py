@@ -9,70 +9,97 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankstead.operators.skew import running_totals
+from rankstead.operators.weighted import compress_values, per_key_percentiles
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def average_rank(score: Column | str, group: list[str] = (), also: list[str] = ()) -> Column:
-    """Average rank (ties share the mean of their ranks) of ``score`` within ``group`` and ``also``."""
+    """Average rank (ties share the mean of their ranks) of ``score`` within groups that fit a task; else :func:`ranked`."""
     keys = [*group, *also]
     by = Window.partitionBy(*keys).orderBy(col(score))
     ties = Window.partitionBy(*keys, col(score))
     return F.when(col(score).isNotNull(), F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0))
 
 
-def ranked(df: DataFrame, score: str, group: list[str] = (), name: str = "rank") -> DataFrame:
-    """Add the average rank among the rows with a score; null scores get a null rank and don't shift the others.
+def ranked(df: DataFrame, score: str, group: list[str] = (), name: str = "rank", share: str | None = None) -> DataFrame:
+    """Add the average rank among the rows with a score (and, as ``share``, that rank over their number).
 
-    The window runs over (group, score) counts instead of rows, so that ties cost nothing and a group's task holds only its
-    distinct scores.
+    Null scores get null and don't shift the others. Works on (group, score) counts that are summed over the cluster, so a
+    group, or the table, may have any size.
     """
     keys = list(group)
     levels = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    table = levels.withColumn(name, F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / F.lit(2.0)).drop("_n")
-    right = table.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, score]})
+    upto = running_totals(levels, keys, [score], {"_upto": F.col("_n")}, {"_all": F.col("_n")})
+    table = upto.withColumn(name, F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0))
+    if share:
+        table = table.withColumn(share, F.col(name) / F.col("_all"))
+    right = table.drop("_n", "_upto", "_all").withColumnsRenamed({k: f"_r_{k}" for k in [*keys, score]})
     same = F.col(score) == F.col(f"_r_{score}")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
     return df.join(right, same, "left").drop(*[f"_r_{k}" for k in [*keys, score]])
 
 
-def zscore(score: Column | str, group: list[str] = (), population: bool = False) -> Column:
-    """Standard score within the group, by the sample (or population) deviation; null where that is 0 or undefined."""
-    w = Window.partitionBy(*group)
-    sd = (F.stddev_pop if population else F.stddev_samp)(col(score)).over(w)
-    return (col(score) - F.avg(col(score)).over(w)) / F.nullif(sd, F.lit(0.0))
+def with_group_stats(df: DataFrame, group: list[str], stats: dict[str, Column]) -> DataFrame:
+    """Add aggregates of each group (of all rows, without one) to its rows. One row per group is joined back."""
+    keys = list(group)
+    if not keys:
+        one = df.agg(F.struct(*[c.alias(n) for n, c in stats.items()]).alias("s")).scalar()
+        return df.withColumn("_s", one).withColumns({n: F.col(f"_s.{n}") for n in stats}).drop("_s")
+    table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]).withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(table, same).drop(*[f"_r_{k}" for k in keys])
+
 
+def with_zscore(df: DataFrame, score: str, group: list[str] = (), name: str = "z", population: bool = False) -> DataFrame:
+    """Add the standard score within the group, by the sample (or population) deviation; null where that is 0 or undefined."""
+    sd = (F.stddev_pop if population else F.stddev_samp)(score)
+    t = with_group_stats(df, list(group), {"_mean": F.avg(score), "_sd": sd})
+    return t.withColumn(name, (F.col(score) - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))).drop("_mean", "_sd")
 
-def percent_rank_average(score: Column | str, group: list[str] = ()) -> Column:
-    """Average rank divided by the number of scores of the group."""
-    return average_rank(score, group) / F.count(col(score)).over(Window.partitionBy(*group))
 
+def with_rank_average(df: DataFrame, scores: list[str], group: list[str] = (), name: str = "mean_rank") -> DataFrame:
+    """Add the mean over several scores of their average rank divided by the number of scores."""
+    out = df
+    for i, s in enumerate(scores):
+        out = ranked(out, s, group, f"_a{i}", f"_p{i}").drop(f"_a{i}")
+    total = sum((F.col(f"_p{i}") for i in range(len(scores))), F.lit(0.0))
+    return out.withColumn(name, total / F.lit(float(len(scores)))).drop(*[f"_p{i}" for i in range(len(scores))])
 
-def rank_average(scores: list[str], group: list[str] = ()) -> Column:
-    """Mean over several scores of their average rank divided by the number of rows."""
-    total = sum((percent_rank_average(s, group) for s in scores), F.lit(0.0))
-    return total / F.lit(float(len(scores)))
 
+def with_percentile_of_score(df: DataFrame, score: str, group: list[str] = (), name: str = "pct") -> DataFrame:
+    """Add the share of the group's scores that are strictly lower, in percent."""
+    keys = list(group)
+    levels = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_totals(levels, keys, [score], {"_upto": F.col("_n")}, {"_all": F.col("_n")})
+    table = upto.withColumn(name, (F.col("_upto") - F.col("_n")) / F.col("_all") * F.lit(100.0)).drop("_n", "_upto", "_all")
+    right = table.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, score]})
+    same = F.col(score) == F.col(f"_r_{score}")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return df.join(right, same, "left").drop(*[f"_r_{k}" for k in [*keys, score]])
 
-def percentile_of_score(score: Column | str, group: list[str] = ()) -> Column:
-    """Share of the group's rows with a strictly lower score, in percent."""
-    by = Window.partitionBy(*group).orderBy(col(score))
-    return (F.rank().over(by) - 1) / F.count(F.lit(1)).over(Window.partitionBy(*group)) * F.lit(100.0)
 
+def mad_gate(df: DataFrame, score: str, group: str, name: str = "gate") -> DataFrame:
+    """Add ``1 / (1 + |x - median| / MAD)`` within the group; 0.5 where the MAD is 0 or the score null.
 
-def rank_gap(a: str, b: str, group: list[str] = ()) -> Column:
-    return average_rank(a, group) - average_rank(b, group)
+    Both medians come from weighted values (:mod:`rankstead.operators.weighted`), so no group is gathered anywhere.
+    """
 
+    def medians(t: DataFrame, value: str, out: str) -> DataFrame:
+        m = per_key_percentiles(compress_values(t, group, value), [0.5]).select(F.col("key").alias("_k"), F.col("p0").alias(out))
+        return t.join(m, F.col(group).eqNullSafe(F.col("_k")), "left").drop("_k")
 
-def mad_gate(df: DataFrame, score: str, group: list[str] = (), name: str = "gate") -> DataFrame:
-    """``1 / (1 + |x - median| / MAD)`` within the group; 0.5 where the MAD is 0 or the score null."""
-    w = Window.partitionBy(*group)
-    off = df.withColumn("_off", F.abs(F.col(score) - F.median(score).over(w)))
-    gate = F.lit(1.0) / (F.lit(1.0) + F.col("_off") / F.nullif(F.median("_off").over(w), F.lit(0.0)))
-    return off.withColumn(name, F.coalesce(gate, F.lit(0.5))).drop("_off")
+    off = medians(df.withColumn("_x", F.col(score).cast("double")), "_x", "_med").withColumn("_off", F.abs(F.col("_x") - F.col("_med")))
+    both = medians(off, "_off", "_mad")
+    gate = F.lit(1.0) / (F.lit(1.0) + F.col("_off") / F.nullif(F.col("_mad"), F.lit(0.0)))
+    return both.withColumn(name, F.coalesce(gate, F.lit(0.5))).drop("_x", "_med", "_off", "_mad")
 
 
 def entropy_gate(x: Column | str) -> Column:
@@ -82,17 +109,11 @@ def entropy_gate(x: Column | str) -> Column:
     return F.lit(1.0) + p * F.log2(p) + q * F.log2(q)
 
 
-def minmax_gate(x: Column | str, group: list[str] = ()) -> Column:
-    """``1 - (x - min) / (max - min)``; 0.5 where all values are equal."""
-    w = Window.partitionBy(*group)
-    lo, hi = F.min(col(x)).over(w), F.max(col(x)).over(w)
-    return F.when(hi == lo, F.lit(0.5)).otherwise(F.lit(1.0) - (col(x) - lo) / F.nullif(hi - lo, F.lit(0.0)))
-
-
-def first_seen_ids(df: DataFrame, key: list[str], order: str, name: str = "cluster") -> DataFrame:
-    """Number distinct keys from 0 by their first row in ``order``: ``key`` columns and ``name``."""
-    firsts = df.groupBy(*key).agg(F.min(order).alias("_first"))
-    return firsts.withColumn(name, F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
+def with_minmax_gate(df: DataFrame, x: str, group: list[str] = (), name: str = "gate") -> DataFrame:
+    """Add ``1 - (x - min) / (max - min)``; 0.5 where all values are equal."""
+    t = with_group_stats(df, list(group), {"_lo": F.min(x), "_hi": F.max(x)})
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return t.withColumn(name, F.when(hi == lo, F.lit(0.5)).otherwise(F.lit(1.0) - (F.col(x) - lo) / F.nullif(hi - lo, F.lit(0.0)))).drop("_lo", "_hi")
 
 
 def top_k(df: DataFrame, k: int | Column, group: list[str], order: list[Column]) -> DataFrame:

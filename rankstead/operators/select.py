@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rankstead.functions.sequence import AMINO_ACIDS, letters, mosaic, substitute
 from rankstead.operators.ranking import hash_order, top_k
+from rankstead.operators.skew import cut_lineage, positions_within
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -65,12 +66,9 @@ def hamming_clusters(df: DataFrame, group: str, seq: str, identity: float = 0.8)
 
 
 def _numbered(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Number the distinct ``keys`` from 0 in sorted order: counts per group first, then row numbers within."""
-    distinct = placed.select(*keys).distinct()
-    inside = distinct.withColumn("_rn", F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])))
-    sizes = distinct.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("_n"))  # one row a group
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(keys[0]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    numbers = inside.join(before, keys[0]).withColumn("cluster", F.col("_rn") + F.col("_before") - 1).drop("_rn", "_before")
+    """Number the distinct ``keys`` from 0 in sorted order."""
+    placed = cut_lineage(placed)
+    numbers = positions_within(placed.select(*keys).distinct(), [], keys, name="cluster").withColumn("cluster", F.col("cluster") - 1)
     return placed.join(numbers, keys)
 
 
@@ -91,7 +89,8 @@ def greedy_clusters(df: DataFrame, seq: str, order: str, identity: float = 0.8)
 
     kind = rows.schema["o"].dataType.simpleString()
     placed = firsts.groupBy("n").applyInPandas(run, f"s string, first {kind}")
-    numbers = placed.select("first").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("first")) - 1)
+    placed = cut_lineage(placed)
+    numbers = positions_within(placed.select("first").distinct(), [], ["first"], name="cluster").withColumn("cluster", F.col("cluster") - 1)
     found = placed.join(numbers, "first")
     return rows.join(found, "s").select(F.col("o").alias(order), F.col("s").alias(seq), "cluster")
 
@@ -99,13 +98,13 @@ def greedy_clusters(df: DataFrame, seq: str, order: str, identity: float = 0.8)
 def exact_clusters(df: DataFrame, key: list[str], order: str) -> DataFrame:
     """``key`` columns and ``cluster``: equal keys share a number, given by first appearance in ``order``."""
     firsts = df.groupBy(*key).agg(F.min(order).alias("_first"))
-    return firsts.withColumn("cluster", F.row_number().over(Window.orderBy("_first", *key)) - 1).drop("_first")
+    return positions_within(firsts, [], ["_first", *key], name="cluster").withColumn("cluster", F.col("cluster") - 1).drop("_first")
 
 
 def cluster_holdout(clusters: DataFrame, share: float = 0.2, seed: int = 42, cluster: str = "cluster") -> DataFrame:
     """Add ``held_out``: true for ``max(1, round(n * share))`` whole clusters, drawn by hash order."""
     ids = clusters.select(cluster).distinct()
-    drawn = ids.withColumn("_rn", F.row_number().over(Window.orderBy(hash_order(seed, cluster), cluster)))
+    drawn = positions_within(ids.withColumn("_h", hash_order(seed, cluster)), [], ["_h", cluster], name="_rn")
     n = ids.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(share))).alias("k")).scalar()
     held = drawn.filter(F.col("_rn") <= n).select(cluster).withColumn("held_out", F.lit(True))
     return clusters.join(held, cluster, "left").fillna(False, ["held_out"])
@@ -118,7 +117,7 @@ def grouped_folds(clusters: DataFrame, k: int, cluster: str = "cluster") -> Data
     and their folds are dealt by rank.
     """
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.partitionBy("_size").orderBy(cluster)))
+    ranked = positions_within(sizes, ["_size"], [cluster], name="_rank")
     heap = [(0, f) for f in range(k)]
     dealt = []
     for r in sizes.groupBy("_size").count().orderBy(F.desc("_size")).collect():
@@ -126,7 +125,7 @@ def grouped_folds(clusters: DataFrame, k: int, cluster: str = "cluster") -> Data
             rows, f = heapq.heappop(heap)
             dealt.append((r["_size"], i + 1, f))
             heapq.heappush(heap, (rows + r["_size"], f))
-    table = clusters.sparkSession.createDataFrame(dealt, "_size bigint, _rank int, fold int")
+    table = clusters.sparkSession.createDataFrame(dealt, "_size bigint, _rank bigint, fold int")
     return clusters.join(ranked.join(table, ["_size", "_rank"]).select(cluster, "fold"), cluster)
 
 
@@ -184,16 +183,20 @@ def spread_pick(df: DataFrame, group: list[str], key: str, value: str, k: int) -
 def pool_negatives(positives: DataFrame, group: str, seq: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """Per (group, length), ``round(n * ratio)`` sequences of the same length that are positives of other groups only.
 
-    Drawn by hash order, so the number falls short only where the pool does. A candidate is looked for among a bounded
-    sample of the pool in an order of its own for every group: enough candidates are taken that the group's positives, which
-    are ruled out, can't exhaust them.
+    The pool of each length is put in hash order and numbered over the cluster. A group reads it from a start of its own,
+    only as far as it needs: its own positives, which are ruled out, are fewer than it has, so ``k`` plus their number of
+    places always suffice, and the draw falls short only where the pool is exhausted. The work is linear in the positives.
     """
     pos = positives.select(F.col(group).alias("g"), F.col(seq).alias("s")).dropna().distinct().withColumn("n", F.length("s"))
     need = pos.groupBy("g", "n").agg(F.count(F.lit(1)).alias("own"), F.bround(F.count(F.lit(1)) * F.lit(ratio)).cast("bigint").alias("k"))
-    pool = pos.select("s", "n").distinct()
-    cand = need.join(pool, "n").join(pos.select("g", "s"), ["g", "s"], "left_anti")
-    w = Window.partitionBy("g", "n").orderBy(hash_order(seed, "g", "s"), "s")
-    drawn = cand.withColumn("_rn", F.row_number().over(w)).filter("_rn <= k")
+    pool = cut_lineage(positions_within(pos.select("s", "n").distinct().withColumn("_h", hash_order(seed, "s")), ["n"], ["_h", "s"], name="at").drop("_h"))
+    sizes = pool.groupBy("n").agg(F.count(F.lit(1)).alias("size"))
+    start = F.conv(F.substring(hash_order(seed, "g"), 1, 8), 16, 10).cast("bigint")
+    steps = F.least(F.col("size"), F.col("k") + F.col("own"))
+    cand = need.join(sizes, "n").select("g", "n", "k", "size", start.alias("_from"), F.explode(F.sequence(F.lit(0), steps - 1)).alias("step"))
+    cand = cand.withColumn("at", F.pmod(F.col("_from") + F.col("step"), F.col("size")) + 1)
+    free = cand.join(pool, ["n", "at"]).join(pos.select("g", "s"), ["g", "s"], "left_anti").select("g", "n", "k", "s", "step")
+    drawn = positions_within(free, ["g", "n"], ["step"]).filter("position <= k")
     return drawn.select(F.col("g").alias(group), F.col("s").alias(seq), F.lit(0).alias("label"), F.col("n").alias("length"))
 
 
@@ -226,12 +229,11 @@ def saturation_variants(df: DataFrame, key: list[str], seq: str, alphabet: str =
     return wt.unionByName(each.select(*key, "position", "aa", substitute("_s", "position", "aa").alias("variant")))
 
 
-def coalitions(df: DataFrame, key: list[str], seq: str, background: DataFrame, length: int) -> DataFrame:
+def coalitions(df: DataFrame, key: list[str], seq: str, background: list[str], length: int) -> DataFrame:
     """All 2^length mixtures of each sequence with each background: ``key``, ``mask``, ``variant``. Bit i: place i + 1 kept."""
     masks = df.filter(F.length(seq) == length).select(*key, F.col(seq).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(2**length - 1))).alias("mask"))
-    back = background.select(F.col(background.columns[0]).alias("_b")).filter(F.length("_b") == length)
-    bs = F.broadcast(back.agg(F.collect_list("_b").alias("_bs")))  # the background is a parameter of a few sequences
-    return masks.join(bs).select(*key, "mask", F.explode("_bs").alias("_b"), "_s").select(*key, "mask", mosaic("_s", "_b", "mask").alias("variant"))
+    back = F.array(*[F.lit(b) for b in background if len(b) == length])
+    return masks.select(*key, "mask", "_s", F.explode(back).alias("_b")).select(*key, "mask", mosaic("_s", "_b", "mask").alias("variant"))
 
 
 def shapley(values: DataFrame, key: list[str], mask: str, value: str, length: int) -> DataFrame:

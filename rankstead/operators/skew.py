@@ -2,14 +2,15 @@
 
 * :func:`cut_lineage` materialises a frame in the cluster's shared checkpoint folder.
 * :func:`lookup_skew_safe` joins rows to a table with unique keys although a key may hold a third of the rows.
-* :func:`positions_within` numbers rows inside groups of any size with a range sort and per-partition offsets.
+* :func:`running_totals` and :func:`positions_within` sum and number rows inside groups of any size, by a range sort and
+  per-partition offsets.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with at least this share of the rows is hot, so there are at most 1 / HOT_SHARE hot keys.
@@ -48,26 +49,34 @@ def lookup_skew_safe(
     )
 
 
-def positions_within(df: DataFrame, group: list[str], order: list[str], weight: str | None = None, name: str = "position") -> DataFrame:
-    """Add the 1-based position of each row in its group by ``order`` (with ``weight``: the running weight).
+def running_totals(df: DataFrame, group: list[str], order: list[str], totals: dict[str, Column], final: dict[str, Column] | None = None) -> DataFrame:
+    """Add running sums of ``totals`` over each group in ``order``, the row itself included, and sums ``final`` of the group.
 
-    Rows are range-partitioned by group and order, so a huge group spans many partitions. Totals per (partition, group)
-    are one row each, and their running sum gives the offset of every piece; no window ever spans a whole group.
-    ``order`` must be unique within a group. The result is checkpointed once before the offsets are taken, because a
-    range partitioning that is computed twice may place rows differently.
+    Rows are range-partitioned by group and order, so a huge group spans many partitions. Sums per (partition, group) are
+    one row each; their running sum gives the offset of every piece, and no window ever spans a whole group. ``order``
+    must be unique within a group. The placed rows are checkpointed before the offsets are taken, because a range
+    partitioning that is computed twice may place rows differently.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    w = F.lit(1) if weight is None else F.col(weight)
-    placed = cut_lineage(df.repartitionByRange(int(parts), *group, *order).withColumn("_pid", F.spark_partition_id()))
-    pieces = placed.groupBy(*group, "_pid").agg(F.sum(w).alias("_n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = list(totals)
+    own = df.withColumns({f"_w{i}": c for i, c in enumerate(totals.values())} | {f"_f{i}": c for i, c in enumerate((final or {}).values())})
+    placed = cut_lineage(own.repartitionByRange(parts, *group, *order).withColumn("_pid", F.spark_partition_id()))
+    pieces = placed.groupBy(*group, "_pid").agg(*[F.sum(f"_w{i}").alias(f"_s{i}") for i in range(len(names))], *[F.sum(f"_f{i}").alias(f"_g{i}") for i in range(len(final or {}))])
     before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = pieces.withColumns(
+        {f"_o{i}": F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)) for i in range(len(names))} | {n: F.sum(f"_g{i}").over(Window.partitionBy(*group)) for i, n in enumerate(final or {})}
+    )
     inside = Window.partitionBy("_pid", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    keys = [*group, "_pid"]
-    running = placed.withColumn("_run", F.sum(w).over(inside))
-    same = [running[k].eqNullSafe(offsets[k]) for k in keys]
-    joined = running.join(offsets, _all(same), "inner")
-    return joined.select(*[running[c] for c in df.columns], (F.col("_run") + F.col("_offset")).cast("bigint").alias(name))
+    running = placed.withColumns({f"_r{i}": F.sum(f"_w{i}").over(inside) for i in range(len(names))})
+    right = offsets.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*group, "_pid"])], *[f"_o{i}" for i in range(len(names))], *(final or {}))
+    joined = running.join(right, _all([F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*group, "_pid"])]))
+    return joined.select(*df.columns, *[(F.col(f"_r{i}") + F.col(f"_o{i}")).alias(n) for i, n in enumerate(names)], *(final or {}))
+
+
+def positions_within(df: DataFrame, group: list[str], order: list[str], weight: str | None = None, name: str = "position") -> DataFrame:
+    """Add the 1-based position of each row in its group by ``order`` (with ``weight``: the running weight)."""
+    w = F.lit(1) if weight is None else F.col(weight)
+    return running_totals(df, group, order, {name: w.cast("bigint")})
 
 
 def _all(conditions: list):

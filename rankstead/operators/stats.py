@@ -7,16 +7,16 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankstead.operators.ranking import average_rank
+from rankstead.operators.ranking import ranked
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] = (), name: str = "rho") -> DataFrame:
     """Spearman's rho per group: Pearson's r of average ranks. Rows with a null in x or y don't count."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = both.select(*group, average_rank(x, list(group)).alias("_x"), average_rank(y, list(group)).alias("_y"))
+    ranks = ranked(ranked(both.select(*dict.fromkeys([*group, x, y])), x, list(group), "_x"), y, list(group), "_y")
     return ranks.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias(name))
 
 
@@ -26,7 +26,9 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] = (
     Equal to the correlation of the residuals of the ranks of x and y on those of z.
     """
     whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
-    r = whole.select(*group, *[average_rank(c, list(group)).alias(f"_{i}") for i, c in enumerate((x, y, z))])
+    r = whole.select(*dict.fromkeys([*group, x, y, z]))
+    for i, c in enumerate((x, y, z)):
+        r = ranked(r, c, list(group), f"_{i}")
     c = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_0", "_1").alias("raw_rho"), F.corr("_0", "_2").alias("_xz"), F.corr("_1", "_2").alias("_yz"))
     under = F.sqrt((1 - F.col("_xz") * F.col("_xz")) * (1 - F.col("_yz") * F.col("_yz")))
     return c.withColumn("partial_rho", (F.col("raw_rho") - F.col("_xz") * F.col("_yz")) / F.nullif(under, F.lit(0.0))).select(*group, "n", "raw_rho", "partial_rho", F.col("_xz").alias("rho_x_z"))
@@ -70,7 +72,7 @@ def ols(df: DataFrame, y: str, predictors: dict[str, Column]) -> DataFrame:
     for i, name in enumerate(names):
         se = math.sqrt(max(0.0, (yy - beta @ xy) / free * inv[i, i])) if free > 0 else None
         t = float(beta[i] / se) if se else None
-        rows.append((name, float(beta[i]), se, t, t_two_sided(t, free) if t is not None else None))
+        rows.append((name, float(beta[i]), se, t, float(t_two_sided(t, float(free))) if t is not None else None))
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
 
 
@@ -193,11 +195,6 @@ def poisson_bootstrap(df: DataFrame, label: Column, score: str, key: str, group:
     """
     trial = df.select(*group, label.cast("int").alias("_y"), F.col(score).alias("_s"), F.col(key).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("trial")).filter("_y IS NOT NULL AND _s IS NOT NULL")
     u = (F.pmod(F.xxhash64(F.lit(seed), "trial", "_k"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
-    weight, total, term = F.lit(8), 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        term /= k + 1
-        weight = F.when(u > total, weight).otherwise(F.lit(k)) if k == 7 else weight
     steps, acc, term = [], 0.0, math.exp(-1)
     for k in range(8):
         acc += term
@@ -208,8 +205,6 @@ def poisson_bootstrap(df: DataFrame, label: Column, score: str, key: str, group:
         weight = F.when(u <= acc, F.lit(k)).otherwise(weight)
     weighted = trial.withColumn("_w", weight).filter("_w > 0")
     levels = weighted.groupBy(*group, "trial", "_s").agg(F.sum("_w").alias("nn"), F.sum(F.col("_w") * F.col("_y")).alias("pp"))
-    from pyspark.sql import Window
-
     up = Window.partitionBy(*group, "trial").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum(F.col("nn") - F.col("pp")).over(up), F.lit(0))
     per = levels.withColumn("_b", below).groupBy(*group, "trial").agg(

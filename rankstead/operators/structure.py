@@ -74,9 +74,9 @@ def atom_pairs(atoms: DataFrame, key: list[str], peptide_chain: str, other_chain
     on = list(key)
     if within is not None:
         cell = lambda c: F.floor(F.col(c) / F.lit(within))
-        around = F.array(*[F.lit(o) for o in (-1, 0, 1)])
+        around = lambda c: F.explode(F.array(*[cell(c) + o for o in (-1, 0, 1)]))
         for c in "xyz":
-            p = p.withColumn(f"_c{c}", F.explode(F.transform(around, lambda o, c=c: cell(f"p{c}") + o)))
+            p = p.withColumn(f"_c{c}", around(f"p{c}"))
             m = m.withColumn(f"_c{c}", cell(f"m{c}"))
         on += ["_cx", "_cy", "_cz"]
     sq = sum(((F.col(f"p{c}") - F.col(f"m{c}")) * (F.col(f"p{c}") - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0))

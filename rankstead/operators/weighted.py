@@ -81,5 +81,5 @@ def heavy_keys(compressed: DataFrame, share: float) -> DataFrame:
     At most ``1 / share`` rows. The total is taken from the per-key sums, one row per key.
     """
     sums = compressed.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("weight").alias("n_rows"))
-    total = sums.agg(F.sum("n_rows").alias("n_all"))  # one row
-    return sums.join(F.broadcast(total)).filter(F.col("n_rows") >= F.lit(share) * F.col("n_all"))
+    total = sums.agg(F.sum("n_rows").alias("n_all")).scalar()
+    return sums.withColumn("n_all", total).filter(F.col("n_rows") >= F.lit(share) * F.col("n_all"))

@@ -1,6 +1,6 @@
 """All queries outside the optional subpackage."""
 
-from rankstead.plans import dealt
+from rankstead.plans import dealt, evaluation, sequences
 
-QUERIES = {**dealt.QUERIES}
-SQL = {**dealt.SQL}
+QUERIES = {**dealt.QUERIES, **evaluation.QUERIES, **sequences.QUERIES}
+SQL = {**dealt.SQL, **evaluation.SQL, **sequences.SQL}
