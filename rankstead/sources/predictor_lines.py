@@ -42,6 +42,8 @@ _CORE = re.compile(f"[{AMINO_ACIDS}-]{{9}}")
 _QUOTES_IN_PLACE = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
 _BLANKS = re.compile(r"[ \t]+")
 
+csv.field_size_limit(sys.maxsize)  # a damaged line may run to any length
+
 
 class Rejected(ValueError):
     """A line that is no valid row; the message is the reason."""
@@ -178,7 +180,6 @@ def load_with_rejects(df: DataFrame, raw: str = "raw", layout: str = "layout", b
     n_fields = len(ROW_SCHEMA.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(sys.maxsize)
         empty = (None,) * n_fields
         for b in batches:
             names = b.schema.names
