@@ -22,7 +22,7 @@ MAX_EDITS = 2
 #: Places sampled per repetition, and the chance, measured on random windows with MAX_EDITS edits, that one repetition
 #: puts both windows into one bucket. Repetitions follow from it and the recall wanted.
 PLACES = 6
-HIT_CHANCE = 0.55
+HIT_CHANCE = 0.5
 TARGET_RECALL = 0.95
 #: Words of items that one block holds on an executor.
 WORDS_PER_BLOCK = 2_000_000
