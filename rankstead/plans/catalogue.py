@@ -1,6 +1,6 @@
 """All queries outside the optional subpackage."""
 
-from rankstead.plans import dealt, evaluation, sequences
+from rankstead.plans import dealt, evaluation, flow, sequences
 
-QUERIES = {**dealt.QUERIES, **evaluation.QUERIES, **sequences.QUERIES}
-SQL = {**dealt.SQL, **evaluation.SQL, **sequences.SQL}
+QUERIES = {**dealt.QUERIES, **evaluation.QUERIES, **sequences.QUERIES, **flow.QUERIES}
+SQL = {**dealt.SQL, **evaluation.SQL, **sequences.SQL, **flow.SQL}
