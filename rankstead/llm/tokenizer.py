@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -50,7 +51,9 @@ class Transducer:
         self.index = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.ends: dict[int, tuple[int, ...]] = {}
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        # By the last bytes that begin a token, and one more: how many again begin one, and the tokens that end here.
+        self.tails: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
 
     def _ends(self, token: int) -> tuple[list[int], list[int], tuple[int, int]]:
         """How BPE builds a token: the symbols at its left and right end as they come to be, and the last two parts."""
@@ -107,11 +110,15 @@ class Transducer:
         before, held, lasts, begun = self.states[state]
         data = held + bytes((byte,))
         n = len(data)
-        ranks = self.ranks
-        for size in range(begun + 1, 0, -1):
-            token = ranks.get(data[n - size :])
-            if token is None:
-                continue
+        tail = data[n - begun - 1 :]
+        seen = self.tails.get(tail)
+        if seen is None:
+            seen = self.tails[tail] = (
+                next((k for k in range(len(tail), 0, -1) if tail[-k:] in self.prefixes), 0),
+                [(k, t) for k in range(len(tail), 0, -1) if (t := self.ranks.get(tail[-k:])) is not None],
+            )
+        reach, endings = seen
+        for size, token in endings:
             left = lasts[n - size - 1] if n > size else before
             if left < 0 or self.follows(left, token):
                 break
@@ -120,7 +127,6 @@ class Transducer:
         lasts = (*lasts, token)
         # The next tokens start no earlier than the longest suffix that still begins a token; what all prefixes from there
         # on share is final.
-        reach = next((k for k in range(begun + 1, 0, -1) if data[n - k :] in self.prefixes), 0)
         ways = set(range(n - reach, n + 1))
         while len(ways) > 1:  # go back from the farthest place until all ways have met
             at = max(ways)
@@ -177,6 +183,17 @@ class Transducer:
         return out
 
 
+_KEPT: dict[str, Transducer] = {}
+
+
+def _kept(name: str, ranks: dict[bytes, int]) -> Transducer:
+    """This process's transducer for a vocabulary: what one task has determinised serves the tasks after it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Transducer(ranks)
+    return _KEPT[name]
+
+
 def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], errors: str = "strict") -> Iterator[str]:
     """Text of a stream of ids, piece by piece; a character whose bytes lie in several tokens comes with the last one.
 
@@ -198,11 +215,12 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes,
     The vocabulary (a megabyte) is broadcast. One pass, no shuffle; whole texts of any length, each row on its own.
     """
     held = df.sparkSession.sparkContext.broadcast(ranks)
+    name = hashlib.md5(repr(sorted(ranks.items())).encode()).hexdigest()
     slim = df.select(id_col, F.col(text_col).alias("_text"))
     kind = slim.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, words = Transducer(held.value), regex.compile(pattern)
+        machine, words = _kept(name, held.value), regex.compile(pattern)
         for b in batches:
             for at in range(0, max(b.num_rows, 1), 500):
                 part = b.slice(at, 500)
