@@ -262,3 +262,50 @@ def top_positions(sens: DataFrame, key: list[str], position: str = "position", v
     w = Window.partitionBy(*key).orderBy(F.desc(value), position)
     best = sens.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
     return best.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", F.col(position).alias("p")))), lambda x: x["p"]).alias("top"))
+
+
+def linkage_classes(pairs: DataFrame, a: str, b: str, distance: str, k: int) -> DataFrame:
+    """``member``, ``class`` of an average-linkage tree cut into ``k`` classes, numbered by their least member.
+
+    ``pairs`` holds every pair of a stated list of groups once (some hundreds at most); the tree is built in one task.
+    Ties merge the pair of classes that was named first.
+    """
+    rows = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(distance).cast("double").alias("d")).withColumn("_all", F.lit(1))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(part["a"]) | set(part["b"]))
+        at = {n: i for i, n in enumerate(names)}
+        d = np.full((len(names), len(names)), np.inf)
+        i, j = part["a"].map(at).to_numpy(), part["b"].map(at).to_numpy()
+        d[i, j] = d[j, i] = part["d"].to_numpy()
+        members = [[n] for n in names]
+        while len(members) > k:
+            x, y = sorted(divmod(int(np.argmin(d)), len(d)))
+            nx, ny = len(members[x]), len(members[y])
+            d[x] = d[:, x] = (nx * d[x] + ny * d[y]) / (nx + ny)
+            d[x, x] = np.inf
+            d = np.delete(np.delete(d, y, 0), y, 1)
+            members[x] += members.pop(y)
+        members.sort(key=min)
+        return pd.DataFrame([(m, c) for c, ms in enumerate(members) for m in sorted(ms)], columns=["member", "class"])
+
+    return rows.groupBy("_all").applyInPandas(run, "member string, class int")
+
+
+def class_representatives(classes: DataFrame, weights: DataFrame, member: str, weight: str, forced: list[str] = ()) -> DataFrame:
+    """One member per class, larger classes first: a forced one, else the one with most weight (ties: least name)."""
+    sized = classes.join(weights.select(F.col(member).alias("member"), F.col(weight).alias("_w")), "member", "left").withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("class")))
+    must = F.when(F.col("member").isin(list(forced)), 0).otherwise(1) if forced else F.lit(1)
+    w = Window.partitionBy("class").orderBy(must, F.desc(F.coalesce("_w", F.lit(0))), "member")
+    one = sized.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    return one.select("class", "size", "member", F.coalesce("_w", F.lit(0)).alias(weight), F.row_number().over(Window.orderBy(F.desc("size"), "class")).alias("place"))
+
+
+def even_strata(df: DataFrame, value: str, count: int, name: str = "stratum") -> DataFrame:
+    """Add the number (from 0) of the equally wide stratum of a value between its least and most; the most is in the last."""
+    from rankstead.operators.ranking import with_group_stats
+
+    t = with_group_stats(df, [], {"_lo": F.min(value), "_hi": F.max(value)})
+    width = F.nullif((F.col("_hi") - F.col("_lo")).cast("double") / count, F.lit(0.0))
+    at = F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(count - 1))
+    return t.withColumn(name, F.when(F.col(value).isNotNull(), F.coalesce(at, F.lit(0)).cast("int"))).drop("_lo", "_hi")

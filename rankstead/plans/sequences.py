@@ -325,6 +325,32 @@ def spread_pick(spark, d):
     return select.spread_pick(table(spark, d, "data_type_coverage"), ["locus"], "allele", "atlas_ms", 4)
 
 
+def motif_classes(spark, d):
+    return select.linkage_classes(_pairs(spark, d), "a", "b", "jsd", 4)
+
+
+def class_representatives(spark, d):
+    n = tests(spark, d).groupBy("allele").agg(F.count(F.lit(1)).alias("n_tests"))
+    return select.class_representatives(motif_classes(spark, d), n, "allele", "n_tests", ["HLA-A*02:01"])
+
+
+def coverage_strata(spark, d):
+    c = select.even_strata(table(spark, d, "data_type_coverage"), "atlas_ms", 4)
+    return c.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("atlas_ms").alias("least"), F.max("atlas_ms").alias("most"))
+
+
+def subsample_inflation(spark, d):
+    """Nearest-motif distance over samples of 30 peptides, less that over all: mean and spread (population) by allele."""
+    full = motif.nearest_groups(_pairs(spark, d), "jsd").select(F.col("a").alias("allele"), F.col("nn_dist").alias("nn_full"))
+    t = select.trials(nine(spark, d), ["allele"], ["allele", "peptide"], 30, 2)
+    per = []
+    for k in range(2):
+        f = motif.frequencies(t.filter(F.col("trial") == k), ["allele"], "peptide", 9)
+        per.append(motif.nearest_groups(motif.divergence(f, "allele"), "jsd").select(F.col("a").alias("allele"), F.col("nn_dist").alias("nn")))
+    sub = per[0].unionByName(per[1]).groupBy("allele").agg(F.avg("nn").alias("nn_sub_mean"), F.stddev_pop("nn").alias("nn_sub_sd"))
+    return rounded(full.join(sub, "allele").withColumn("inflation", F.col("nn_sub_mean") - F.col("nn_full")), "nn_full", "nn_sub_mean", "nn_sub_sd", "inflation")
+
+
 # Scalars
 
 
@@ -408,7 +434,7 @@ QUERIES = {
         pwm_score, position_ic, derive_anchors, anchor_survey, motif_breadth, ic_features, jsd_pairs, js_distance_anchors, motif_neighbours, farthest_donors,
         substitution_distance, frequent_letters, carries_anchors, hard_decoys, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
-        exact_clusters, cluster_holdout, grouped_folds, maxmin_select, spread_pick, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
+        exact_clusters, cluster_holdout, grouped_folds, maxmin_select, spread_pick, motif_classes, class_representatives, coverage_strata, subsample_inflation, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
         positives, pae_blocks, pae_consistency, contact_features, interface_geometry, interface_plddt,
     )
 }
@@ -529,6 +555,8 @@ SQL = {
     "exact_clusters": f"WITH {T}, f AS (SELECT peptide, min(test_id) AS o FROM t GROUP BY peptide) SELECT peptide, row_number() OVER (ORDER BY o, peptide) - 1 AS cluster FROM f",
     "cluster_holdout": f"""WITH {T}, f AS (SELECT peptide, row_number() OVER (ORDER BY min(test_id), peptide) - 1 AS cluster FROM t GROUP BY peptide), r AS (SELECT cluster, row_number() OVER (ORDER BY md5('42|' || cluster), cluster) AS rn, count(*) OVER () AS n FROM f)
         SELECT test_id, cluster, rn <= greatest(1, round_even(n * 0.2::DOUBLE, 0)) AS held_out FROM t JOIN f USING (peptide) JOIN r USING (cluster)""",
+    "coverage_strata": """SELECT coalesce(least(floor((atlas_ms - lo) / nullif((hi - lo) / 4.0::DOUBLE, 0)), 3), 0)::INT AS stratum, count(*) AS n, min(atlas_ms) AS least, max(atlas_ms) AS most
+        FROM (SELECT *, min(atlas_ms) OVER () AS lo, max(atlas_ms) OVER () AS hi FROM data_type_coverage) GROUP BY 1""",
     "key_spellings": r"""SELECT allele, lower(regexp_replace(allele, '[-*:]', '_', 'g')) AS slug, regexp_replace(replace(allele, 'HLA-', ''), '[*:]', '', 'g') AS short, replace(allele, '*', '') AS predictor, allele AS back, substr(allele, 5, 1) AS locus FROM data_type_coverage""",
     "encoded_sequences": f"""WITH {T} SELECT test_id, rtrim(string_agg(CASE WHEN i > length(peptide) THEN 0 WHEN strpos('{AA}', substr(peptide, i, 1)) > 0 THEN strpos('{AA}', substr(peptide, i, 1)) ELSE 21 END::VARCHAR, ',' ORDER BY i)) AS code,
         any_value(least(length(peptide), 12))::INT AS n_mask FROM (SELECT *, unnest(range(1, 13)) AS i FROM t) GROUP BY test_id""",

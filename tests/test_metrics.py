@@ -200,3 +200,15 @@ def test_leakage_and_membership_with_nulls(spark):
     t = spark.createDataFrame([("x", "p"), ("x", "p"), (None, None)], "g string, e string")
     got = sorted((str(r["g"]), str(r["e"]), r["y"], r["in_train"]) for r in joins.leakage_flag(a, t, "g", "e", "y").collect())
     assert got == sorted([("x", "p", 1, True), ("y", "p", 1, False), ("y", "p", 0, True), ("None", "q", 0, False), ("x", "None", 1, False)])
+
+
+def test_average_linkage_and_representatives(spark):
+    d = {("a", "b"): 1.0, ("a", "c"): 9.0, ("b", "c"): 8.0, ("a", "d"): 9.5, ("b", "d"): 8.5, ("c", "d"): 2.0}
+    pairs = spark.createDataFrame([(x, y, v) for (x, y), v in d.items()], "a string, b string, d double")
+    got = {r["member"]: r["class"] for r in select.linkage_classes(pairs, "a", "b", "d", 2).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1, "d": 1}
+    three = {r["member"]: r["class"] for r in select.linkage_classes(pairs, "a", "b", "d", 3).collect()}
+    assert three == {"a": 0, "b": 0, "c": 1, "d": 2}
+    w = spark.createDataFrame([("b", 5), ("c", 1)], "g string, n int")
+    rep = {r["class"]: r["member"] for r in select.class_representatives(select.linkage_classes(pairs, "a", "b", "d", 2), w, "g", "n", ["d"]).collect()}
+    assert rep == {0: "b", 1: "d"}
