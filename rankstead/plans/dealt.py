@@ -48,7 +48,35 @@ def p2_length_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_rows, p2_found, p2_allele_stats, p2_length_percentiles)}
 
+_PEP, _INT, _NUM = "[ACDEFGHIKLMNPQRSTVWY]{8,14}", "[0-9]+", r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+_HEAD = ["0*[1-9][0-9]*", r"HLA-[ABC]\*[0-9]{2}:[0-9]{2,3}", _PEP, "[ACDEFGHIKLMNPQRSTVWY-]{9}", *[_INT] * 5, _PEP]
+
+
+def _csv_line(taken: int = -1) -> str:
+    """Pattern of a valid line, with groups around the number ``taken`` of the last five."""
+    quoted = [f'(?:"{x}"|{x})' for x in _HEAD]
+    numbers = [f'(?:"({_NUM})"|({_NUM}))' if i == taken else f'(?:"{_NUM}"|{_NUM})' for i in range(5)]
+    return "^" + ",".join([*quoted, r'(?:"(?:[^"]|"")+"|[^",]+)', *numbers, '(?:"(?:SB|WB)?"|(?:SB|WB)?)']) + "$"
+
+
+def _out_line(taken: int = -1) -> str:
+    numbers = [f"({_NUM})" if i == taken else _NUM for i in range(5)]
+    return "^" + "[ \t]+".join([*_HEAD, "[^ \t]+", *numbers]) + "(?:[ \t]+<=[ \t]+(?:SB|WB))?$"
+
+
+_GROUPS = ", ".join(
+    f"coalesce(nullif(regexp_extract(l, '{_csv_line(i)}', 1), ''), nullif(regexp_extract(l, '{_csv_line(i)}', 2), '')) AS c{i}, regexp_extract(l, '{_out_line(i)}', 1) AS o{i}" for i in range(5)
+)
+_FITS = lambda c: " AND ".join(f"TRY_CAST({c}{i} AS DOUBLE) BETWEEN 0 AND {m}" for i, m in enumerate((1, 100, 1, 100, 1e308))) + f" AND TRY_CAST({c}4 AS DOUBLE) > 0"
+
 SQL = {
+    "p1_found": f"""
+        WITH t AS (SELECT record_id, layout, bind_level, raw, regexp_replace(regexp_replace(raw, '[ \t\r\n]+$', ''), '^[ \t]+', '') AS l FROM netmhcpanrecord),
+        f AS (SELECT *, {_GROUPS} FROM t)
+        SELECT record_id FROM f WHERE raw IS NULL OR (bind_level IS NOT NULL AND upper(trim(bind_level)) NOT IN ('SB', 'WB')) OR NOT (
+            regexp_full_match(l, '-*') OR regexp_matches(l, '^(#|Protein|Number)') OR (layout = 'csv' AND regexp_matches(l, '^"?Pos"?,"?MHC"?,"?Peptide"?(,|$)'))
+            OR (layout = 'stdout' AND regexp_matches(l, '^Pos[ \t]+MHC[ \t]+Peptide([ \t]|$)'))
+            OR (layout = 'csv' AND coalesce(regexp_matches(l, '{_csv_line()}') AND {_FITS("c")}, false)) OR (layout = 'stdout' AND coalesce(regexp_matches(l, '{_out_line()}') AND {_FITS("o")}, false)))""",
     "p2_found": """
         WITH s AS (SELECT allele, count(*) AS n FROM atlas_labelled WHERE allele IS NOT NULL GROUP BY allele)
         SELECT allele FROM s WHERE n >= 0.04 * (SELECT sum(n) FROM s)""",
