@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text: CGK embedding, bit-sampling LSH over windows, exact verification.
 
-Items and documents are read as words. Every window of ``window`` words is embedded by the random walk of Chakraborty,
-Goldenberg and Koucky, which turns few edits (words added, dropped or changed) into few differing places. Each repetition
-samples a few places of the walk as a bucket key; windows that share a bucket are compared exactly by edit distance.
-Equal windows walk alike and share every bucket, so exact repeats are never missed.
+Items and documents are read as words. Every window of ``window`` words is cut into one piece more than the edits allowed
+(words added, dropped or changed), so that in windows near enough some piece has no edit. Each piece is embedded by the
+random walk of Chakraborty, Goldenberg and Koucky, and a few places of the walk are sampled as its bucket key. Windows with
+pieces in one bucket, at places that the edits can bring together, are compared exactly by edit distance. Equal pieces walk
+alike and share every bucket, so no pair is missed, wherever its edits lie.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 12
 MAX_EDITS = 2
-#: Places sampled per repetition, and the chance, measured on random windows with MAX_EDITS edits, that one repetition
-#: puts both windows into one bucket. Repetitions follow from it and the recall wanted.
+#: Places sampled of the walk over a piece.
 PLACES = 6
-HIT_CHANCE = 0.5
 TARGET_RECALL = 0.95
 #: Words of items that one block holds on an executor.
 WORDS_PER_BLOCK = 2_000_000
@@ -36,8 +35,9 @@ def words_of(text: str | None) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)] if text else []
 
 
-def repetitions(recall: float = TARGET_RECALL, chance: float = HIT_CHANCE) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+def repetitions(recall: float = TARGET_RECALL) -> int:
+    """One walk, whatever the recall wanted: some piece is free of edits, and equal pieces share the bucket of every walk."""
+    return 1
 
 
 class WindowIndex:
@@ -49,14 +49,6 @@ class WindowIndex:
         texts = [(i, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)]) for i, t in items]
         rng = np.random.default_rng(seed)
         self.code = rng.integers(1, 2**63, len(self.vocabulary) + 2, dtype=np.int64).astype(_U)  # 0: unknown, last: past the end
-        self.steps = 3 * window
-        self.walks = []
-        for _ in range(n_repetitions):
-            # From the first third of the walk: later edits don't disturb it, and windows begin at every word.
-            places = np.sort(rng.choice(self.steps // 3, min(PLACES, self.steps // 3), replace=False))
-            turns = rng.integers(0, 2**63, self.steps, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-            mixers = rng.integers(0, 2**63, len(places), dtype=np.int64).astype(_U) * _U(2) + _U(1)
-            self.walks.append((places, turns, mixers))
         owners, rows = [], []
         for i, ids in texts:
             for s in range(max(0, len(ids) - window) + 1):
@@ -66,21 +58,37 @@ class WindowIndex:
                     rows.append(part + [-1] * (window - len(part)))  # an item shorter than a window is one, padded
         self.owners = np.array(owners, dtype=np.int64)
         self.rows = np.array(rows, dtype=np.int64).reshape(-1, window)
+        filled = (self.rows >= 0).sum(axis=1)
+        self.tiny = np.flatnonzero(filled <= max_edits)  # too short to be cut
         self.buckets = []
-        for walk in self.walks:
-            keys = self._keys(self.rows, walk)
-            order = np.argsort(keys, kind="stable")
-            self.buckets.append((keys[order], order))
+        for n in np.unique(filled[filled > max_edits]).tolist():
+            m = n // (max_edits + 1)
+            which = np.flatnonzero(filled == n)
+            row, offset = np.repeat(which, max_edits + 1), np.tile(np.arange(max_edits + 1) * m, len(which))
+            pieces = self.rows[row[:, None], offset[:, None] + np.arange(m)]
+            for _ in range(n_repetitions):
+                walk = self._walk(rng, m)
+                keys = self._keys(pieces, walk)
+                order = np.argsort(keys, kind="stable")
+                self.buckets.append((m, walk, keys[order], row[order], offset[order]))
+
+    @staticmethod
+    def _walk(rng: np.random.Generator, m: int) -> tuple:
+        """Places to sample, turns and mixers of a walk over pieces of ``m`` words, which has two steps a word on average."""
+        places = np.sort(rng.choice(2 * m, min(PLACES, 2 * m), replace=False))
+        turns = rng.integers(0, 2**63, 2 * m, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+        mixers = rng.integers(0, 2**63, len(places), dtype=np.int64).astype(_U) * _U(2) + _U(1)
+        return places, turns, mixers
 
     def _keys(self, rows: np.ndarray, walk: tuple) -> np.ndarray:
         places, turns, mixers = walk
-        n = len(rows)
+        n, m = rows.shape
         at, key, k = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=_U), 0
-        flat, base = self.code[rows].ravel(), np.arange(n) * self.window
+        flat, base = self.code[rows].ravel(), np.arange(n) * m
         past = self.code[-1]
         for j in range(int(places[-1]) + 1):
-            over = at >= self.window
-            symbol = flat[base + np.minimum(at, self.window - 1)]
+            over = at >= m
+            symbol = flat[base + np.minimum(at, m - 1)]
             if over.any():
                 symbol = np.where(over, past, symbol)
             if k < len(places) and places[k] == j:
@@ -92,48 +100,73 @@ class WindowIndex:
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """(text number, item id, fewest edits) of every text and item with a pair of windows within ``max_edits``."""
         known = self.vocabulary.get
-        ids = [[known(w, 0) for w in words_of(t)] for t in texts]
-        rows, text_of = self._windows(ids)
-        if not len(rows):
+        flat, text, usable, full = self._starts([[known(w, 0) for w in words_of(t)] for t in texts])
+        if not usable.any():
             return []
+        windows = np.lib.stride_tricks.sliding_window_view(flat, self.window)
         best: dict[tuple[int, int], int] = {}
-        tried: set[int] = set()
-        for walk, (keys, order) in zip(self.walks, self.buckets, strict=True):
-            mine = self._keys(rows, walk)
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
-                continue
-            counts = (hi - lo)[hit]
-            left = np.repeat(hit, counts)
-            right = order[np.concatenate([np.arange(a, b) for a, b in zip(lo[hit], hi[hit], strict=True)])]
-            pair = np.unique(left * len(self.rows) + right)
-            pair = np.array([p for p in pair.tolist() if p not in tried], dtype=np.int64)
-            tried.update(pair.tolist())
-            for at in range(0, len(pair), 20_000):
-                part = pair[at : at + 20_000]
-                left, right = part // len(self.rows), part % len(self.rows)
-                edits = edit_distances(rows[left], self.rows[right], self.most)
-                for l, r, e in zip(text_of[left].tolist(), self.owners[right].tolist(), edits.tolist(), strict=True):  # noqa: E741
-                    if e <= self.most and e < best.get((l, r), self.most + 1):
-                        best[l, r] = e
+        pair = self._candidates(flat, usable, full)
+        for at in range(0, len(pair), 20_000):
+            part = pair[at : at + 20_000]
+            left, right = part // len(self.rows), part % len(self.rows)
+            edits = edit_distances(windows[left], self.rows[right], self.most)
+            near = np.flatnonzero(edits <= self.most)
+            for l, r, e in zip(text[left[near]].tolist(), self.owners[right[near]].tolist(), edits[near].tolist(), strict=True):  # noqa: E741
+                if e < best.get((l, r), self.most + 1):
+                    best[l, r] = e
         return [(t, i, e) for (t, i), e in best.items()]
 
-    def _windows(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that hold enough known words to be within ``max_edits`` of any item window, each content once a text."""
+    def _candidates(self, flat: np.ndarray, usable: np.ndarray, full: np.ndarray) -> np.ndarray:
+        """Start of a window times the number of item windows, plus an item window's number, for all pairs to compare."""
+        n, size = len(usable), len(self.rows)
+        # Words dropped on one side of a piece must be made up for on the other, as windows have one length.
+        most_shift = self.most // 2
+        before = np.concatenate(([0], np.cumsum(usable)))
+        known = np.concatenate(([0], np.cumsum(flat > 0)))
+        out = []
+        for m, walk, keys, row, offset in self.buckets:
+            at = np.flatnonzero(known[m:] - known[:-m] == m)
+            first, last = np.clip(at - (self.window - m) - most_shift, 0, n), np.clip(at + most_shift + 1, 0, n)
+            at = at[before[last] > before[first]]
+            mine = self._keys(np.lib.stride_tricks.sliding_window_view(flat, m)[at], walk)
+            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            counts = hi - lo
+            total = np.cumsum(counts)
+            if not len(total) or not total[-1]:
+                continue
+            entry = np.arange(total[-1]) - np.repeat(total - counts - lo, counts)
+            start = np.repeat(at, counts) - offset[entry]
+            for shift in range(-most_shift, most_shift + 1):
+                s = start - shift
+                ok = (s >= 0) & (s < n)
+                ok[ok] = usable[s[ok]]
+                out.append(s[ok] * size + row[entry[ok]])
+        for r in self.tiny.tolist():
+            out.append(np.flatnonzero(usable & (full <= (self.rows[r] >= 0).sum() + self.most)) * size + r)
+        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
+
+    def _starts(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words; of each place of a window its text, whether the window holds enough known words to be within
+        ``max_edits`` of any item window, and how many words."""
         w, lengths = self.window, np.array([len(x) for x in ids], dtype=np.int64)
         padded = [x + [-1] * (w - 1) for x in ids]  # so that texts, like items, may end inside a window
         flat = np.array([v for x in padded for v in x], dtype=np.int64)
-        if not len(flat):
-            return np.empty((0, w), np.int64), np.empty(0, np.int64)
+        n = len(flat) - w + 1
+        if n <= 0:
+            return flat, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
         text = np.repeat(np.arange(len(ids)), lengths + w - 1)
         known = np.concatenate(([0], np.cumsum(flat > 0)))
         filled = np.concatenate(([0], np.cumsum(flat >= 0)))
-        n = len(flat) - w + 1
         has, full = known[w : w + n] - known[:n], filled[w : w + n] - filled[:n]
-        starts = np.flatnonzero((has >= np.maximum(1, np.minimum(full, self.shortest) - self.most)) & (full >= self.shortest - self.most) & (flat[:n] >= 0) & (text[:n] == text[w - 1 : w - 1 + n]))
-        rows = np.lib.stride_tricks.sliding_window_view(flat, w)[starts]
-        return rows, text[starts]
+        usable = (has >= np.maximum(1, np.minimum(full, self.shortest) - self.most)) & (full >= self.shortest - self.most) & (flat[:n] >= 0) & (text[:n] == text[w - 1 : w - 1 + n])
+        return flat, text[:n], usable, full
+
+    def _windows(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The usable windows, and the text of each."""
+        flat, text, usable, _ = self._starts(ids)
+        if not usable.any():
+            return np.empty((0, self.window), np.int64), np.empty(0, np.int64)
+        return np.lib.stride_tricks.sliding_window_view(flat, self.window)[usable], text[usable]
 
     @property
     def shortest(self) -> int:
@@ -177,8 +210,8 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, max_edits: int = MAX_EDITS, recall: float = TARGET_RECALL) -> DataFrame:
     """``item_id``, ``doc_id``, ``edits``: items and documents with windows within ``max_edits`` words of each other.
 
-    ``edits`` is the fewest found; 0 means that ``window`` consecutive words are shared, and such pairs are found without
-    fail. Near ones are found with at least the probability ``recall``. Items with fewer words than a window count as one
+    ``edits`` is the fewest; 0 means that ``window`` consecutive words are shared. Near pairs are found without fail too,
+    whatever ``recall`` asks for. Items with fewer words than a window count as one
     window, padded. Null texts match nothing. The items, a stated set, are taken in blocks of bounded size, one broadcast
     each; documents are read once per block in one pass without shuffle, whole texts, any number of hits.
     """

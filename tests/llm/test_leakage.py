@@ -97,3 +97,37 @@ def test_short_items_and_blocks(spark, monkeypatch):
     assert [(r["item_id"], r["doc_id"]) for r in leakage.leaks(df, "doc_id", "text", it, "item_id", "text").collect()] == [(1, 1)]
     assert leakage.leaks(df.limit(0), "doc_id", "text", it, "item_id", "text").count() == 0
     assert leakage.leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").count() == 0
+
+
+def all_pairs(index, texts):
+    """(text, item): fewest edits of windows, every window compared with every other."""
+    truth = {}
+    rows, owner = index._windows([[index.vocabulary.get(w, 0) for w in leakage.words_of(t)] for t in texts])
+    for r, d in zip(rows, owner):
+        edits = leakage.edit_distances(np.repeat(r[None, :], len(index.rows), 0), index.rows, 2)
+        for i, e in zip(index.owners[edits <= 2].tolist(), edits[edits <= 2].tolist()):
+            truth[int(d), i] = min(e, truth.get((int(d), i), 3))
+    return truth
+
+
+@pytest.mark.parametrize("least, most", [(12, 12), (12, 30), (3, 11), (1, 4)])
+def test_no_pair_with_one_or_two_edits_is_missed_wherever_they_lie(least, most):
+    rnd = random.Random(least * 100 + most)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randint(least, most)))) for i in range(40)]
+    change = [lambda x, p: x.__setitem__(p, "zz"), lambda x, p: x.pop(p), lambda x, p: x.insert(p, "zz")]
+    texts = []
+    for _, t in items:
+        whole = t.split()
+        k = rnd.randrange(max(0, len(whole) - 12) + 1)
+        for _ in range(30):
+            part = whole[k : k + 12]
+            for _ in range(rnd.randint(1, 2)):
+                if part:
+                    rnd.choice(change)(part, rnd.randrange(len(part)))
+            short = len(whole) < 12
+            texts.append(" ".join(["yy"] * rnd.randrange(3) + part + ([] if short else ["yy"] * rnd.randrange(3))))
+    index = leakage.WindowIndex(items, 12, 2, leakage.repetitions())
+    truth = all_pairs(index, texts)
+    assert {(t, i): e for t, i, e in index.search(texts)} == truth
+    assert sum(e > 0 for e in truth.values()) > 200
