@@ -96,6 +96,12 @@ def p6_words(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(pairs, "term", "record").select("term", "n_occurrences", "n_records")
 
 
+def p6_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct word of the documents in letters of any script, with its mark; ``p6_words`` has ASCII words only."""
+    pairs = terms.explode_terms(_table(spark, d, "documents"), "doc_id", "text")
+    return terms.marked(terms.term_frequencies(pairs, "term", "record"), RARE_UPTO, COMMON_FROM)
+
+
 # Problem 7
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 # Fixed value: the pattern that goes with the vocabulary.
@@ -159,7 +165,7 @@ def p9_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p6_found, p6_counts, p6_words, p7_ids, p7_round_trip, p8_found, p8_items, p8_near, p9_found, p9_kinds, p9_boilerplate)
+    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p6_found, p6_counts, p6_words, p6_terms, p7_ids, p7_round_trip, p8_found, p8_items, p8_near, p9_found, p9_kinds, p9_boilerplate)
 }
 
 _CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"

@@ -33,3 +33,12 @@ def test_words_and_empty(spark):
     got = {r["term"]: (r["n_occurrences"], r["n_records"]) for r in terms.term_frequencies(terms.explode_terms(docs, "doc_id", "text"), "term", "record").collect()}
     assert got["a"] == (2, 1) and got["b"] == (1, 1) and len(got) == 3
     assert terms.term_frequencies(docs.limit(0), "text", "doc_id").count() == 0
+
+
+def test_words_of_any_script_are_counted_and_marked(spark, tmp_path):
+    from rankstead.llm import queries
+
+    texts = ["Größe naïve 数える", "größe a", None, "", "café Größe größe"] + ["数える x"] * 25
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["term"]: (r["n_occurrences"], r["n_records"], r["mark"]) for r in queries.QUERIES["p6_terms"](spark, str(tmp_path)).collect()}
+    assert got == {"größe": (4, 3, None), "naïve": (1, 1, "rare"), "数える": (26, 26, "common"), "a": (1, 1, "rare"), "café": (1, 1, "rare"), "x": (25, 25, "common")}
