@@ -217,6 +217,22 @@ def hard_decoys(spark, d):
     return rounded(both.select("test_id", "score"), "score")
 
 
+def hard_decoy_pool(spark, d):
+    """Each allele's hard decoys: of all 9-mers seen with other alleles but not with it, those that carry its anchors at
+    both places and score no higher than the median of its own peptides; six of them, by max-min."""
+    own = nine(spark, d)
+    pwm = motif.log_odds(_freq(spark, d), base="2")
+    cut = motif.score(own.withColumn("k", F.col("peptide")), pwm, ["allele"], ["k"], "peptide", 9).groupBy("allele").agg(F.percentile("score", 0.5).alias("cut"))
+    want = motif.frequent_letters(motif.position_counts(own, ["allele"], "peptide"), ["allele"], 4, "n")
+    second, last = (want.filter(F.col("pos") == p).select("allele", F.col("aa").alias(c)) for p, c in ((2, "second"), (9, "last")))
+    seen = table(spark, d, "atlas_labelled").filter("label = 1 AND allele IS NOT NULL").select(folded("peptide").alias("peptide")).filter("length(peptide) = 9").distinct()
+    pool = seen.withColumns({"second": F.substring("peptide", 2, 1), "last": F.substring("peptide", 9, 1)})
+    fit = pool.join(second.join(last, "allele"), ["second", "last"]).select("allele", "peptide").join(own, ["allele", "peptide"], "left_anti")
+    scored = motif.score(fit.withColumn("k", F.col("peptide")), pwm, ["allele"], ["k"], "peptide", 9).withColumnRenamed("k", "peptide")
+    low = scored.join(cut, "allele").filter("score <= cut").select("allele", "peptide")
+    return select.maxmin_select(low, ["allele"], "peptide", "peptide", 6)
+
+
 # Selection
 
 
@@ -432,7 +448,7 @@ QUERIES = {
         leakage_flags, overlap_flags, negative_member_share, split_survival, held_out_rows, validation_rows, reject_counts, coverage_filled, outer_features,
         aligned_counts, alias_join, band_controls, hamming_join, near_share, wild_type_delta, unambiguous_peptides, censored_labels, position_frequency, pwm_log_odds,
         pwm_score, position_ic, derive_anchors, anchor_survey, motif_breadth, ic_features, jsd_pairs, js_distance_anchors, motif_neighbours, farthest_donors,
-        substitution_distance, frequent_letters, carries_anchors, hard_decoys, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
+        substitution_distance, frequent_letters, carries_anchors, hard_decoys, hard_decoy_pool, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
         exact_clusters, cluster_holdout, grouped_folds, maxmin_select, spread_pick, motif_classes, class_representatives, coverage_strata, subsample_inflation, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
         positives, pae_blocks, pae_consistency, contact_features, interface_geometry, interface_plddt,
