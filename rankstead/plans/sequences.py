@@ -98,6 +98,11 @@ def hamming_join(spark, d):
     return joins.hamming_pairs(a, "test_id", "peptide", train_pairs(spark, d), "train_id", "peptide", 2)
 
 
+def hamming_join_all(spark, d):
+    """The near pairs of all evaluation splits; ``hamming_join`` has those of one."""
+    return joins.hamming_pairs(tests(spark, d), "test_id", "peptide", train_pairs(spark, d), "train_id", "peptide", 2)
+
+
 def near_share(spark, d):
     return joins.near_share(tests(spark, d), "peptide", train_pairs(spark, d), "peptide", 1)
 
@@ -446,7 +451,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         leakage_flags, overlap_flags, negative_member_share, split_survival, held_out_rows, validation_rows, reject_counts, coverage_filled, outer_features,
-        aligned_counts, alias_join, band_controls, hamming_join, near_share, wild_type_delta, unambiguous_peptides, censored_labels, position_frequency, pwm_log_odds,
+        aligned_counts, alias_join, band_controls, hamming_join, hamming_join_all, near_share, wild_type_delta, unambiguous_peptides, censored_labels, position_frequency, pwm_log_odds,
         pwm_score, position_ic, derive_anchors, anchor_survey, motif_breadth, ic_features, jsd_pairs, js_distance_anchors, motif_neighbours, farthest_donors,
         substitution_distance, frequent_letters, carries_anchors, hard_decoys, hard_decoy_pool, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
@@ -509,6 +514,7 @@ SQL = {
     "band_controls": """SELECT a.s_suppkey, count(*) AS n_controls, round(avg(b.s_nationkey), 6) AS control_mean, round(a.s_nationkey - avg(b.s_nationkey), 6) AS difference FROM supplier a JOIN supplier b
         ON a.s_nationkey % 5 = 0 AND b.s_nationkey % 5 <> 0 AND abs(a.s_acctbal - b.s_acctbal) <= 200 GROUP BY a.s_suppkey, a.s_nationkey""",
     "hamming_join": f"WITH {T}, {TR} SELECT test_id AS left_id, train_id AS right_id, hamming(t.peptide, tr.peptide) AS distance FROM t JOIN tr ON fold_set = 'fold_set_v4' AND length(t.peptide) = length(tr.peptide) AND hamming(t.peptide, tr.peptide) <= 2",
+    "hamming_join_all": f"WITH {T}, {TR} SELECT test_id AS left_id, train_id AS right_id, hamming(t.peptide, tr.peptide) AS distance FROM t JOIN tr ON length(t.peptide) = length(tr.peptide) AND hamming(t.peptide, tr.peptide) <= 2",
     "near_share": f"""WITH {T}, {TR}, a AS (SELECT DISTINCT peptide FROM t), b AS (SELECT DISTINCT peptide FROM tr),
         m AS (SELECT a.peptide, (SELECT min(hamming(a.peptide, b.peptide)) FROM b WHERE length(b.peptide) = length(a.peptide)) AS h FROM a)
         SELECT count(*) AS n, count(*) FILTER (WHERE h = 0) AS n_exact, count(*) FILTER (WHERE h <= 1) AS n_near FROM m""",

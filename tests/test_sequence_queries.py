@@ -30,3 +30,16 @@ def test_hard_decoys_come_from_the_pool_of_other_alleles(spark, tmp_path):
             taken.append(max((p for p in low if p not in taken), key=lambda p: (min(sum(x != y for x, y in zip(p, q)) for q in taken), -low.index(p))))
         want[a] = taken
     assert got == want
+
+
+def test_near_pairs_of_every_split_are_found(spark, data):
+    splits = {r["test_id"]: r for r in sequences.tests(spark, data).collect()}
+    train = [(r["train_id"], r["peptide"]) for r in sequences.train_pairs(spark, data).collect() if r["peptide"]]
+    want = set()
+    for i, t in splits.items():
+        for j, p in train:
+            if len(p) == len(t["peptide"]) and (h := sum(x != y for x, y in zip(p, t["peptide"]))) <= 2:
+                want.add((i, j, h))
+    got = [tuple(r) for r in sequences.QUERIES["hamming_join_all"](spark, data).select("left_id", "right_id", "distance").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len({splits[i]["fold_set"] for i, _, _ in want}) > 1
