@@ -205,15 +205,15 @@ def one_predictor_ols(spark, d):
 
 
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(aff(spark, d).filter("allele IS NOT NULL"), "label", "score", ["row_id"], ["allele"], times=200)
+    return stats.bootstrap_ci(aff(spark, d).filter("allele IS NOT NULL"), "label", "score", ["row_id"], ["allele"])
 
 
 def paired_bootstrap(spark, d):
-    return stats.paired_bootstrap(models(spark, d), "y", "m1", "m2", ["vec_id"], times=500)
+    return stats.paired_bootstrap(models(spark, d), "y", "m1", "m2", ["vec_id"])
 
 
 def poisson_bootstrap(spark, d):
-    return stats.poisson_bootstrap(table(spark, d, "aff_finetuned").withColumn("s", -F.col("inter_pae")), F.col("label"), "s", "row_id", times=100)
+    return stats.poisson_bootstrap(table(spark, d, "aff_finetuned").withColumn("s", -F.col("inter_pae")), F.col("label"), "s", "row_id")
 
 
 def logo_logistic(spark, d):
@@ -225,7 +225,7 @@ def logo_pca_logistic(spark, d):
 
 
 def logo_boosting(spark, d):
-    return learn.boosting_logo(models(spark, d), "grp", ["vec_id"], "y", MODELS, rounds=20)
+    return learn.boosting_logo(models(spark, d), "grp", ["vec_id"], "y", MODELS, rounds=60)
 
 
 def gated_logo(spark, d):
