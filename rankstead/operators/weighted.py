@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankstead.operators.skew import positions_within
+from rankstead.operators.skew import running_totals
 
 
 def compress_values(df: DataFrame, key: str, value: str | Column, flags: dict[str, Column] | None = None) -> DataFrame:
@@ -44,35 +44,21 @@ def per_key_summary(compressed: DataFrame, flags: list[str] = ()) -> DataFrame:
 def per_key_percentiles(compressed: DataFrame, shares: list[float]) -> DataFrame:
     """Exact percentiles per key (linear interpolation) of a numeric value: ``key``, ``p0``, ``p1`` ... in order of ``shares``.
 
-    The weighted values are range-sorted over the cluster and numbered by running weight, so the values that stand at
-    the wanted ranks are found without gathering a key's values anywhere. Null values are left out; keys with no value
+    The weighted values are range-sorted over the cluster and numbered by running weight. Each of them sees from its own
+    interval of ranks, and its key's total, whether it stands at a wanted rank, so nothing is joined and a key's values
+    are gathered nowhere. Null values are left out; keys with no value
     have no row.
     """
     known = compressed.filter(F.col("value").isNotNull()).select("key", "value", "weight")
-    ran = positions_within(known, ["key"], ["value"], weight="weight", name="upto")
-    totals = ran.groupBy("key").agg(F.sum("weight").alias("n"))
-    ranks = totals.select(
-        "key",
-        F.posexplode(F.array(*[F.lit(float(s)) * (F.col("n") - 1) for s in shares])).alias("which", "at"),
-    ).select("key", "which", "at", F.floor("at").alias("lo"), F.ceil("at").alias("hi"))
-    # One key needs only 2 * len(shares) ranks: gather them as an array beside the key, then test each value's interval.
-    wanted = ranks.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("which", "at", "lo", "hi"))).alias("want"))
-    hit = ran.join(wanted.withColumnRenamed("key", "_k"), F.col("key").eqNullSafe(F.col("_k")))
+    ran = running_totals(known, ["key"], ["value"], {"upto": F.col("weight")}, {"n": F.col("weight")})
     first = F.col("upto") - F.col("weight")
-    picked = hit.select(
-        "key",
-        "value",
-        F.explode(
-            F.filter(
-                "want",
-                lambda x: ((x["lo"] >= first) & (x["lo"] < F.col("upto"))) | ((x["hi"] >= first) & (x["hi"] < F.col("upto"))),
-            )
-        ).alias("w"),
-    )
-    lohi = picked.groupBy("key", "w").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    part = F.col("w.at") - F.col("w.lo")
-    exact = lohi.select("key", F.col("w.which").alias("which"), (F.col("a") + (F.col("b") - F.col("a")) * part).alias("p"))
-    return exact.groupBy("key").agg(*[F.max(F.when(F.col("which") == i, F.col("p"))).alias(f"p{i}") for i in range(len(shares))])
+    aggs, parts = [], []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("n") - 1)
+        stands = lambda r, first=first: (r >= first) & (r < F.col("upto"))
+        aggs += [F.max(F.when(stands(F.floor(at)), F.col("value"))).alias(f"_a{i}"), F.max(F.when(stands(F.ceil(at)), F.col("value"))).alias(f"_b{i}")]
+        parts.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (at - F.floor(at))).alias(f"p{i}"))
+    return ran.groupBy("key").agg(F.first("n").alias("n"), *aggs).select("key", *parts)
 
 
 def heavy_keys(compressed: DataFrame, share: float) -> DataFrame:
