@@ -158,9 +158,8 @@ def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_boilerplate(spark: SparkSession, d: str) -> DataFrame:
-    """Recurrent lines of each host, one per row."""
-    plates = residue.boilerplate(_table(spark, d, "documents"), "doc_id", "text", "source")
-    return plates.select("host", F.explode("lines").alias("line"))
+    """Recurrent lines of each host, one per row, with the documents they stand in."""
+    return residue.boilerplate_lines(_table(spark, d, "documents"), "text", "source")
 
 
 QUERIES = {
@@ -212,5 +211,10 @@ SQL = {
     "p8_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
     "p8_items": f"""{_SHARED} SELECT e.item_id, e.suite, e.split, count(s.doc_id) AS n_docs FROM eval_items e LEFT JOIN shared s USING (item_id)
         GROUP BY ALL""",
+    "p9_boilerplate": r"""
+        WITH d AS (SELECT coalesce(source, '') AS host, doc_id, regexp_replace(translate(lower(text), '123456789', '000000000'), '[ \t\r\f\x0b]+', ' ', 'g') AS t FROM documents),
+        l AS (SELECT DISTINCT host, doc_id, trim(unnest(string_split(t, chr(10)))) AS line FROM d),
+        s AS (SELECT host, count(*) AS n_docs FROM d GROUP BY host)
+        SELECT host, line, count(*) AS n, any_value(n_docs) AS n_docs FROM l JOIN s USING (host) WHERE line <> '' GROUP BY host, line HAVING count(*) >= 5 AND count(*) >= 0.003 * any_value(n_docs)""",
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
 }
