@@ -47,15 +47,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_by_split_and_source(spark: SparkSession, d: str) -> DataFrame:
     """Pairs, exact pairs, and records of either side, by evaluation split and training source."""
     tests, _, _, train, *_ = _split_pair(spark, d)
-    # Counting over distinct texts first keeps the pairs of copies from ever being made.
-    near = overlap.near_texts(train, "train_id", "peptide", tests, "peptide", MAX_MISMATCHES)
-    sourced = near.join(train.select("train_id", "source"), "train_id").groupBy("eval_text", "source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("mismatches") == 0).cast("bigint")).alias("n0"))
+    # The source comes along with the scan, and counting over distinct texts first keeps the pairs of copies from being made.
+    near = overlap.near_texts(train, "train_id", "peptide", tests, "peptide", MAX_MISMATCHES, keep=["source"])
+    sourced = near.groupBy("eval_text", "source").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("mismatches") == 0).cast("bigint")).alias("n0"))
     sets = tests.select("fold_set", folded("peptide").alias("eval_text"))
     return sourced.join(sets, "eval_text").groupBy("fold_set", "source").agg(F.sum("n").alias("n_pairs"), F.sum("n0").alias("n_exact_pairs"), F.count(F.lit(1)).alias("n_tests"))
 
 
 def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.coverage(*_split_pair(spark, d)).select(F.col("eval_id").alias("test_id"), "n_train", "nearest", F.round("covered", 6).alias("covered"))
+    """Of each test peptide: training rows with a near passage, fewest mismatches, share of letters that these repeat."""
+    return overlap.coverage(*_split_pair(spark, d), inside=True).select(F.col("eval_id").alias("test_id"), "n_train", "nearest", F.round("covered", 6).alias("covered"))
 
 
 # Problem 5
@@ -193,6 +194,13 @@ SQL = {
     "p4_found": f"{_NEAR} SELECT test_id, train_id FROM near",
     "p4_by_split_and_source": f"""{_NEAR} SELECT fold_set, source, count(*) AS n_pairs, count(*) FILTER (WHERE h = 0) AS n_exact_pairs,
         count(DISTINCT test_id) AS n_tests FROM near GROUP BY ALL""",
+    "p4_coverage": f"""{_NEAR.split("near AS")[0]} d AS (SELECT DISTINCT p FROM e WHERE p IS NOT NULL), u AS (SELECT p, count(*) AS k FROM t WHERE p IS NOT NULL GROUP BY p),
+        w AS (SELECT d.p, u.p AS q, k, substr(u.p, o::INT, length(d.p)::INT) AS s FROM d JOIN u ON length(d.p) <= length(u.p), LATERAL (SELECT unnest(range(1, length(u.p) - length(d.p) + 2)) AS o)),
+        m AS (SELECT *, CASE WHEN length(p) = 0 THEN 0 ELSE hamming(p, s) END AS h FROM w),
+        g AS (SELECT p, q, any_value(k) AS k, min(h) AS h FROM m WHERE h <= 2 GROUP BY p, q), c AS (SELECT p, sum(k) AS n, min(h) AS h FROM g GROUP BY p),
+        l AS (SELECT p, count(DISTINCT i) AS letters FROM (SELECT p, s, unnest(range(1, length(p) + 1)) AS i FROM m WHERE h <= 2) WHERE substr(p, i, 1) = substr(s, i, 1) GROUP BY p)
+        SELECT test_id, coalesce(n, 0)::BIGINT AS n_train, h AS nearest, CASE WHEN length(e.p) > 0 THEN round(coalesce(letters, 0) / length(e.p)::DOUBLE, 6) WHEN e.p IS NOT NULL THEN 0.0 END AS covered
+        FROM e LEFT JOIN c USING (p) LEFT JOIN l USING (p)""",
     "p5_found": f"""
         WITH RECURSIVE r AS (SELECT row_id, {_FOLD} AS p, allele || '|' || sample_id AS g FROM atlas_labelled),
         e AS (SELECT row_id AS a, min(row_id) OVER (PARTITION BY p) AS b FROM r WHERE p IS NOT NULL
