@@ -1,14 +1,16 @@
 """Evaluation texts leaking into training text: CGK embedding, bit-sampling LSH over windows, exact verification.
 
-Items and documents are read as words. Every window of ``window`` words is cut into one piece more than the edits allowed
-(words added, dropped or changed), so that in windows near enough some piece has no edit. Each piece is embedded by the
-random walk of Chakraborty, Goldenberg and Koucky, and a few places of the walk are sampled as its bucket key. Windows with
-pieces in one bucket, at places that the edits can bring together, are compared exactly by edit distance. Equal pieces walk
-alike and share every bucket, so no pair is missed, wherever its edits lie.
+Items and documents are read as words. What is searched for are windows of ``window`` words, the least passage that counts;
+an item with fewer words is one window of its own size. Each window is embedded by the random walk of Chakraborty,
+Goldenberg and Koucky, which turns few edits (words added, dropped or changed) into few differing places; a few places of
+the walk are sampled as a bucket key. This is repeated with other walks and places, as often as the chance that a pair with
+edits at the worst places shares a bucket asks for, which is measured for the given window and edits. Pairs of windows that
+share a bucket are compared exactly by edit distance. Equal windows share every bucket, so they are always found.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -20,11 +22,15 @@ from pyspark.sql import functions as F
 
 WINDOW = 12
 MAX_EDITS = 2
-#: Places sampled of the walk over a piece.
-PLACES = 6
-TARGET_RECALL = 0.95
-#: Words of items that one block holds on an executor.
-WORDS_PER_BLOCK = 2_000_000
+#: Places sampled of a walk. It stays with a word for two steps on average, so it has left the window after that many.
+PLACES, STEPS = 4, 2
+TARGET_RECALL = 0.99
+#: Words of items that one index holds; indexes that one scan of the documents meets; letters a task holds meanwhile.
+WORDS_PER_BLOCK = 500_000
+BLOCKS_PER_SCAN = 64
+LETTERS_HELD = 32_000_000
+#: Documents searched, and pairs of windows compared, at once.
+TEXTS, PAIRS = 500, 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -32,150 +38,186 @@ _U = np.uint64
 
 def words_of(text: str | None) -> list[str]:
     """Longest runs of letters and digits, without letter case."""
-    return [w.lower() for w in _WORD.findall(text)] if text else []
+    return _WORD.findall(text.lower()) if text else []
 
 
-def repetitions(recall: float = TARGET_RECALL) -> int:
-    """One walk, whatever the recall wanted: some piece is free of edits, and equal pieces share the bucket of every walk."""
-    return 1
+def edits_for(size: int, window: int = WINDOW, max_edits: int = MAX_EDITS) -> int:
+    """Edits allowed in a window of ``size`` words: ``max_edits`` for a whole one, fewer in proportion for a shorter item."""
+    return max_edits * min(size, window) // window
+
+
+class Walk:
+    """One random walk over windows of ``size`` symbols, and the places sampled over its whole length."""
+
+    def __init__(self, rng: np.random.Generator, size: int) -> None:
+        steps = STEPS * size
+        self.size = size
+        edges = np.linspace(0, steps, min(PLACES, steps) + 1).astype(int)
+        self.places = rng.integers(edges[:-1], edges[1:])  # one in each part of the walk, so that no two read one word
+        self.turns = rng.integers(0, 2**63, steps, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+        self.mixers = rng.integers(0, 2**63, len(self.places), dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+    def keys(self, symbols: np.ndarray, past: np.uint64) -> np.ndarray:
+        """Bucket keys of windows of random codes; at each step the walk reads a symbol, whose code says whether it goes on."""
+        n = len(symbols)
+        flat, base = np.ascontiguousarray(symbols).ravel(), np.arange(n) * self.size
+        at, key, k = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=_U), 0
+        for j in range(int(self.places[-1]) + 1):
+            symbol = np.where(at >= self.size, past, flat[base + np.minimum(at, self.size - 1)])
+            if self.places[k] == j:
+                key = (key ^ symbol) * self.mixers[k]
+                k += 1
+            at += ((symbol * self.turns[j]) >> _U(63)).astype(np.int64)
+        return key ^ (key >> _U(29))
+
+
+@functools.cache
+def hit_chance(size: int, edits: int) -> float:
+    """The least chance, over kinds and places of ``edits`` edits, that two windows of ``size`` words share a bucket.
+
+    Windows of one length differ by changed words, or by a word added and another dropped. Both kinds are tried with the
+    edits at the start, in the middle, at the end and apart, on random windows and walks (a fixed seed).
+    """
+    if not edits:
+        return 1.0
+    rng, n, least = np.random.default_rng(7), 250, 1.0
+    spots = sorted({(p, q) for p in (0, 1, size // 2, size - 2, size - 1) for q in (0, 1, size // 2, size - 2, size - 1) if p < q < size and p >= 0}) or [(0, 0)]
+    walks = [Walk(rng, size) for _ in range(24)]
+    for p, q in spots:
+        for kind in range(3 if edits > 1 else 1):
+            hits = 0
+            for walk in walks:
+                code = rng.integers(1, 2**63, (n, size + edits + 1), dtype=np.int64).astype(_U)
+                a, b = code[:, :size].copy(), code[:, :size].copy()
+                if kind == 0:
+                    for i, x in enumerate(sorted({p, q, *range(size)}, key=lambda s: (s not in (p, q), s))[:edits]):
+                        b[:, x] = code[:, size + i]
+                else:  # a word added at one place and one dropped at the other
+                    cut, put = (p, q) if kind == 1 else (q, p)
+                    rest = np.delete(b, cut, axis=1)
+                    b = np.insert(rest, min(put, size - 1), code[:, size], axis=1)
+                    for i in range(edits - 2):
+                        b[:, (p + 2 + i) % size] = code[:, size + 1 + i]
+                hits += (walk.keys(a, _U(1)) == walk.keys(b, _U(1))).sum()
+            least = min(least, hits / (n * len(walks)))
+    return max(least, 1e-3)
+
+
+def repetitions(recall: float = TARGET_RECALL, size: int = WINDOW, edits: int = MAX_EDITS) -> int:
+    """Walks needed so that a pair with that many edits at the worst places shares a bucket with the chance ``recall``."""
+    p = hit_chance(size, edits)
+    return 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+
+
+class _Sized:
+    """All distinct item windows of one size: whose they are, and their buckets."""
+
+    def __init__(self, rows: np.ndarray, owners: np.ndarray, edits: int, walks: list[Walk], code: np.ndarray, base: int) -> None:
+        self.size, self.edits, self.walks = rows.shape[1], edits, walks
+        self.rows, which = np.unique(rows, axis=0, return_inverse=True)  # a passage that many items share is one window
+        pairs = np.unique(np.stack([which.ravel(), owners], axis=1), axis=0)
+        self.owners, self.begins = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
+        self.buckets = []
+        for walk in walks:
+            keys = walk.keys(code[self.rows], code[-1])
+            order = np.argsort(keys, kind="stable")
+            self.buckets.append((keys[order], order))
+        self.pairs = np.unique(self.rows[:, :-1] * base + self.rows[:, 1:]) if self.size > 1 else np.empty(0, np.int64)
 
 
 class WindowIndex:
     """All windows of a block of items, by bucket, and the search in it."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, max_edits: int, n_repetitions: int, seed: int = 1) -> None:
-        self.window, self.most = window, max_edits
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, max_edits: int = MAX_EDITS, recall: float = TARGET_RECALL, whole_walks: int | None = None, seed: int = 1) -> None:
+        """``whole_walks``: the repetitions for whole windows, if they are known already."""
         self.vocabulary: dict[str, int] = {}
-        texts = [(i, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)]) for i, t in items]
+        by_size: dict[int, tuple[list, list]] = {}
+        for i, t in items:
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)]
+            if ids:
+                rows, owners = by_size.setdefault(min(window, len(ids)), ([], []))
+                rows += [ids[s : s + window] for s in range(max(0, len(ids) - window) + 1)]
+                owners += [i] * (max(0, len(ids) - window) + 1)
         rng = np.random.default_rng(seed)
         self.code = rng.integers(1, 2**63, len(self.vocabulary) + 2, dtype=np.int64).astype(_U)  # 0: unknown, last: past the end
-        owners, rows = [], []
-        for i, ids in texts:
-            for s in range(max(0, len(ids) - window) + 1):
-                part = ids[s : s + window]
-                if part:
-                    owners.append(i)
-                    rows.append(part + [-1] * (window - len(part)))  # an item shorter than a window is one, padded
-        self.owners = np.array(owners, dtype=np.int64)
-        self.rows = np.array(rows, dtype=np.int64).reshape(-1, window)
-        filled = (self.rows >= 0).sum(axis=1)
-        self.tiny = np.flatnonzero(filled <= max_edits)  # too short to be cut
-        self.buckets = []
-        for n in np.unique(filled[filled > max_edits]).tolist():
-            m = n // (max_edits + 1)
-            which = np.flatnonzero(filled == n)
-            row, offset = np.repeat(which, max_edits + 1), np.tile(np.arange(max_edits + 1) * m, len(which))
-            pieces = self.rows[row[:, None], offset[:, None] + np.arange(m)]
-            for _ in range(n_repetitions):
-                walk = self._walk(rng, m)
-                keys = self._keys(pieces, walk)
-                order = np.argsort(keys, kind="stable")
-                self.buckets.append((m, walk, keys[order], row[order], offset[order]))
-
-    @staticmethod
-    def _walk(rng: np.random.Generator, m: int) -> tuple:
-        """Places to sample, turns and mixers of a walk over pieces of ``m`` words, which has two steps a word on average."""
-        places = np.sort(rng.choice(2 * m, min(PLACES, 2 * m), replace=False))
-        turns = rng.integers(0, 2**63, 2 * m, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-        mixers = rng.integers(0, 2**63, len(places), dtype=np.int64).astype(_U) * _U(2) + _U(1)
-        return places, turns, mixers
-
-    def _keys(self, rows: np.ndarray, walk: tuple) -> np.ndarray:
-        places, turns, mixers = walk
-        n, m = rows.shape
-        at, key, k = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=_U), 0
-        flat, base = self.code[rows].ravel(), np.arange(n) * m
-        past = self.code[-1]
-        for j in range(int(places[-1]) + 1):
-            over = at >= m
-            symbol = flat[base + np.minimum(at, m - 1)]
-            if over.any():
-                symbol = np.where(over, past, symbol)
-            if k < len(places) and places[k] == j:
-                key = (key ^ symbol) * mixers[k]
-                k += 1
-            at += ((symbol * turns[j]) >> _U(63)).astype(np.int64)
-        return key ^ (key >> _U(29))
+        self.base = len(self.vocabulary) + 1
+        self.sized = []
+        for size, (rows, owners) in sorted(by_size.items()):
+            edits = edits_for(size, window, max_edits)
+            times = whole_walks if whole_walks and size == window else repetitions(recall, size, edits)
+            self.sized.append(_Sized(np.array(rows, dtype=np.int64), np.array(owners, dtype=np.int64), edits, [Walk(rng, size) for _ in range(times)], self.code, self.base))
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
-        """(text number, item id, fewest edits) of every text and item with a pair of windows within ``max_edits``."""
+    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(text number, item id, fewest edits, words of the window) of every text and item with windows near enough."""
         known = self.vocabulary.get
-        flat, text, usable, full = self._starts([[known(w, 0) for w in words_of(t)] for t in texts])
-        if not usable.any():
-            return []
-        windows = np.lib.stride_tricks.sliding_window_view(flat, self.window)
-        best: dict[tuple[int, int], int] = {}
-        pair = self._candidates(flat, usable, full)
-        for at in range(0, len(pair), 20_000):
-            part = pair[at : at + 20_000]
-            left, right = part // len(self.rows), part % len(self.rows)
-            edits = edit_distances(windows[left], self.rows[right], self.most)
-            near = np.flatnonzero(edits <= self.most)
-            for l, r, e in zip(text[left[near]].tolist(), self.owners[right[near]].tolist(), edits[near].tolist(), strict=True):  # noqa: E741
-                if e < best.get((l, r), self.most + 1):
-                    best[l, r] = e
-        return [(t, i, e) for (t, i), e in best.items()]
-
-    def _candidates(self, flat: np.ndarray, usable: np.ndarray, full: np.ndarray) -> np.ndarray:
-        """Start of a window times the number of item windows, plus an item window's number, for all pairs to compare."""
-        n, size = len(usable), len(self.rows)
-        # Words dropped on one side of a piece must be made up for on the other, as windows have one length.
-        most_shift = self.most // 2
-        before = np.concatenate(([0], np.cumsum(usable)))
-        known = np.concatenate(([0], np.cumsum(flat > 0)))
-        out = []
-        for m, walk, keys, row, offset in self.buckets:
-            at = np.flatnonzero(known[m:] - known[:-m] == m)
-            first, last = np.clip(at - (self.window - m) - most_shift, 0, n), np.clip(at + most_shift + 1, 0, n)
-            at = at[before[last] > before[first]]
-            mine = self._keys(np.lib.stride_tricks.sliding_window_view(flat, m)[at], walk)
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            counts = hi - lo
-            total = np.cumsum(counts)
-            if not len(total) or not total[-1]:
-                continue
-            entry = np.arange(total[-1]) - np.repeat(total - counts - lo, counts)
-            start = np.repeat(at, counts) - offset[entry]
-            for shift in range(-most_shift, most_shift + 1):
-                s = start - shift
-                ok = (s >= 0) & (s < n)
-                ok[ok] = usable[s[ok]]
-                out.append(s[ok] * size + row[entry[ok]])
-        for r in self.tiny.tolist():
-            out.append(np.flatnonzero(usable & (full <= (self.rows[r] >= 0).sum() + self.most)) * size + r)
-        return np.unique(np.concatenate(out)) if out else np.empty(0, np.int64)
-
-    def _starts(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All words; of each place of a window its text, whether the window holds enough known words to be within
-        ``max_edits`` of any item window, and how many words."""
-        w, lengths = self.window, np.array([len(x) for x in ids], dtype=np.int64)
-        padded = [x + [-1] * (w - 1) for x in ids]  # so that texts, like items, may end inside a window
-        flat = np.array([v for x in padded for v in x], dtype=np.int64)
-        n = len(flat) - w + 1
+        ids = [[known(w, 0) for w in words_of(t)] for t in texts]
+        flat = np.array([v for x in ids for v in (*x, -1)], dtype=np.int64)  # -1 parts the texts
+        owner = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for s in self.sized:
+            starts = self._usable(flat, s)
+            for a in range(0, len(starts), 20_000):
+                for at, row, edits in self._near(flat, starts[a : a + 20_000], s):
+                    for place, r, e in zip(at.tolist(), row.tolist(), edits.tolist(), strict=True):
+                        text = int(owner[place])
+                        for i in s.owners[s.begins[r] : s.begins[r + 1]].tolist():
+                            if e < best.get((text, i), (s.edits + 1, 0))[0]:
+                                best[text, i] = (e, s.size)
+        return [(t, i, e, n) for (t, i), (e, n) in best.items()]
+
+    def _usable(self, flat: np.ndarray, s: _Sized) -> np.ndarray:
+        """Starts of windows inside one text that can be near at all: an edit spoils one word and two pairs of neighbours."""
+        n = len(flat) - s.size + 1
         if n <= 0:
-            return flat, np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
-        text = np.repeat(np.arange(len(ids)), lengths + w - 1)
-        known = np.concatenate(([0], np.cumsum(flat > 0)))
-        filled = np.concatenate(([0], np.cumsum(flat >= 0)))
-        has, full = known[w : w + n] - known[:n], filled[w : w + n] - filled[:n]
-        usable = (has >= np.maximum(1, np.minimum(full, self.shortest) - self.most)) & (full >= self.shortest - self.most) & (flat[:n] >= 0) & (text[:n] == text[w - 1 : w - 1 + n])
-        return flat, text[:n], usable, full
-
-    def _windows(self, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """The usable windows, and the text of each."""
-        flat, text, usable, _ = self._starts(ids)
-        if not usable.any():
-            return np.empty((0, self.window), np.int64), np.empty(0, np.int64)
-        return np.lib.stride_tricks.sliding_window_view(flat, self.window)[usable], text[usable]
-
-    @property
-    def shortest(self) -> int:
-        """Words of the shortest item window."""
-        return int((self.rows >= 0).sum(axis=1).min()) if len(self.rows) else self.window
+            return np.empty(0, np.int64)
+
+        def within(marks: np.ndarray, width: int) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(marks)))
+            return total[width : width + n] - total[:n]
+
+        ok = (within(flat < 0, s.size) == 0) & (within(flat > 0, s.size) >= max(1, s.size - s.edits))
+        wanted = s.size - 1 - 2 * s.edits
+        if wanted > 0 and ok.any():
+            pair = flat[:-1] * self.base + flat[1:]
+            pair[(flat[:-1] <= 0) | (flat[1:] <= 0)] = -1
+            found = np.searchsorted(s.pairs, pair)
+            has = s.pairs[np.minimum(found, len(s.pairs) - 1)] == pair
+            ok &= within(has, s.size - 1) >= wanted
+        return np.flatnonzero(ok)
+
+    def _near(self, flat: np.ndarray, starts: np.ndarray, s: _Sized) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, item window, edits) of the pairs that share a bucket and are near enough, at most ``PAIRS`` at a time."""
+        windows = np.lib.stride_tricks.sliding_window_view(flat, s.size)[starts]
+        symbols = self.code[windows]
+        held, size = [], 0
+
+        def compared(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at, row = np.divmod(np.unique(np.concatenate(codes)), len(s.rows))
+            edits = edit_distances(windows[at], s.rows[row], s.edits)
+            near = np.flatnonzero(edits <= s.edits)
+            return starts[at[near]], row[near], edits[near]
+
+        for walk, (keys, order) in zip(s.walks, s.buckets, strict=True):
+            mine = walk.keys(symbols, self.code[-1])
+            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            upto = np.cumsum(hi - lo)
+            total, a = int(upto[-1]) if len(upto) else 0, 0
+            while a < total:  # a bucket of any size is taken in parts
+                number = np.arange(a, min(total, a + PAIRS))
+                at = np.searchsorted(upto, number, "right")
+                entry = lo[at] + number - (upto[at] - (hi - lo)[at])
+                held.append(np.unique(at * len(s.rows) + order[entry]))
+                size += len(held[-1])
+                a += PAIRS
+                if size >= PAIRS:
+                    yield compared(held)
+                    held, size = [], 0
+        if held:
+            yield compared(held)
 
 
 def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Edit distances of rows of word numbers (0 equals nothing, -1 pads the end), exact up to ``most``, else larger."""
+    """Edit distances of rows of word numbers (0 equals nothing), exact up to ``most``, else larger."""
     n, w = a.shape
     out = np.full(n, most + 1, dtype=np.int64)
     same = ((a == b) & (a != 0)).all(axis=1)
@@ -208,35 +250,53 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
 
 
 def leaks(documents: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, window: int = WINDOW, max_edits: int = MAX_EDITS, recall: float = TARGET_RECALL) -> DataFrame:
-    """``item_id``, ``doc_id``, ``edits``: items and documents with windows within ``max_edits`` words of each other.
+    """``item_id``, ``doc_id``, ``edits``, ``words``: items and documents with windows within ``max_edits`` words of each other.
 
-    ``edits`` is the fewest; 0 means that ``window`` consecutive words are shared. Near pairs are found without fail too,
-    whatever ``recall`` asks for. Items with fewer words than a window count as one
-    window, padded. Null texts match nothing. The items, a stated set, are taken in blocks of bounded size, one broadcast
-    each; documents are read once per block in one pass without shuffle, whole texts, any number of hits.
+    ``words`` is the size of the windows: ``window``, or all words of a shorter item, of which fewer edits are allowed
+    (:func:`edits_for`). ``edits`` is the fewest found; 0 means that the words are shared one after the other, which is
+    always found. A pair of windows with edits is found with at least the chance ``recall``, wherever they lie; a document
+    and an item that share a longer passage have many such pairs. Null and empty texts match nothing. Documents are read
+    once, whole, without a shuffle and with any number of hits; the items, a stated set, are cut into blocks of bounded
+    size, and a task that has gathered ``LETTERS_HELD`` of documents takes one block after the other.
     """
     spark = documents.sparkSession
     slim_items = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t IS NOT NULL")
     total = slim_items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-total // (4 * WORDS_PER_BLOCK)))
-    n_repetitions = repetitions(recall) if max_edits else 1
+    walks = repetitions(recall, window, max_edits)
     slim = documents.select(F.col(doc_id).alias("d"), F.col(doc_text).alias("t")).filter("t IS NOT NULL")
     kind = slim.schema["d"].dataType.simpleString()
     out = None
-    for k in range(blocks):
-        part = slim_items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(sorted((r["i"], r["t"]) for r in part.toLocalIterator()))
+    for first in range(0, blocks, BLOCKS_PER_SCAN):
+        held = [
+            spark.sparkContext.broadcast(sorted((r["i"], r["t"]) for r in slim_items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).toLocalIterator()))
+            for k in range(first, min(blocks, first + BLOCKS_PER_SCAN))
+        ]
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = WindowIndex(held.value, window, max_edits, n_repetitions)
+            only = WindowIndex(held[0].value, window, max_edits, recall, walks) if len(held) == 1 else None
+            gathered, letters = [], 0
+
+            def met() -> Iterator[pa.RecordBatch]:
+                for h in held:
+                    index = only or WindowIndex(h.value, window, max_edits, recall, walks)
+                    for b in gathered:
+                        for at in range(0, b.num_rows, TEXTS):
+                            part = b.slice(at, TEXTS)
+                            found = index.search(part.column(1).to_pylist())
+                            if found:
+                                t, i, e, n = zip(*found, strict=True)
+                                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), part.column(0).take(pa.array(t, pa.int64())), pa.array(e, pa.int32()), pa.array(n, pa.int32())], names=["item_id", "doc_id", "edits", "words"])
+
             for b in batches:
-                for at in range(0, b.num_rows, 100):
-                    part = b.slice(at, 100)
-                    found = index.search(part.column(1).to_pylist())
-                    if found:
-                        t, i, e = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), part.column(0).take(pa.array(t, pa.int64())), pa.array(e, pa.int32())], names=["item_id", "doc_id", "edits"])
-
-        found = slim.mapInArrow(run, f"item_id bigint, doc_id {kind}, edits int")
+                gathered.append(b)
+                letters += b.column(1).nbytes
+                if only or letters >= LETTERS_HELD:
+                    yield from met()
+                    gathered, letters = [], 0
+            if gathered:
+                yield from met()
+
+        found = slim.mapInArrow(run, f"item_id bigint, doc_id {kind}, edits int, words int")
         out = found if out is None else out.unionByName(found)
     return out

@@ -131,17 +131,17 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs whose nearest windows, of twelve words, are equal."""
-    return _leaks(spark, d).filter("edits = 0").select("item_id", "doc_id")
+    return _leaks(spark, d).filter(f"edits = 0 AND words = {leakage.WINDOW}").select("item_id", "doc_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
-    """Each item with the number of documents that repeat a window of it exactly."""
-    found = _leaks(spark, d).filter("edits = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Each item with the number of documents that repeat twelve words of it exactly."""
+    found = _leaks(spark, d).filter(f"edits = 0 AND words = {leakage.WINDOW}").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     return _table(spark, d, "eval_items").select("item_id", "suite", "split").join(found, "item_id", "left").fillna(0, ["n_docs"])
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs with windows within two edits, with the fewest edits found."""
+    """All pairs with windows within two edits (short items: fewer), with the fewest edits found and the windows' words."""
     return _leaks(spark, d)
 
 
