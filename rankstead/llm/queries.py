@@ -93,14 +93,13 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_words(spark: SparkSession, d: str) -> DataFrame:
-    pairs = terms.explode_terms(_table(spark, d, "documents"), "doc_id", "text", "[A-Za-z0-9]+")
+    pairs = terms.explode_terms(_table(spark, d, "documents"), "doc_id", "text")
     return terms.term_frequencies(pairs, "term", "record").select("term", "n_occurrences", "n_records")
 
 
 def p6_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct word of the documents in letters of any script, with its mark; ``p6_words`` has ASCII words only."""
-    pairs = terms.explode_terms(_table(spark, d, "documents"), "doc_id", "text")
-    return terms.marked(terms.term_frequencies(pairs, "term", "record"), RARE_UPTO, COMMON_FROM)
+    """Every distinct word of the documents, in letters of any script, with its mark."""
+    return terms.marked(p6_words(spark, d), RARE_UPTO, COMMON_FROM)
 
 
 # Problem 7
@@ -185,6 +184,8 @@ _NEAR = f"""
     near AS (SELECT test_id, fold_set, train_id, source, hamming(e.p, t.p) AS h FROM e JOIN t ON length(e.p) = length(t.p) AND hamming(e.p, t.p) <= 2)"""
 _COUNTS = f"WITH c AS (SELECT {_FOLD} AS peptide, count(*) AS n FROM atlas_labelled WHERE peptide IS NOT NULL GROUP BY 1)"
 
+_WORDS = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+    w AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM t GROUP BY term)"""
 _RUNS = "SELECT {0}, list_aggregate(w[k:k + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1}))"
 _SHARED = f"""WITH shared AS (SELECT DISTINCT item_id, doc_id FROM ({_RUNS.format('item_id', 'eval_items')}) JOIN ({_RUNS.format('doc_id', 'documents')}) USING (g))"""
 
@@ -213,9 +214,8 @@ SQL = {
     "p6_found": f"{_COUNTS} SELECT peptide, CASE WHEN n = 1 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE n = 1 OR n >= 25",
     "p6_counts": f"""{_COUNTS} SELECT peptide, n AS n_occurrences, n AS n_records,
         CASE WHEN n = 1 THEN 'rare' WHEN n >= 25 THEN 'common' END AS mark FROM c""",
-    "p6_words": """
-        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+')) AS term FROM documents)
-        SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM t GROUP BY term""",
+    "p6_words": f"{_WORDS} SELECT * FROM w",
+    "p6_terms": f"{_WORDS} SELECT *, CASE WHEN n_records <= 1 THEN 'rare' WHEN n_records >= 25 THEN 'common' END AS mark FROM w",
     "p8_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
     "p8_items": f"""{_SHARED} SELECT e.item_id, e.suite, e.split, count(s.doc_id) AS n_docs FROM eval_items e LEFT JOIN shared s USING (item_id)
         GROUP BY ALL""",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from rankstead.operators.skew import cut_lineage, lookup_skew_safe, positions_within
 
-#: Links that one task may hold at once while it builds its forest (about 200 bytes each).
+#: Links that one task may hold at once while it builds its forest (about 200 bytes each), and the least tasks that begin.
 LINKS_PER_TASK = 1_000_000
+LEAST_TASKS = 6
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,30 +51,31 @@ def _mix(x: int) -> int:
     return (x ^ (x >> 27)) * 0x81DADEF4BC2DD44D & 0xFFFFFFFFFFFFFFFF
 
 
-def connected_roots(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> DataFrame:
+def connected_roots(links: DataFrame, links_per_task: int = LINKS_PER_TASK, least_tasks: int = LEAST_TASKS) -> DataFrame:
     """``node``, ``root`` for every node of ``links`` (bigint columns ``u``, ``v``): equal roots exactly within a component.
 
-    Each level spreads the links evenly over as many tasks as hold them, and every task builds a local forest. A node has
-    at most one root from each task; its roots belong together and become the links of the next level. A node that was
-    no root anywhere leaves the graph and points to one of its roots; a root without new links is final. As every level
-    loses these nodes' links, levels shrink and tasks are merged accordingly, until one bounded task holds what is left.
-    The pointers are then resolved from the top level down. Nothing is gathered on the driver, and no task holds more
-    than about ``links_per_task`` links at any level, however large a component or a node's neighbourhood is.
+    Each level spreads the links evenly over as many tasks as hold them, at least ``least_tasks`` at first, and every task
+    builds a local forest. A node has at most one root from each task; its roots belong together and become the links of
+    the next level, where the forests are merged. A node that was no root anywhere leaves the graph and points to one of
+    its roots; a root without new links is final. As every level loses these nodes' links, levels shrink and take fewer
+    tasks, until one bounded task merges what is left. The pointers are then resolved from the top level down. Nothing is
+    gathered on the driver, and no task holds more than about ``links_per_task`` links at any level, however large a
+    component or a node's neighbourhood is.
     """
     level = cut_lineage(links.select(F.col("u").cast("bigint"), F.col("v").cast("bigint")).filter("u <> v"))
     n, below, final = level.count(), [], []
-    while n > links_per_task:
-        spread = level.repartition(-(-n // links_per_task), "u", "v")
-        forest = spread.mapInArrow(_forest, "node bigint, root bigint")
+    tasks = max(-(-n // links_per_task), least_tasks)
+    while tasks > 1:
+        forest = level.repartition(tasks, "u", "v").mapInArrow(_forest, "node bigint, root bigint")
         nodes = cut_lineage(forest.groupBy("node").agg(F.array_sort(F.collect_set("root")).alias("roots")))  # at most one per task
-        leaves = nodes.filter("NOT array_contains(roots, node)").select("node", F.col("roots")[0].alias("up"))
+        below.append(nodes.filter("NOT array_contains(roots, node)").select("node", F.col("roots")[0].alias("up")))
         tied = nodes.filter("size(roots) > 1").select(F.col("roots")[0].alias("u"), F.explode(F.slice("roots", 2, F.size("roots") - 1)).alias("v"))
         level = cut_lineage(tied.distinct())
         ends = level.select(F.col("u").alias("node")).unionByName(level.select(F.col("v").alias("node"))).distinct()
         done = nodes.filter("size(roots) = 1 AND roots[0] = node").select("node").join(ends, "node", "left_anti")
-        final.append(cut_lineage(done.select("node", F.col("node").alias("root"))))
-        below.append(cut_lineage(leaves))
+        final.append(done.select("node", F.col("node").alias("root")))
         n = level.count()
+        tasks = -(-n // links_per_task)
     top = level.coalesce(1).mapInArrow(_forest, "node bigint, root bigint")
     for done in final:
         top = top.unionByName(done)
@@ -85,43 +87,40 @@ def connected_roots(links: DataFrame, links_per_task: int = LINKS_PER_TASK) -> D
     return top
 
 
-def _attach_first(rows: DataFrame, keys: list[Column], name: str) -> DataFrame:
-    """Add ``name``: the least ``row`` among the rows with the same ``keys``; null where a key is null."""
-    names = [f"_k{i}" for i in range(len(keys))]
-    keyed = rows.withColumns(dict(zip(names, keys, strict=True)))
-    whole = keyed.dropna(subset=names)
-    firsts = cut_lineage(whole.groupBy(*names).agg(F.min("row").alias(name), F.count(F.lit(1)).alias("_n")))
-    shared = firsts.filter("_n > 1")
-    found = lookup_skew_safe(whole, shared, names, "_n", "left").withColumn(name, F.coalesce(name, "row"))
-    rest = keyed.filter(" OR ".join(f"{n} IS NULL" for n in names)).withColumn(name, F.lit(None).cast("bigint"))
-    return found.unionByName(rest).drop(*names)
-
-
 def related_groups(df: DataFrame, id_col: str, ties: list[list[Column]], links_per_task: int = LINKS_PER_TASK) -> DataFrame:
     """``row_id`` and ``first_id`` (least row id of its group) for every row of ``df``.
 
     ``ties`` lists the keys, each a list of columns: rows equal in all columns of one key belong together, and so do rows
     tied through others. A key with a null ties nothing. ``id_col`` must be unique; a row that nothing ties is a group of
-    its own. Every key value is represented by its least row, so links are between row ids and repeated values cost one
-    link. A value may be shared by any share of the rows.
+    its own. Every shared key value is represented by its least row; a row links the representatives of its keys, so
+    repeated values cost one link. A value may be shared by any share of the rows.
     """
-    rows = df.select(F.col(id_col).cast("bigint").alias("row"), *[c.alias(f"_t{i}_{j}") for i, key in enumerate(ties) for j, c in enumerate(key)])
-    for i, key in enumerate(ties):
-        own = [f"_t{i}_{j}" for j in range(len(key))]
-        rows = cut_lineage(_attach_first(rows, [F.col(c) for c in own], f"first{i}").drop(*own))
+    row = F.col(id_col).cast("bigint").alias("row")
     firsts = [f"first{i}" for i in range(len(ties))]
-    rows = cut_lineage(rows.withColumn("at", F.coalesce(*firsts, "row")))
-    pairs = [rows.select(F.least("at", f).alias("u"), F.greatest("at", f).alias("v")) for f in firsts]
-    links = pairs[0]
-    for p in pairs[1:]:
-        links = links.unionByName(p)
-    links = links.filter("u <> v").distinct()
-    roots = connected_roots(links, links_per_task)
+    none = F.lit(None).cast("bigint")
+    held = df.select(row, *[none.alias(f) for f in firsts])
+    for i, key in enumerate(ties):
+        names = [f"_k{j}" for j in range(len(key))]
+        keyed = df.select(row, *[c.alias(n) for c, n in zip(key, names, strict=True)]).dropna(subset=names)
+        shared = keyed.groupBy(*names).agg(F.min("row").alias(firsts[i]), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        tied = lookup_skew_safe(keyed, cut_lineage(shared), names, "_n")  # keys not among the shared stand alone
+        held = held.unionByName(tied.select("row", *[F.col(f) if f == firsts[i] else none.alias(f) for f in firsts]))
+    rows = cut_lineage(held.groupBy("row").agg(*[F.max(f).alias(f) for f in firsts]).withColumn("at", F.coalesce(*firsts, "row")))
+    links = None
+    for f in firsts[1:]:
+        pairs = rows.filter(F.col(f) != F.col("at")).select(F.least("at", f).alias("u"), F.greatest("at", f).alias("v"))
+        links = pairs if links is None else links.unionByName(pairs)
+    if links is None:
+        return rows.select(F.col("row").alias("row_id"), F.col("at").alias("first_id"))
+    roots = connected_roots(links.distinct(), links_per_task)
     least = cut_lineage(roots.groupBy("root").agg(F.min("node").alias("first_id"), F.count(F.lit(1)).alias("_n")))
     named = lookup_skew_safe(roots, least, ["root"], "_n").select(F.col("node").alias("at"), "first_id")
-    counts = rows.groupBy("at").agg(F.count(F.lit(1)).alias("_n"))
-    table = cut_lineage(named.join(counts, "at"))
-    return lookup_skew_safe(rows.select("row", "at"), table, ["at"], "_n", "left").select(F.col("row").alias("row_id"), F.coalesce("first_id", "at").alias("first_id"))
+    groups = rows.filter(" OR ".join(f"{f} IS NOT NULL" for f in firsts))
+    counts = groups.groupBy("at").agg(F.count(F.lit(1)).alias("_n"))
+    table = cut_lineage(counts.join(named, "at", "left").select("at", F.coalesce("first_id", "at").alias("first_id"), "_n"))
+    tied = lookup_skew_safe(groups.select("row", "at"), table, ["at"], "_n").select(F.col("row").alias("row_id"), "first_id")
+    alone = rows.filter(" AND ".join(f"{f} IS NULL" for f in firsts))
+    return tied.unionByName(alone.select(F.col("row").alias("row_id"), F.col("row").alias("first_id")))
 
 
 def _take_largest(deficits: list[int], size: int, count: int) -> list[int]:

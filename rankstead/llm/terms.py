@@ -10,35 +10,44 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankstead.operators.skew import tasks_for
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each entry but the first differs from the one before it; null equals null."""
+    now, before = column.slice(1), column.slice(0, len(column) - 1)
+    differ = pc.fill_null(pc.not_equal(now, before), False)
+    return pc.or_(differ, pc.xor(pc.is_null(now), pc.is_null(before))).to_numpy(zero_copy_only=False)
+
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of equal terms in one sorted partition: term, occurrences and records; a run may span batches."""
-    held: tuple[str, int, int] | None = None
+    """Runs of equal terms in one partition sorted by term and record: term, occurrences, records; a run may span batches."""
+    held: list | None = None  # term, occurrences, records, last record
     names = ["term", "n_occurrences", "n_records"]
 
-    def one(run: tuple[str, int, int]) -> pa.RecordBatch:
+    def one(run: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([run[0]], pa.string()), pa.array([run[1]], pa.int64()), pa.array([run[2]], pa.int64())], names=names)
 
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        terms, weights = b.column(0), b.column(1).to_numpy()
-        new = pc.not_equal(terms.slice(1), terms.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        starts = np.concatenate(([0], np.flatnonzero(new) + 1))
-        occurrences = np.add.reduceat(weights, starts)
-        records = np.diff(np.concatenate((starts, [n])))
+        terms, records = b.column(0), b.column(1)
+        new_term = _changes(terms)
+        starts = np.concatenate(([0], np.flatnonzero(new_term) + 1))
+        fresh = np.concatenate(([1], new_term | _changes(records))).astype(np.int64)  # the first row of each term and record
+        occurrences, distinct = np.diff(np.concatenate((starts, [n]))), np.add.reduceat(fresh, starts)
         runs = terms.take(pa.array(starts))
         if held:
             if held[0] == runs[0].as_py():
+                distinct[0] += held[2] - (held[3] == records[0].as_py())
                 occurrences[0] += held[1]
-                records[0] += held[2]
             else:
                 yield one(held)
         k = len(starts) - 1  # the last run may go on in the next batch
         if k:
-            yield pa.RecordBatch.from_arrays([runs.slice(0, k), pa.array(occurrences[:k]), pa.array(records[:k])], names=names)
-        held = (runs[k].as_py(), int(occurrences[k]), int(records[k]))
+            yield pa.RecordBatch.from_arrays([runs.slice(0, k), pa.array(occurrences[:k]), pa.array(distinct[:k])], names=names)
+        held = [runs[k].as_py(), int(occurrences[k]), int(distinct[k]), records[n - 1].as_py()]
     if held:
         yield one(held)
 
@@ -46,15 +55,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_frequencies(pairs: DataFrame, term: str, record: str) -> DataFrame:
     """``term``, ``n_occurrences``, ``n_records`` of every distinct non-null term of (term, record) ``pairs``.
 
-    The pairs are first combined map-side to one row per (term, record), then range-partitioned and sorted by both, so
-    that a term that stands in a third of all records is spread over many partitions while equal pairs stay together.
-    Each partition is scanned once. A run that goes on in another partition is added up with its other parts at the end,
-    when there is but one row per term and partition. An empty table gives an empty result; the empty text is a term.
+    The pairs are range-partitioned and sorted by term and record, so that a term that stands in a third of all records is
+    spread over many partitions while equal pairs stay together. Each partition is scanned once, which counts occurrences
+    and distinct records of every run. A run that goes on in another partition is added up with its other parts at the
+    end, when there is but one row per term and partition. There are as many partitions as the inputs' size asks for. An
+    empty table gives an empty result; the empty text is a term; null records count as one.
     """
-    spark = pairs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    unique = pairs.filter(F.col(term).isNotNull()).groupBy(F.col(term).alias("_t"), F.col(record).alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-    runs = unique.repartitionByRange(parts, "_t", "_r").sortWithinPartitions("_t", "_r").select("_t", "_n").mapInArrow(_scan, "term string, n_occurrences bigint, n_records bigint")
+    slim = pairs.filter(F.col(term).isNotNull()).select(F.col(term).alias("_t"), F.col(record).alias("_r"))
+    runs = slim.repartitionByRange(tasks_for(pairs), "_t", "_r").sortWithinPartitions("_t", "_r").mapInArrow(_scan, "term string, n_occurrences bigint, n_records bigint")
     return runs.groupBy("term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
 
 

@@ -44,3 +44,9 @@ def test_edges(spark):
     df = df.withColumn("_raw", F.lit("clash")).withColumn("n_raw", F.lit(0)).withColumn("first_id", F.lit(-1))
     assert {(r[0], r[1]) for r in dedup.copies(df, "row_id", ["a", "b"]).select("first_id", "copy_id").collect()} == {(1, 2), (4, 5)}
     assert dedup.copies(df.limit(0), "row_id", ["a", "b"]).count() == dedup.collapse(df.limit(0), "row_id", ["a", "b"]).count() == 0
+
+
+def test_minus_zero_and_nan_are_compared_as_grouping_does(spark):
+    df = spark.createDataFrame([(1, "a", 0.0), (2, "a", -0.0), (3, "A", 0.0), (4, "a", -0.0), (5, "a", float("nan")), (6, "a ", float("nan")), (7, "a", None)], "i int, t string, x double")
+    assert {(r["first_id"], r["copy_id"]) for r in dedup.copies(df, "i", ["t"], ["x"]).collect()} == {(1, 2), (1, 3), (1, 4), (5, 6)}
+    assert sorted(r["n_copies"] for r in dedup.collapse(df, "i", ["t"], ["x"]).collect()) == [1, 2, 4]

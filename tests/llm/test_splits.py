@@ -95,3 +95,11 @@ def test_empty_and_all_null(spark):
     assert {(r["row_id"], r["first_id"]) for r in splits.related_groups(df, "row_id", keys()).collect()} == {(7, 7), (8, 8)}
     assert splits.related_groups(df.limit(0), "row_id", keys()).count() == 0
     assert splits.assign_splits(splits.related_groups(df.limit(0), "row_id", keys()), {"a": 1.0}).count() == 0
+
+
+def test_one_tie_alone_and_least_tasks(spark):
+    df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, "b")], "i int, k string")
+    assert {tuple(r) for r in splits.related_groups(df, "i", [[F.col("k")]]).select("row_id", "first_id").collect()} == {(3, 1), (1, 1), (2, 2), (4, 4)}
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)], "u bigint, v bigint")
+    for tasks in (1, 5):
+        assert splits.connected_roots(links, least_tasks=tasks).select("root").distinct().count() == 1
