@@ -1,10 +1,11 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and streaming decoding.
 
 BPE's result for a text's prefix ends in one token that is fixed by the prefix; the tokens before it are the result for
-the shorter prefix. So a transducer that reads bytes needs to know only the last tokens of the recent prefixes: on the
-next byte, the new last token is the one vocabulary entry that ends there and that BPE lets follow the last token of the
-prefix before it (two tokens may follow each other exactly if BPE gives these two for their joined bytes). A token is put
-out as soon as every way the text can go on shares it, which is after at most as many bytes as the longest token has.
+the shorter prefix. So a transducer that reads bytes tells for each byte the token that ends there: the one vocabulary
+entry that BPE lets follow the last token of the prefix before it (two tokens may follow each other exactly if BPE gives
+these two for their joined bytes). Its state is what the next tokens can depend on: the last bytes that begin some token,
+and the last tokens at these places. What has been read is put out as soon as all ways the text can go on share it, which
+is after at most as many bytes as the longest token has, or at the end of a word.
 
 States and transitions are made when first needed and kept in a table of bounded size.
 """
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 #: Entries of the transition table and of the table of whole words; a full table is emptied.
 MAX_TRANSITIONS = 1_000_000
 MAX_WORDS = 200_000
+#: Bytes of a word after which what is settled is put out; letters of a text whose words are taken one by one.
+LONG_WORD, LONG_TEXT = 4096, 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,21 +42,22 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.size_of = {i: len(b) for b, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}  # proper ones
-        self._follows: dict[tuple[int, int], bool] = {}
         self._built: dict[int, tuple[list[int], list[int], tuple[int, int]]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: the last token put out (-1: none), the bytes since, the last token of each prefix of these, and how many
-        # of the last bytes begin some token.
-        self.states: list[tuple[int, bytes, tuple[int, ...], int]] = [(-1, b"", (), 0)]
+        # A state: the last bytes that begin some token, and the last token of each prefix from the place before them on
+        # (-1: the prefix is empty).
+        self.states: list[tuple[bytes, tuple[int, ...]]] = [(b"", (-1,))]
         self.index = {self.states[0]: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
+        self.steps: dict[int, tuple[int, int]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
-        # By the last bytes that begin a token, and one more: how many again begin one, and the tokens that end here.
-        self.tails: dict[bytes, tuple[int, list[tuple[int, int]]]] = {}
+        self._follows: dict[int, bool] = {}
+        # By the last bytes that begin a token, and one more: those of them that again begin one, and the tokens that end
+        # here, each with the number of bytes before it.
+        self.tails: dict[bytes, tuple[bytes, list[tuple[int, int]]]] = {}
 
     def _ends(self, token: int) -> tuple[list[int], list[int], tuple[int, int]]:
         """How BPE builds a token: the symbols at its left and right end as they come to be, and the last two parts."""
@@ -81,7 +85,8 @@ class Transducer:
         A symbol at the border is there until the merge that takes it in. A crossing merge happens if it comes before both
         of these; of equal merges the one further left is first.
         """
-        known = self._follows.get((a, b))
+        pair = a << 32 | b
+        known = self._follows.get(pair)
         if known is not None:
             return known
         rights, lefts, ranks, bytes_of = self._ends(a)[1], self._ends(b)[0], self.ranks, self.bytes_of
@@ -95,90 +100,98 @@ class Transducer:
                     break
             if not known:
                 break
-        self._follows[a, b] = known
+        self._follows[pair] = known
         return known
 
-    def _chain(self, lasts: tuple[int, ...], at: int) -> list[int]:
-        """The places where tokens end on the way to ``at``, ``at`` first, 0 last."""
-        places = [at]
-        while at:
-            at -= len(self.bytes_of[lasts[at - 1]])
-            places.append(at)
-        return places
-
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, held, lasts, begun = self.states[state]
-        data = held + bytes((byte,))
-        n = len(data)
-        tail = data[n - begun - 1 :]
+    def _number(self, state: tuple[bytes, tuple[int, ...]]) -> int:
+        at = self.index.get(state)
+        if at is None:
+            at = self.index[state] = len(self.states)
+            self.states.append(state)
+        return at
+
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the token that ends with the byte."""
+        begun, lasts = self.states[state]
+        tail = begun + bytes((byte,))
         seen = self.tails.get(tail)
         if seen is None:
-            seen = self.tails[tail] = (
-                next((k for k in range(len(tail), 0, -1) if tail[-k:] in self.prefixes), 0),
-                [(k, t) for k in range(len(tail), 0, -1) if (t := self.ranks.get(tail[-k:])) is not None],
-            )
-        reach, endings = seen
-        for size, token in endings:
-            left = lasts[n - size - 1] if n > size else before
+            n = len(tail)
+            reach = next((k for k in range(n) if tail[k:] in self.prefixes), n)
+            seen = self.tails[tail] = (tail[reach:], [(k, t) for k in range(n) if (t := self.ranks.get(tail[k:])) is not None])
+        begins, endings = seen
+        for before, token in endings:
+            left = lasts[before]
             if left < 0 or self.follows(left, token):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
-        lasts = (*lasts, token)
-        # The next tokens start no earlier than the longest suffix that still begins a token; what all prefixes from there
-        # on share is final.
-        ways = set(range(n - reach, n + 1))
-        while len(ways) > 1:  # go back from the farthest place until all ways have met
-            at = max(ways)
-            ways.remove(at)
-            ways.add(at - len(self.bytes_of[lasts[at - 1]]))
-        cut = ways.pop()
-        out = tuple(lasts[p - 1] for p in reversed(self._chain(lasts, cut)[:-1]))
-        # The token before the cut matters only as long as one may start there.
-        new = ((out[-1] if out else before) if cut == n - reach else -1, data[cut:], lasts[cut:], reach)
-        at = self.index.get(new)
-        if at is None:
-            at = self.index[new] = len(self.states)
-            self.states.append(new)
-        made = self.steps[state << 8 | byte] = (at, out)
+        made = self.steps[state << 8 | byte] = (self._number((begins, (*lasts, token)[-len(begins) - 1 :])), token)
         return made
 
-    def _end(self, state: int) -> tuple[int, ...]:
-        _, held, lasts, _ = self.states[state]
-        made = self.ends[state] = tuple(lasts[p - 1] for p in reversed(self._chain(lasts, len(held))[:-1]))
-        return made
+    def _settled(self, ends: list[int], state: int) -> int:
+        """How many of the bytes read are settled: where the ways back from all places that matter still have met."""
+        n = len(ends)
+        ways = {max(0, n - k) for k in range(len(self.states[state][0]) + 1)}
+        while len(ways) > 1:
+            at = max(ways)
+            ways.remove(at)
+            ways.add(at - self.size_of[ends[at - 1]])
+        return ways.pop()
+
+    def _out(self, ends: list[int], upto: int) -> list[int]:
+        """The tokens of the first ``upto`` bytes; ``ends`` has the last token of each prefix."""
+        out, size_of = [], self.size_of
+        while upto:
+            token = ends[upto - 1]
+            out.append(token)
+            upto -= size_of[token]
+        out.reverse()
+        return out
 
     def encode_word(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        state, out, steps = 0, [], self.steps
+        """Ids of one pre-token. Of a long one, what is settled is put out every ``LONG_WORD`` bytes."""
+        self._bound()
+        if len(data) > LONG_WORD:
+            return self._encode_long(data)
+        state, ends, steps = 0, [], self.steps.get
         for byte in data:
-            step = steps.get(state << 8 | byte)
-            if step is None:
-                step = self._step(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        end = self.ends.get(state)
-        out += self._end(state) if end is None else end
-        return tuple(out)
+            state, token = steps(state << 8 | byte) or self._step(state, byte)
+            ends.append(token)
+        return tuple(self._out(ends, len(ends)))
+
+    def _encode_long(self, data: bytes) -> tuple[int, ...]:
+        state, ends, out = 0, [], []
+        for a in range(0, len(data), LONG_WORD):
+            for byte in data[a : a + LONG_WORD]:
+                state, token = self.steps.get(state << 8 | byte) or self._step(state, byte)
+                ends.append(token)
+            cut = self._settled(ends, state)
+            out += self._out(ends, cut)
+            del ends[:cut]
+            now = self.states[state]
+            self._bound()
+            state = self._number(now)
+        return tuple(out + self._out(ends, len(ends)))
+
+    def _bound(self) -> None:
+        if len(self.steps) > MAX_TRANSITIONS or len(self._follows) > MAX_TRANSITIONS or len(self.tails) > MAX_TRANSITIONS:
+            self._reset()
 
     def encode(self, text: str | None, pattern: regex.Pattern) -> list[int]:
         """Ids of a text; null and the empty text give an empty list."""
         if not text:
             return []
-        if len(self.steps) > MAX_TRANSITIONS or len(self._follows) > MAX_TRANSITIONS:
-            self._follows.clear()
-            self._reset()
         out: list[int] = []
-        words = self.words
-        for word in pattern.findall(text):
-            ids = words.get(word)
+        # The words of a long text are not all held at once.
+        for word in pattern.findall(text) if len(text) < LONG_TEXT else (m.group() for m in pattern.finditer(text)):
+            ids = self.words.get(word)
             if ids is None:
                 ids = self.encode_word(word.encode("utf-8"))
                 if len(word) <= 64:
-                    if len(words) >= MAX_WORDS:
-                        words.clear()
-                    words[word] = ids
+                    if len(self.words) >= MAX_WORDS:
+                        self.words.clear()
+                    self.words[word] = ids
             out += ids
         return out
 
