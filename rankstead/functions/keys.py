@@ -11,19 +11,18 @@ def _c(c: Column | str) -> Column:
 
 
 def normalize_key(c: Column | str) -> Column:
-    """Permissive: any of ``A0201``, ``A*02:01``, ``HLA-A02:01`` ... to ``HLA-A*02:01``; without a colon two and two digits
-    are kept. A text without locus letters and four digits stays as it is, in capitals and without blanks."""
-    t = F.regexp_replace(F.upper(F.trim(_c(c))), r"\s", "")
-    bare = F.regexp_replace(F.regexp_replace(t, r"^HLA[-_]?", ""), r"[*_]", "")
-    locus = F.regexp_extract(bare, r"^([A-Z]+)", 1)
-    colon = F.regexp_extract(bare, r"^[A-Z]+(\d+):(\d+)", 1)
-    second = F.regexp_extract(bare, r"^[A-Z]+(\d+):(\d+)", 2)
-    digits = F.regexp_extract(bare, r"^[A-Z]+(\d{4})", 1)
-    # lpad cuts longer fields, so three-digit fields are taken as they are
-    field = lambda x: F.when(F.length(x) >= 2, x).otherwise(F.lpad(x, 2, "0"))
-    with_colon = F.concat(F.lit("HLA-"), locus, F.lit("*"), field(colon), F.lit(":"), field(second))
-    plain = F.concat(F.lit("HLA-"), locus, F.lit("*"), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))
-    return F.when((locus != "") & (colon != ""), with_colon).when((locus != "") & (digits != ""), plain).otherwise(t)
+    """Permissive: any of ``A0201``, ``A*02:01``, ``HLA-A02:01`` ... to ``HLA-A*02:01``.
+
+    Capitals, no blanks, one ``HLA-`` before it. A star goes behind the leading letters of a name of five characters or more
+    that has none, and behind it, where there is no colon, four digits or more become two and two. Nothing is dropped: what
+    isn't known keeps its text.
+    """
+    t = F.regexp_replace(F.replace(F.upper(F.trim(_c(c))), F.lit(" "), F.lit("")), "^HLA-", "")
+    starred = F.when(~t.contains("*") & (F.length(t) >= 5), F.regexp_replace(t, r"^(\p{L}+)", r"$1*")).otherwise(t)
+    locus = F.substring_index(starred, "*", 1)
+    digits = F.regexp_replace(F.substring(starred, F.length(locus) + 2, F.length(starred)), "[^0-9]", "")
+    parted = F.concat(locus, F.lit("*"), F.substring(digits, 1, 2), F.lit(":"), F.substring(digits, 3, 2))
+    return F.concat(F.lit("HLA-"), F.when(starred.contains("*") & ~starred.contains(":") & (F.length(digits) >= 4), parted).otherwise(starred))
 
 
 def normalize_key_strict(c: Column | str) -> Column:
@@ -61,9 +60,18 @@ def short_key(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(c), "^HLA-", ""), r"[*:]", "")
 
 
-def predictor_key(c: Column | str) -> Column:
-    """``HLA-A*02:01`` to ``HLA-A02:01``, the spelling that predictors take."""
-    return F.regexp_replace(_c(c), r"\*", "")
+def predictor_key(c: Column | str, special: dict[str, str] | None = None) -> Column:
+    """``HLA-A*02:01`` to ``HLA-A02:01``, the spelling that predictors take; ``special`` has the names that they spell else."""
+    plain = F.regexp_replace(_c(c), r"\*", "")
+    if not special:
+        return plain
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in special.items() for x in pair]), _c(c)), plain)
+
+
+def is_family(c: Column | str, prefix: str | None = None, pattern: str | None = None) -> Column:
+    """Whether a key belongs to a family, named by a prefix or by a pattern that must match from its start; null: false."""
+    k = _c(c)
+    return F.coalesce(k.startswith(prefix) if prefix is not None else k.rlike(f"^(?:{pattern})"), F.lit(False))
 
 
 def spellings(c: Column | str) -> Column:

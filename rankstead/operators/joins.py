@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankstead.functions.sequence import hamming
@@ -78,11 +78,21 @@ def band_pairs(left: DataFrame, right: DataFrame, x: str, y: str, width: float)
 def matched_controls(cases: DataFrame, controls: DataFrame, key: str, confound: str, outcome: str, width: float) -> DataFrame:
     """Per case: number and mean outcome of the controls within ``width`` of its confound, and the difference.
 
-    A case's controls are summed by cell in advance where the cell lies wholly inside the band; see :func:`band_pairs`.
+    Controls are summed by cells of an eighth of the width. The 15 cells around a case lie wholly inside its band, so their
+    sums count as they are; only the controls of the two cells at the border are compared one by one. Controls without an
+    outcome count in neither; cases without any control have no row.
     """
-    c = controls.select(F.col(confound).alias("_cc"), F.col(outcome).alias("_co"))
-    pairs = band_pairs(cases.select(key, confound, outcome), c, confound, "_cc", width)
-    return pairs.groupBy(key, confound, outcome).agg(F.count(F.lit(1)).alias("n_controls"), F.avg("_co").alias("control_mean")).withColumn("difference", F.col(outcome) - F.col("control_mean"))
+    parts = 8
+    cell = lambda c: F.floor(F.col(c) / F.lit(width / parts))
+    c = controls.select(F.col(confound).alias("_cc"), F.col(outcome).cast("double").alias("_co")).dropna().withColumn("_cell", cell("_cc"))
+    sums = c.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), F.sum("_co").alias("_s"))
+    own = cases.select(key, confound, outcome).withColumn("_at", cell(confound))
+    inner = own.withColumn("_cell", F.explode(F.transform(F.sequence(F.lit(1 - parts), F.lit(parts - 1)), lambda o: F.col("_at") + o))).join(sums, "_cell")
+    border = own.withColumn("_cell", F.explode(F.array(F.col("_at") - parts, F.col("_at") + parts))).join(c, "_cell").filter(F.abs(F.col(confound) - F.col("_cc")) <= F.lit(width))
+    names = [key, confound, outcome]
+    both = inner.select(*names, "_n", "_s").unionByName(border.select(*names, F.lit(1).cast("bigint").alias("_n"), F.col("_co").alias("_s")))
+    out = both.groupBy(*names).agg(F.sum("_n").alias("n_controls"), F.sum("_s").alias("_s")).withColumn("control_mean", F.col("_s") / F.col("n_controls")).drop("_s")
+    return out.withColumn("difference", F.col(outcome) - F.col("control_mean"))
 
 
 def hamming_pairs(left: DataFrame, left_id: str, left_seq: str, right: DataFrame, right_id: str, right_seq: str, most: int) -> DataFrame:
@@ -115,9 +125,10 @@ def near_share(left: DataFrame, left_seq: str, right: DataFrame, right_seq: str,
 
 
 def against_wild_type(df: DataFrame, by: list[str], is_wt: Column, value: str, name: str = "delta") -> DataFrame:
-    """Add the value minus that of the wild type of the same ``by``; rows without one are dropped, and so are wild types."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("_wt", F.max(F.when(is_wt, F.col(value))).over(w)).filter(~is_wt & F.col("_wt").isNotNull()).withColumn(name, F.col(value) - F.col("_wt")).drop("_wt")
+    """Add the value minus that of the wild type of the same ``by`` (of several, the largest); rows without one are dropped,
+    and so are wild types. The wild types, one row per ``by``, are joined to the others, which may be any number."""
+    wt = df.filter(is_wt & F.col(value).isNotNull()).groupBy(*by).agg(F.max(value).alias("_wt"))
+    return df.filter(~is_wt).join(wt, list(by)).withColumn(name, F.col(value) - F.col("_wt")).drop("_wt")
 
 
 def conditional_counts(df: DataFrame, by: list[str], label: str) -> DataFrame:

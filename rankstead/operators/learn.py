@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankstead.operators.ranking import hash_order, with_zscore
+from rankstead.operators.skew import positions_within
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -96,16 +97,64 @@ def gated(df: DataFrame, group: list[str], a: str, b: str, gate: str) -> DataFra
 
 
 def shuffled_gate(df: DataFrame, gate: str, key: list[str], seed: int, group: list[str] = ()) -> DataFrame:
-    """A permutation control: the gate's values dealt anew to the rows (of each group) in hash order."""
-    from pyspark.sql import Window
+    """A permutation control: the gate's values dealt anew to the rows (of each group) in hash order.
 
-    w = Window.partitionBy(*group).orderBy(*[F.col(k) for k in key])
-    v = Window.partitionBy(*group).orderBy(hash_order(seed, *key), *[F.col(k) for k in key])
-    a = df.withColumn("_rn", F.row_number().over(w))
-    b = df.select(*group, F.col(gate).alias("_g"), F.row_number().over(v).alias("_rn"))
+    Rows are numbered over the cluster (:func:`rankstead.operators.skew.positions_within`), so a group may have any size.
+    ``key`` must be unique within a group.
+    """
+    a = positions_within(df, list(group), list(key), name="_rn")
+    dealt = df.select(*group, *key, F.col(gate).alias("_g")).withColumn("_h", hash_order(seed, *key))
+    b = positions_within(dealt, list(group), ["_h", *key], name="_rn").select(*group, "_g", "_rn")
     return a.join(b, [*group, "_rn"]).withColumn(gate, F.col("_g")).drop("_g", "_rn")
 
 
+def predict_batches(df: DataFrame, key: list[str], features: list[str], model, name: str = "score") -> DataFrame:
+    """``key`` and the scores of a given model, a function from a two-dimensional array of features to one score per row.
+
+    Arrow batches go through the model as they come, without a shuffle; rows with a missing feature get a null score.
+    """
+    slim = df.select(*key, *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    kinds = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in key), f"`{name}` double"])
+    columns = [f"_x{i}" for i in range(len(features))]
+
+    def run(parts):
+        for part in parts:
+            x = part[columns].to_numpy(dtype=float)
+            whole = ~np.isnan(x).any(axis=1)
+            got = pd.Series([None] * len(part), dtype="Float64")
+            if whole.any():
+                got[whole] = np.asarray(model(x[whole]), dtype=float)
+            out = part[list(key)].copy()
+            out[name] = got.to_numpy(dtype=object, na_value=None)
+            yield out
+
+    return slim.mapInPandas(run, kinds)
+
+
+def feature_block(df: DataFrame, key: list[str], prefix: str, lower_is_positive: list[str] = (), leave: tuple[str, ...] = ("kind", "label", "in_train", "score")) -> DataFrame:
+    """``key`` and the features of a table as ``prefix__name``, those whose low values speak for the positive class negated."""
+    features = [c for c in df.columns if c not in (*key, *leave)]
+    return df.select(*key, *[(-F.col(c) if c in lower_is_positive else F.col(c)).alias(f"{prefix}__{c}") for c in features])
+
+
+def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing numbers replaced by their column's mean; one number per column reaches the driver."""
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(means[c])) for c in columns})
+
+
+def gate_controls(df: DataFrame, group: str, key: list[str], label: str, a: str, b: str, gate: str, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), c: float = 0.1) -> DataFrame:
+    """Scores of the gated model beside its controls: ``model`` is ``gated``, ``ungated`` (both scores, no gate) or
+    ``shuffled_<seed>`` (the gate's values dealt anew): ``model``, ``group``, ``key``, ``label``, ``score``."""
+    z, own = ["za", "zb"], ["za", "zb", "ga", "gb"]
+    runs = {"gated": (df, own), "ungated": (df, z)} | {f"shuffled_{s}": (shuffled_gate(df, gate, key, s), own) for s in seeds}
+    out = None
+    for name, (rows, features) in runs.items():
+        one = logo_predictions(gated(rows, [group], a, b, gate), group, key, label, features, c).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def weight_sweep(df: DataFrame, a: str, b: str, steps: int = 10) -> DataFrame:
     """Each row at each weight: ``weight`` (of ``a``) and ``mixed`` = w a + (1 - w) b."""
     w = df.withColumn("weight", F.explode(F.array(*[F.lit(i / steps) for i in range(steps + 1)])))

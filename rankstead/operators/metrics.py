@@ -65,13 +65,33 @@ def average_precision(df: DataFrame, label: Column | str, score: Column | str, g
 
 
 def ppv_at_k(df: DataFrame, label: Column | str, score: str, key: str, k: int, group: list[str] = ()) -> DataFrame:
-    """Mean label of the ``k`` rows with the highest score (ties: least key); of all rows if there are fewer."""
+    """Mean label of the ``k`` rows with the highest score (ties: least key); of all rows if there are fewer.
+
+    Rows with a null or NaN score don't count. Each task passes on at most ``k`` rows of a group, whatever its size.
+    """
     lab = F.col(label) if isinstance(label, str) else label
     w = Window.partitionBy(*group).orderBy(F.desc(score), F.asc(key))
-    rows = df.filter(F.col(score).isNotNull()).select(*group, lab.cast("double").alias("_y"), F.row_number().over(w).alias("_rn"))
+    rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).select(*group, lab.cast("double").alias("_y"), F.row_number().over(w).alias("_rn"))
     return rows.filter(F.col("_rn") <= k).groupBy(*group).agg(F.avg("_y").alias("ppv"))
 
 
+def bundle(df: DataFrame, label: Column | str, score: str, key: str, group: list[str] = (), k: int = 100) -> DataFrame:
+    """:func:`summary` and PPV at ``k`` (``ppv``) of each group side by side; the empty list of groups is all rows."""
+    s, p = summary(df, label, score, group), ppv_at_k(df, label, score, key, k, group)
+    if not group:
+        return s.withColumn("ppv", p.scalar())
+    right = p.withColumnsRenamed({g: f"_r_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+    return s.join(right, same, "left").drop(*[f"_r_{g}" for g in group])
+
+
+def evaluate(df: DataFrame, label: Column | str, score: str, key: str, group: str, stratum: str) -> dict[str, DataFrame]:
+    """The whole evaluation of one scored table: ``pooled``, ``per_group`` (bundles) and ``strata`` with the equity gap."""
+    return {"pooled": bundle(df, label, score, key), "per_group": bundle(df, label, score, key, [group]), "strata": stratified(df, label, score, stratum)}
+
+
 def with_overall(per_scope: DataFrame, overall: DataFrame, group: str, everything: str = "ALL") -> DataFrame:
     """Per-group rows and the pooled row in one long table with ``scope``; ranks differ between scopes, so both are given."""
     a = per_scope.withColumn("scope", F.lit("per_group")).withColumn(group, F.col(group).cast("string"))
@@ -163,12 +183,28 @@ def auto_oriented(per: DataFrame) -> DataFrame:
     return per.withColumns({"auroc_oriented": F.greatest(a, F.lit(1.0) - a), "direction": F.when(a >= 0.5, 1).when(a < 0.5, -1)})
 
 
+def standardised_orientation(df: DataFrame, label: str, features: list[str], group: str) -> DataFrame:
+    """Per feature: ``auroc`` in its better orientation, ``direction`` (1 or -1), and ``auroc_z`` of the values standardised
+    within groups (sample deviation; 0 where undefined), turned by the direction that the raw values gave.
+
+    Missing values get the feature's mean. Turning a score turns its AUROC a into 1 - a, so nothing is ranked twice.
+    """
+    means = df.agg(*[F.avg(f).alias(f) for f in features]).first()  # one number per feature
+    filled = df.select(group, label, *[F.coalesce(F.col(f).cast("double"), F.lit(means[f])).alias(f) for f in features])
+    long = unpivot(filled, [group, label], features)
+    stats = long.groupBy(group, "feature").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_sd")).withColumnRenamed(group, "_g")
+    z = long.join(stats.withColumnRenamed("feature", "_f"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("feature") == F.col("_f")))
+    z = z.select(label, "feature", F.coalesce((F.col("value") - F.col("_m")) / F.nullif("_sd", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    raw = auto_oriented(auroc(long, label, "value", ["feature"])).select("feature", F.col("auroc_oriented").alias("auroc"), "direction")
+    scaled = auroc(z, label, "value", ["feature"]).select("feature", F.col("auroc").alias("_z"))
+    return raw.join(scaled, "feature").select("feature", "auroc", "direction", F.when(F.col("direction") > 0, F.col("_z")).otherwise(F.lit(1.0) - F.col("_z")).alias("auroc_z"))
+
+
 def worst_sets(df: DataFrame, key: str, models: list[str], share: float) -> DataFrame:
     """Long table of each model's worst rows: ``model``, ``key``; the ``max(1, floor(n * share))`` lowest values, ties by key."""
     long = unpivot(df, [key], models, "model", "value")
-    w = Window.partitionBy("model").orderBy("value", key)
-    n = F.count(F.lit(1)).over(Window.partitionBy("model"))
-    return long.withColumn("_rn", F.row_number().over(w)).withColumn("_k", F.greatest(F.lit(1), F.floor(n * F.lit(share)))).filter("_rn <= _k").select("model", key)
+    ran = running_totals(long, ["model"], ["value", key], {"_rn": F.lit(1).cast("bigint")}, {"_n": F.lit(1).cast("bigint")})
+    return ran.filter(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(share)))).select("model", key)
 
 
 def worst_set_jaccard(df: DataFrame, key: str, models: list[str], share: float) -> DataFrame:

@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankstead.functions.sequence import AMINO_ACIDS, letters
+from rankstead.functions.sequence import AMINO_ACIDS, is_valid, letters
+
+
+#: Parts into which the groups are cut for each place and letter when all pairs of groups are made.
+SALTS = 4
 
 
 def position_counts(df: DataFrame, group: list[str], seq: str, alphabet: str = AMINO_ACIDS) -> DataFrame:
@@ -18,12 +22,14 @@ def position_counts(df: DataFrame, group: list[str], seq: str, alphabet: str = A
     return long.filter(F.instr(F.lit(alphabet), F.col("aa")) > 0).groupBy(*group, "pos", "aa").agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequencies(df: DataFrame, group: list[str], seq: str, length: int, pseudocount: float = 0.5, alphabet: str = AMINO_ACIDS) -> DataFrame:
+def frequencies(df: DataFrame, group: list[str], seq: str, length: int, pseudocount: float = 0.5, alphabet: str = AMINO_ACIDS, whole: bool = False) -> DataFrame:
     """``group``, ``pos``, ``aa``, ``freq`` for every place up to ``length`` and every letter: (n + c) / (N + c * letters).
 
-    Sequences of other lengths don't count. N is the number of counted letters at the place.
+    Sequences of other lengths don't count, and with ``whole`` neither do those with a letter that the alphabet lacks;
+    without, only such letters are passed over. N is the number of counted letters at the place.
     """
-    counts = position_counts(df.filter(F.length(seq) == length), group, seq, alphabet)
+    own = df.filter(F.length(seq) == length)
+    counts = position_counts(own.filter(is_valid(seq, alphabet)) if whole else own, group, seq, alphabet)
     per = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_")).drop("_")
     grid = per.select(*group, F.explode(F.sequence(F.lit(1), F.lit(length))).alias("pos")).select(*group, "pos", F.explode(F.array(*[F.lit(a) for a in alphabet])).alias("aa"))
     keys = [*group, "pos", "aa"]
@@ -38,16 +44,20 @@ def log_odds(freq: DataFrame, background: float = 1 / 20, base: str = "e") -> Da
     return freq.withColumn("weight", F.log2(ratio) if base == "2" else F.log(ratio))
 
 
-def score(df: DataFrame, pwm: DataFrame, group: list[str], key: list[str], seq: str, length: int, weight: str = "weight") -> DataFrame:
-    """``group``, ``key``, ``score``: the sum of weights of a sequence's letters; null for a wrong length or a bad letter.
+def score(df: DataFrame, pwm: DataFrame, group: list[str], key: list[str], seq: str, length: int, weight: str = "weight", alphabet: str = AMINO_ACIDS) -> DataFrame:
+    """``group``, ``key``, ``score``: the sum of weights of a sequence's letters; null for a wrong length or a bad letter, or
+    where the group has no profile.
 
-    The profile is small next to the sequences; Spark broadcasts it where its size allows, else joins on group and place.
+    A profile becomes one row per group, an array of ``length`` times letters weights (``pwm`` must have them all), so a
+    sequence is scored in its own row: no letter of it moves.
     """
-    rows = df.select(*group, *key, F.col(seq).alias("_seq"))
-    long = rows.select(*group, *key, "_seq", F.posexplode_outer(letters("_seq")).alias("_p", "aa")).withColumn("pos", F.col("_p") + 1)
-    hit = long.join(pwm.select(*group, "pos", "aa", F.col(weight).alias("_w")), [*group, "pos", "aa"], "left")
-    ok = (F.count("_w") == length) & (F.first(F.length("_seq")) == length)
-    return hit.groupBy(*group, *key).agg(F.when(ok, F.sum("_w")).alias("score"))
+    wide = pwm.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "aa", F.col(weight).alias("w")))), lambda x: x["w"]).alias("_w"))
+    order = "".join(sorted(alphabet))  # as the array is sorted
+    code = lambda i: F.position(F.substring("_seq", i + 1, 1), F.lit(order))
+    at = lambda i: F.when(code(i) > 0, F.get("_w", F.lit(i * len(order)) + code(i) - 1))
+    total = sum((at(i) for i in range(1, length)), at(0))
+    ok = (F.length("_seq") == length) & (F.size("_w") == length * len(order))
+    return df.select(*group, *key, F.col(seq).alias("_seq")).join(wide, list(group), "left").select(*group, *key, F.when(ok, total).alias("score"))
 
 
 def information_content(df: DataFrame, group: list[str], seq: str, length: int, alphabet: str = AMINO_ACIDS) -> DataFrame:
@@ -89,10 +99,22 @@ def breadth(ic: DataFrame, group: list[str], least: float = 1.0) -> DataFrame:
     )
 
 
-def ic_features(ic: DataFrame, group: list[str], length: int) -> DataFrame:
-    """Information at the second and last place, their mean and the total."""
+def ic_features(ic: DataFrame, group: list[str], length: int, anchors: DataFrame | None = None) -> DataFrame:
+    """Information at the second and last place, their mean and the total; with ``anchors`` (group, array of places) also the
+    mean over each group's own anchors, null without any."""
     second, last = F.max(F.when(F.col("pos") == 2, F.col("ic"))), F.max(F.when(F.col("pos") == length, F.col("ic")))
-    return ic.groupBy(*group).agg(second.alias("ic_p2"), last.alias("ic_last"), ((second + last) / 2).alias("ic_p2_last"), F.sum("ic").alias("ic_total"))
+    more = []
+    if anchors is not None:
+        ic = ic.join(anchors.select(*group, "anchors"), list(group), "left")
+        own = F.exists("anchors", lambda a: F.when(a < 0, F.lit(length) + a + 1).otherwise(a) == F.col("pos"))
+        more = [F.avg(F.when(own, F.col("ic"))).alias("ic_anchor_mean")]
+    return ic.groupBy(*group).agg(second.alias("ic_p2"), last.alias("ic_last"), ((second + last) / 2).alias("ic_p2_last"), F.sum("ic").alias("ic_total"), *more)
+
+
+def consensus(counts: DataFrame, group: list[str], value: str = "n") -> DataFrame:
+    """``group``, ``consensus``: the most frequent letter of each place (ties: the later letter), in order."""
+    best = counts.groupBy(*group, "pos").agg(F.max(F.struct(value, "aa"))["aa"].alias("aa"))
+    return best.groupBy(*group).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "aa"))), lambda x: x["aa"]), "").alias("consensus"))
 
 
 def divergence(freq: DataFrame, group: str, distance: bool = False, positions: list[int] | None = None) -> DataFrame:
@@ -103,7 +125,9 @@ def divergence(freq: DataFrame, group: str, distance: bool = False, positions: l
     f = freq if positions is None else freq.filter(F.col("pos").isin(positions))
     x = f.select(F.col(group).alias("a"), "pos", "aa", F.col("freq").alias("p"))
     y = f.select(F.col(group).alias("b"), "pos", "aa", F.col("freq").alias("q"))
-    pairs = x.join(y, ["pos", "aa"]).filter("a < b")
+    # All pairs of groups are the result; a salt spreads the letters' 20 by places keys over more tasks.
+    salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("_salt")
+    pairs = x.select("*", salt).join(y.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt")), ["pos", "aa", "_salt"]).filter("a < b")
     m = (F.col("p") + F.col("q")) / 2
     kl = lambda u: F.when(F.col(u) > 0, F.col(u) * F.log2(F.col(u) / m)).otherwise(0.0)
     per = pairs.groupBy("a", "b", "pos").agg(F.sum((kl("p") + kl("q")) / 2).alias("d"))
@@ -147,6 +171,16 @@ def substitution_distance(pairs: DataFrame, a: str, b: str, matrix: DataFrame, k
     return sums.select(*key, F.when(F.col("_same") & (F.col("aa") > 0) & (F.col("bb") > 0), d).alias("distance"))
 
 
+def read_matrix(spark, path: str) -> DataFrame:
+    """A substitution matrix file in the usual layout (comments, a line of letters, a line per letter) as ``x``, ``y``, ``s``.
+
+    The public matrices come as such files; they are a parameter of :func:`substitution_distance`.
+    """
+    lines = [r["value"].split() for r in spark.read.text(path).limit(1000).collect() if r["value"].strip() and not r["value"].startswith("#")]  # a matrix has a score of lines
+    letters_, rows = lines[0], lines[1:]
+    return spark.createDataFrame([(r[0], y, int(v)) for r in rows for y, v in zip(letters_, r[1:], strict=True)], "x string, y string, s int")
+
+
 def frequent_letters(freq: DataFrame, group: list[str], n: int, value: str = "freq") -> DataFrame:
     """The ``n`` most frequent letters at each place (ties: the later letter)."""
     w = Window.partitionBy(*group, "pos").orderBy(F.desc(value), F.desc("aa"))

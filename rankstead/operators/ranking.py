@@ -17,6 +17,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def has_value(df: DataFrame, name: str) -> Column:
+    """Whether a column is neither null nor NaN."""
+    c = F.col(name)
+    return c.isNotNull() & ~F.isnan(c) if df.select(name).schema[0].dataType.typeName() in ("double", "float") else c.isNotNull()
+
+
 def average_rank(score: Column | str, group: list[str] = (), also: list[str] = ()) -> Column:
     """Average rank (ties share the mean of their ranks) of ``score`` within groups that fit a task; else :func:`ranked`."""
     keys = [*group, *also]
@@ -28,11 +34,11 @@ def average_rank(score: Column | str, group: list[str] = (), also: list[str] = (
 def ranked(df: DataFrame, score: str, group: list[str] = (), name: str = "rank", share: str | None = None) -> DataFrame:
     """Add the average rank among the rows with a score (and, as ``share``, that rank over their number).
 
-    Null scores get null and don't shift the others. Works on (group, score) counts that are summed over the cluster, so a
+    Null and NaN scores get null and don't shift the others. Works on (group, score) counts that are summed over the cluster, so a
     group, or the table, may have any size.
     """
     keys = list(group)
-    levels = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    levels = df.filter(has_value(df, score)).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_totals(levels, keys, [score], {"_upto": F.col("_n")}, {"_all": F.col("_n")})
     table = upto.withColumn(name, F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0))
     if share:
@@ -76,7 +82,7 @@ def with_rank_average(df: DataFrame, scores: list[str], group: list[str] = (), n
 def with_percentile_of_score(df: DataFrame, score: str, group: list[str] = (), name: str = "pct") -> DataFrame:
     """Add the share of the group's scores that are strictly lower, in percent."""
     keys = list(group)
-    levels = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    levels = df.filter(has_value(df, score)).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
     upto = running_totals(levels, keys, [score], {"_upto": F.col("_n")}, {"_all": F.col("_n")})
     table = upto.withColumn(name, (F.col("_upto") - F.col("_n")) / F.col("_all") * F.lit(100.0)).drop("_n", "_upto", "_all")
     right = table.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, score]})

@@ -6,7 +6,6 @@ always a stated one, so results don't depend on how rows are partitioned.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -113,36 +112,63 @@ def cluster_holdout(clusters: DataFrame, share: float = 0.2, seed: int = 42, clu
 def grouped_folds(clusters: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:
     """Add ``fold``: whole clusters, largest first (ties: least id), go to the fold with the fewest rows.
 
-    Only one count per distinct cluster size and fold is reckoned on the driver: clusters of one size are interchangeable,
-    and their folds are dealt by rank.
+    The driver sees one count per distinct cluster size, of which there are at most the square root of twice the rows.
+    Clusters of one size are interchangeable; how many of them each fold gets is reckoned at once (:func:`take_largest`).
     """
     sizes = clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("_size"))
     ranked = positions_within(sizes, ["_size"], [cluster], name="_rank")
-    heap = [(0, f) for f in range(k)]
-    dealt = []
-    for r in sizes.groupBy("_size").count().orderBy(F.desc("_size")).collect():
-        for i in range(r["count"]):
-            rows, f = heapq.heappop(heap)
-            dealt.append((r["_size"], i + 1, f))
-            heapq.heappush(heap, (rows + r["_size"], f))
-    table = clusters.sparkSession.createDataFrame(dealt, "_size bigint, _rank bigint, fold int")
-    return clusters.join(ranked.join(table, ["_size", "_rank"]).select(cluster, "fold"), cluster)
-
-
-def maxmin_select(df: DataFrame, group: list[str], seq: str, order: str, k: int, forced: list[str] = ()) -> DataFrame:
+    free, dealt = [0] * k, []
+    for size, count in sorted(((r["_size"], r["count"]) for r in sizes.groupBy("_size").count().toLocalIterator()), reverse=True):
+        upto = 0
+        for f, n in enumerate(take_largest(free, size, count)):
+            free[f] -= n * size
+            if n:
+                dealt.append((size, upto, upto + n, f))
+                upto += n
+    table = clusters.sparkSession.createDataFrame(dealt, "_size bigint, _above bigint, _upto bigint, fold int")  # a row per size and fold
+    placed = ranked.join(table, "_size").filter("_rank > _above AND _rank <= _upto").select(cluster, "fold")
+    return clusters.join(placed, cluster)
+
+
+def take_largest(deficits: list[int], size: int, count: int) -> list[int]:
+    """How often each place is picked when ``count`` things of ``size`` go, one by one, to the largest deficit.
+
+    Picking lowers a deficit by ``size``; the picks are the ``count`` largest terms of falling progressions, found by
+    bisection on the term's value instead of one by one. Ties go to the earlier place.
+    """
+
+    def above(t: int) -> list[int]:
+        return [max(0, -(-(d - t) // size)) for d in deficits]
+
+    lo, hi = min(deficits) - size * (count + 1), max(deficits)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if sum(above(mid)) > count:
+            lo = mid
+        else:
+            hi = mid
+    picks = above(hi)
+    for i, d in enumerate(deficits):
+        if sum(picks) < count and d - picks[i] * size == hi:
+            picks[i] += 1
+    return picks
+
+
+def maxmin_select(df: DataFrame, group: list[str], seq: str, order: str, k: int, forced: list[str] = (), name: str | None = None) -> DataFrame:
     """Greedy max-min diversity by Hamming distance (unequal lengths: the greater length): ``group``, ``seq``, ``place``.
 
     Forced sequences come first, else the first in ``order``; then always the one farthest from those taken, ties to the
-    earliest. A group is one task.
+    earliest. With ``name``, it is the named things that are picked, forced and put out, by the distance of their sequences.
+    A group is one task.
     """
-    rows = df.select(*group, F.col(seq).alias("s"), F.col(order).alias("o")).dropna(subset=["s"]).withColumn("_all", F.lit(1))
+    rows = df.select(*group, F.col(seq).alias("s"), F.col(order).alias("o"), F.col(name or seq).cast("string").alias("e")).dropna(subset=["s", "e"]).withColumn("_all", F.lit(1))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("o", kind="stable").drop_duplicates("s")
-        texts = part["s"].tolist()
+        part = part.sort_values(["o", "e"], kind="stable").drop_duplicates("e")
+        texts, names = part["s"].tolist(), part["e"].tolist()
         lengths = np.array([len(t) for t in texts])
         codes = _codes([t.ljust(int(lengths.max()), "\0") for t in texts])
-        taken = [texts.index(t) for t in forced if t in texts] or [0]
+        taken = [names.index(t) for t in forced if t in names] or [0]
         taken = taken[:k]
 
         def far(i: int) -> np.ndarray:
@@ -156,10 +182,10 @@ def maxmin_select(df: DataFrame, group: list[str], seq: str, order: str, k: int,
             taken.append(i)
             near = np.minimum(near, far(i))
         head = part[group].iloc[[0] * len(taken)].reset_index(drop=True)
-        return head.assign(s=[texts[i] for i in taken], place=range(1, len(taken) + 1))
+        return head.assign(e=[names[i] for i in taken], place=range(1, len(taken) + 1))
 
-    kinds = ", ".join([*(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group), "s string, place int"])
-    return rows.groupBy(*(group or ["_all"])).applyInPandas(run, kinds).withColumnRenamed("s", seq)
+    kinds = ", ".join([*(f"`{g}` {rows.schema[g].dataType.simpleString()}" for g in group), "e string, place int"])
+    return rows.groupBy(*(group or ["_all"])).applyInPandas(run, kinds).withColumnRenamed("e", name or seq)
 
 
 def spread_pick(df: DataFrame, group: list[str], key: str, value: str, k: int) -> DataFrame:
@@ -180,6 +206,10 @@ def spread_pick(df: DataFrame, group: list[str], key: str, value: str, k: int) -
     return rows.groupBy(*(group or ["_all"])).applyInPandas(run, kinds).withColumnRenamed("k_", key)
 
 
+#: Places of the pool that one row makes at once; lengths that windows may be wanted of.
+AT_ONCE, MOST_LENGTHS = 100_000, 1000
+
+
 def pool_negatives(positives: DataFrame, group: str, seq: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
     """Per (group, length), ``round(n * ratio)`` sequences of the same length that are positives of other groups only.
 
@@ -193,7 +223,11 @@ def pool_negatives(positives: DataFrame, group: str, seq: str, ratio: float = 1.
     sizes = pool.groupBy("n").agg(F.count(F.lit(1)).alias("size"))
     start = F.conv(F.substring(hash_order(seed, "g"), 1, 8), 16, 10).cast("bigint")
     steps = F.least(F.col("size"), F.col("k") + F.col("own"))
-    cand = need.join(sizes, "n").select("g", "n", "k", "size", start.alias("_from"), F.explode(F.sequence(F.lit(0), steps - 1)).alias("step"))
+    # No array grows with a group: the places are made in parts of ``AT_ONCE``, part numbers first.
+    parts = need.join(sizes, "n").select("g", "n", "k", "size", start.alias("_from"), steps.alias("_steps")).filter("_steps > 0")
+    outer = parts.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("_steps") - 1) / AT_ONCE))).alias("_part")).repartition("g", "n", "_part")
+    ends = F.least(F.col("_steps"), (F.col("_part") + 1) * AT_ONCE) - 1
+    cand = outer.select("g", "n", "k", "size", "_from", F.explode(F.sequence(F.col("_part") * AT_ONCE, ends)).alias("step"))
     cand = cand.withColumn("at", F.pmod(F.col("_from") + F.col("step"), F.col("size")) + 1)
     free = cand.join(pool, ["n", "at"]).join(pos.select("g", "s"), ["g", "s"], "left_anti").select("g", "n", "k", "s", "step")
     drawn = positions_within(free, ["g", "n"], ["step"]).filter("position <= k")
@@ -204,8 +238,13 @@ def window_negatives(texts: DataFrame, text: str, need: DataFrame, exclude: Data
     """Windows of given lengths (``need``: ``length``, ``k``) of long texts, valid and not excluded, drawn by hash order."""
     from rankstead.functions.sequence import is_valid, windows
 
-    lengths = F.broadcast(need)  # one row per length
-    cut = texts.select(F.col(text).alias("_t")).join(lengths, F.length("_t") >= F.col("length")).select("length", "k", F.explode(windows("_t", F.col("length"))).alias("s")).distinct()
+    wanted = need.select(F.col("length").cast("int"), F.col("k").cast("bigint")).limit(MOST_LENGTHS + 1).collect()
+    if len(wanted) > MOST_LENGTHS:
+        raise ValueError(f"more than {MOST_LENGTHS} lengths are wanted")
+    if not wanted:
+        return exclude.select(F.col(seq), F.length(seq).alias("length")).limit(0)
+    lengths = F.explode(F.array(*[F.struct(F.lit(r["length"]).alias("length"), F.lit(r["k"]).alias("k")) for r in wanted])).alias("w")
+    cut = texts.select(F.col(text).alias("_t"), lengths).select("w.length", "w.k", F.explode(windows("_t", F.col("w.length"))).alias("s")).distinct()
     ok = cut.filter(is_valid("s", alphabet)).join(exclude.select(F.col(seq).alias("s")).distinct(), "s", "left_anti")
     return top_k(ok, F.col("k"), ["length"], [hash_order(seed, "s"), F.col("s")]).select(F.col("s").alias(seq), "length")
 

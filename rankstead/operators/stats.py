@@ -7,10 +7,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankstead.operators.ranking import ranked
+from rankstead.operators.skew import running_totals
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] = (), name: str = "rho") -> DataFrame:
@@ -47,8 +48,29 @@ def one_predictor_ols(df: DataFrame, y: str, x: str, group: list[str] = ()) -> D
     return df.groupBy(*group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+#: Categories that a dummy-coded column may have.
+MOST_CATEGORIES = 1000
+
+
+def dummies(df: DataFrame, column: str) -> dict[str, Column]:
+    """Indicator predictors of a column's categories in sorted order, without the first; raises beyond ``MOST_CATEGORIES``."""
+    names = sorted(r[0] for r in df.select(F.col(column).cast("string")).dropna().distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(names) > MOST_CATEGORIES:
+        raise ValueError(f"{column} has more than {MOST_CATEGORIES} categories")
+    return {f"{column}_{n}": (F.col(column).cast("string") == n).cast("double") for n in names[1:]}
+
+
+def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as standard scores over the rows that have them all (population deviation)."""
+    whole = df.dropna(subset=columns)
+    s = whole.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return whole.withColumns({c: (F.col(c) - F.lit(s[f"m_{c}"])) / F.nullif(F.lit(s[f"s_{c}"]), F.lit(0.0)) for c in columns})
+
+
 def ols(df: DataFrame, y: str, predictors: dict[str, Column]) -> DataFrame:
-    """Ordinary least squares with an intercept: ``term``, ``coef``, ``se``, ``t``, ``p``.
+    """Ordinary least squares with an intercept: ``term``, ``coef``, ``se``, ``t``, ``p``, and ``r2`` and ``n`` of the model.
+
+    For categories pass :func:`dummies` among the predictors, for comparable coefficients a :func:`standardised` table.
 
     The sums of products are taken in one distributed aggregation, (k + 2)^2 numbers whatever the size of the data; only
     these reach the driver, where the small system is solved. Rows with a null don't count. With no degree of freedom left,
@@ -68,12 +90,14 @@ def ols(df: DataFrame, y: str, predictors: dict[str, Column]) -> DataFrame:
     inv = np.linalg.pinv(xx)
     beta = inv @ xy
     free = n - np.linalg.matrix_rank(xx)
+    spread = yy - xy[0] ** 2 / n if n else 0.0
+    r2 = float(1 - (yy - beta @ xy) / spread) if spread > 0 else None
     rows = []
     for i, name in enumerate(names):
         se = math.sqrt(max(0.0, (yy - beta @ xy) / free * inv[i, i])) if free > 0 else None
         t = float(beta[i] / se) if se else None
-        rows.append((name, float(beta[i]), se, t, float(t_two_sided(t, float(free))) if t is not None else None))
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
+        rows.append((name, float(beta[i]), se, t, float(t_two_sided(t, float(free))) if t is not None else None, r2, int(n)))
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double, r2 double, n bigint")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -131,6 +155,68 @@ def mann_whitney_p(auroc: float, n1: int, n0: int, tie_term: float = 0.0) -> flo
     return math.erfc(max(z, 0.0) / math.sqrt(2))
 
 
+def with_correlation_p(df: DataFrame, r: str, n: str, name: str = "p") -> DataFrame:
+    """Add the two-sided p of a (rank) correlation in column ``r`` over ``n`` pairs; null where undefined."""
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else correlation_p(float(a), int(b)) for a, b in zip(rs, ns, strict=True)], dtype="Float64").astype(object)
+
+    return df.withColumn(name, p(F.col(r).cast("double"), F.col(n).cast("bigint")))
+
+
+def one_sample_t(df: DataFrame, value: str, group: list[str] = (), mean: float = 0.0) -> DataFrame:
+    """Per group: ``n``, ``mean``, its 95 % interval (normal), ``t`` and two-sided ``p`` against a given mean; null below two."""
+    s = df.groupBy(*group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd"))
+    se = F.nullif(F.col("_sd") / F.sqrt(F.col("n")), F.lit(0.0))
+    t = (F.col("mean") - F.lit(mean)) / se
+
+    @F.pandas_udf("double")
+    def p(ts: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or b < 2 else t_two_sided(float(a), float(b - 1)) for a, b in zip(ts, ns, strict=True)], dtype="Float64").astype(object)
+
+    return s.withColumns({"ci_lo": F.col("mean") - 1.96 * se, "ci_hi": F.col("mean") + 1.96 * se, "t": t}).withColumn("p", p("t", "n")).drop("_sd")
+
+
+def mann_whitney(df: DataFrame, label: str, score: str, group: list[str] = ()) -> DataFrame:
+    """Per group: ``auroc``, ``n_pos``, ``n_neg`` and the two-sided ``p`` of the Mann-Whitney U test with ties corrected.
+
+    All comes from the level table, so that groups may have any size; null where a class is absent.
+    """
+    from rankstead.operators.metrics import auroc, level_table
+
+    ties = level_table(df, label, score, group).groupBy(*group).agg(F.sum(F.col("nn").cast("double") * F.col("nn") * F.col("nn") - F.col("nn")).alias("_ties"))
+    a = auroc(df, label, score, group)
+    if group:
+        right = ties.withColumnsRenamed({g: f"_r_{g}" for g in group})
+        same = F.lit(True)
+        for g in group:
+            same = same & F.col(g).eqNullSafe(F.col(f"_r_{g}"))
+        both = a.join(right, same).drop(*[f"_r_{g}" for g in group])
+    else:
+        both = a.withColumn("_ties", ties.scalar())
+
+    @F.pandas_udf("double")
+    def p(au: pd.Series, n1: pd.Series, n: pd.Series, tt: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else mann_whitney_p(float(x), int(k), int(m - k), float(t)) for x, k, m, t in zip(au, n1, n, tt, strict=True)], dtype="Float64").astype(object)
+
+    return both.select(*group, "auroc", "n_pos", (F.col("n") - F.col("n_pos")).alias("n_neg"), p("auroc", "n_pos", "n", "_ties").alias("p"))
+
+
+def stability(pairs: DataFrame, key: list[str], rho: str = "rho") -> DataFrame:
+    """Mean and least correlation over the pairs of each key, and their number."""
+    return pairs.groupBy(*key).agg(F.count(rho).alias("n_pairs"), F.avg(rho).alias("mean_rho"), F.min(rho).alias("min_rho"))
+
+
+def ladder(value: Column, steps: list[tuple[float, str]], otherwise: str) -> Column:
+    """The name of the first step whose threshold the value reaches, highest first; below all of them ``otherwise``; null
+    stays null."""
+    out = F.lit(otherwise)
+    for least, name in sorted(steps):
+        out = F.when(value >= least, F.lit(name)).otherwise(out)
+    return F.when(value.isNotNull(), out)
+
+
 def auroc_numpy(y: np.ndarray, s: np.ndarray) -> float:
     """AUROC of one small sample, ties one half; NaN if a class is absent."""
     n1 = int(y.sum())
@@ -191,7 +277,8 @@ def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, key: list[str],
 def poisson_bootstrap(df: DataFrame, label: Column, score: str, key: str, group: list[str] = (), times: int = 200, seed: int = 0) -> DataFrame:
     """Bootstrap interval for groups of any size: each row gets a Poisson(1) weight per resample, from a hash of its key.
 
-    Rows become weighted levels per (group, resample), so after the map-side combine only distinct scores move.
+    Rows become weighted levels per (group, resample), so after the map-side combine only distinct scores move; the levels
+    of a group and resample are summed over the cluster.
     """
     trial = df.select(*group, label.cast("int").alias("_y"), F.col(score).alias("_s"), F.col(key).alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("trial")).filter("_y IS NOT NULL AND _s IS NOT NULL")
     u = (F.pmod(F.xxhash64(F.lit(seed), "trial", "_k"), F.lit(2**52)) + 0.5) / F.lit(float(2**52))
@@ -205,9 +292,8 @@ def poisson_bootstrap(df: DataFrame, label: Column, score: str, key: str, group:
         weight = F.when(u <= acc, F.lit(k)).otherwise(weight)
     weighted = trial.withColumn("_w", weight).filter("_w > 0")
     levels = weighted.groupBy(*group, "trial", "_s").agg(F.sum("_w").alias("nn"), F.sum(F.col("_w") * F.col("_y")).alias("pp"))
-    up = Window.partitionBy(*group, "trial").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum(F.col("nn") - F.col("pp")).over(up), F.lit(0))
-    per = levels.withColumn("_b", below).groupBy(*group, "trial").agg(
+    ran = running_totals(levels, [*group, "trial"], ["_s"], {"_upto": F.col("nn") - F.col("pp")})
+    per = ran.withColumn("_b", F.col("_upto") - (F.col("nn") - F.col("pp"))).groupBy(*group, "trial").agg(
         F.sum(F.col("pp") * (F.col("_b") + (F.col("nn") - F.col("pp")) / F.lit(2.0))).alias("u"), F.sum("pp").alias("p"), F.sum(F.col("nn") - F.col("pp")).alias("q")
     )
     a = per.filter("p > 0 AND q > 0").withColumn("a", F.col("u") / (F.col("p") * F.col("q")))

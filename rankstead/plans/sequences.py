@@ -422,7 +422,33 @@ def pae_blocks(spark, d):
 
 
 def pae_consistency(spark, d):
-    return rounded(structure.consistency(_cells(spark, d), ["vec_id"], 6, 3), "pae_spread", "anchor_gap", "asymmetry")
+    return rounded(structure.consistency(_cells(spark, d), ["vec_id"], 6, 3), "pae_spread", "asymmetry")
+
+
+def _own_lengths(spark, d) -> DataFrame:
+    """The same matrices, each with a peptide of its own length (2 to 4) at its end."""
+    c = _cells(spark, d).withColumn("length", (F.col("vec_id") % 3 + 2).cast("int"))
+    return structure.at_the_end(c, ["vec_id"], "length")
+
+
+def pae_own_lengths(spark, d):
+    c = _own_lengths(spark, d)
+    a = structure.interface_pae(c, ["vec_id"], "first", "length").select("vec_id", "pae_pep_mhc", "pae_anchors").join(structure.consistency(c, ["vec_id"], "first", "length"), "vec_id")
+    return rounded(a, "pae_pep_mhc", "pae_anchors", "pae_spread", "asymmetry")
+
+
+def _places(spark, d) -> DataFrame:
+    """Anchor places of each structure: the second, one that only some have, and the last."""
+    return table(spark, d, "embeddings").select("vec_id", F.array(F.lit(2), (F.col("vec_id") % 4 + 1).cast("int"), F.lit(-1)).alias("anchors"))
+
+
+def pae_anchors(spark, d):
+    """Mean error at each structure's own anchor places."""
+    return rounded(structure.anchor_pae(_own_lengths(spark, d), _places(spark, d), ["vec_id"], "first", "length"), "pae_anchors_ic")
+
+
+def plddt_consistency(spark, d):
+    return rounded(structure.confidence_consistency(_atoms(spark, d), _places(spark, d), ["vec_id"], "C"), "plddt_spread", "anchor_gap")
 
 
 def _atoms(spark, d) -> DataFrame:
@@ -440,7 +466,7 @@ def contact_features(spark, d):
 
 
 def interface_geometry(spark, d):
-    return rounded(structure.interface_geometry(_atoms(spark, d), ["vec_id"], "C", "A", 1, 3), "contacts_per_residue", "anchor2_min", "anchor_last_min", "mean_min_dist", "buried_frac")
+    return rounded(structure.interface_geometry(_atoms(spark, d), ["vec_id"], "C", "A", _places(spark, d)), "contacts_per_residue", "anchor2_min", "anchor_last_min", "mean_min_dist", "buried_frac")
 
 
 def interface_plddt(spark, d):
@@ -456,7 +482,7 @@ QUERIES = {
         substitution_distance, frequent_letters, carries_anchors, hard_decoys, hard_decoy_pool, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
         exact_clusters, cluster_holdout, grouped_folds, maxmin_select, spread_pick, motif_classes, class_representatives, coverage_strata, subsample_inflation, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
-        positives, pae_blocks, pae_consistency, contact_features, interface_geometry, interface_plddt,
+        positives, pae_blocks, pae_consistency, pae_own_lengths, pae_anchors, plddt_consistency, contact_features, interface_geometry, interface_plddt,
     )
 }
 
@@ -491,8 +517,9 @@ LAND = r"""ld AS (SELECT row_id, regexp_extract(note, '^(seed\d+)', 1) AS seed,
     (row_id * 37 % 101)::DOUBLE AS delta FROM rq3_variants_b37 WHERE regexp_matches(note, '_p(\d+)([A-Z])$') AND regexp_matches(note, '^seed\d+'))"""
 CELLS = "cl AS (SELECT vec_id, (p - 1) // 8 + 1 AS i, (p - 1) % 8 + 1 AS j, embedding[p]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) AS u(p))"
 ATOMS = """atm AS (SELECT vec_id, CASE WHEN k < 6 THEN 'C' ELSE 'A' END AS chain, k // 2 + 1 AS r, embedding[k * 3 + 1]::DOUBLE * 10 AS x, embedding[k * 3 + 2]::DOUBLE * 10 AS y,
-    embedding[k * 3 + 3]::DOUBLE * 10 AS z, k * 5.0::DOUBLE AS b FROM embeddings, unnest(range(0, 20)) AS u(k)),
-    ap AS (SELECT p.vec_id, p.r AS pr, m.r AS mr, sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2) AS d FROM atm p JOIN atm m ON p.vec_id = m.vec_id AND p.chain = 'C' AND m.chain = 'A')"""
+    embedding[k * 3 + 3]::DOUBLE * 10 AS z, k * 5.0::DOUBLE AS b, k FROM embeddings, unnest(range(0, 20)) AS u(k)),
+    ap AS (SELECT p.vec_id, p.k AS pk, p.r AS pr, m.r AS mr, sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2) AS d FROM atm p JOIN atm m ON p.vec_id = m.vec_id AND p.chain = 'C' AND m.chain = 'A')"""
+OWN = f"""{CELLS}, ol AS (SELECT *, vec_id % 3 + 2 AS n, 8 - (vec_id % 3 + 2) + 1 AS f FROM cl), oc AS (SELECT *, i >= f AS fi FROM ol WHERE (i >= f) <> (j >= f))"""
 CROSS = "((i BETWEEN 6 AND 8) <> (j BETWEEN 6 AND 8))"
 SEEN = "EXISTS (SELECT 1 FROM tr WHERE tr.peptide = t.peptide)"
 PAIR = "EXISTS (SELECT 1 FROM tr WHERE tr.peptide = t.peptide AND tr.allele = t.allele)"
@@ -589,16 +616,26 @@ SQL = {
     "pae_blocks": f"""WITH {CELLS}, a AS (SELECT vec_id, avg(v) FILTER (WHERE {CROSS}) AS x, avg(v) FILTER (WHERE {CROSS} AND (i = 7 OR j = 7)) AS s, avg(v) FILTER (WHERE {CROSS} AND (i = 8 OR j = 8)) AS e,
         avg(v) FILTER (WHERE i BETWEEN 6 AND 8 AND j BETWEEN 6 AND 8) AS p, avg(v) AS w FROM cl GROUP BY vec_id)
         SELECT vec_id, round(x, 6) AS pae_pep_mhc, round(s, 6) AS pae_anchor2, round(e, 6) AS pae_anchor_last, round((s + e) / 2, 6) AS pae_anchors, round(p, 6) AS pae_pep, round(w, 6) AS pae_all FROM a""",
-    "pae_consistency": f"""WITH {CELLS}, c AS (SELECT *, CASE WHEN i BETWEEN 6 AND 8 THEN i ELSE j END AS p, i BETWEEN 6 AND 8 AS f FROM cl WHERE {CROSS}), q AS (SELECT vec_id, p, avg(v) AS m FROM c GROUP BY ALL),
-        a AS (SELECT vec_id, stddev_pop(m) AS s, abs(max(m) FILTER (WHERE p = 7) - max(m) FILTER (WHERE p = 8)) AS g FROM q GROUP BY vec_id), b AS (SELECT vec_id, abs(avg(v) FILTER (WHERE f) - avg(v) FILTER (WHERE NOT f)) AS y FROM c GROUP BY vec_id)
-        SELECT vec_id, round(s, 6) AS pae_spread, round(g, 6) AS anchor_gap, round(y, 6) AS asymmetry FROM a JOIN b USING (vec_id)""",
+    "pae_consistency": f"""WITH {CELLS}, c AS (SELECT *, i BETWEEN 6 AND 8 AS f FROM cl WHERE {CROSS}), q AS (SELECT vec_id, i, avg(v) AS m FROM c WHERE f GROUP BY ALL),
+        a AS (SELECT vec_id, stddev_pop(m) AS s FROM q GROUP BY vec_id), b AS (SELECT vec_id, abs(avg(v) FILTER (WHERE f) - avg(v) FILTER (WHERE NOT f)) AS y FROM c GROUP BY vec_id)
+        SELECT vec_id, round(s, 6) AS pae_spread, round(y, 6) AS asymmetry FROM a JOIN b USING (vec_id)""",
+    "pae_own_lengths": f"""WITH {OWN}, q AS (SELECT vec_id, i, avg(v) AS m FROM oc WHERE fi GROUP BY ALL), s AS (SELECT vec_id, stddev_pop(m) AS s FROM q GROUP BY vec_id),
+        a AS (SELECT vec_id, avg(v) AS x, avg(v) FILTER (WHERE i = f + 1 OR j = f + 1) AS p, avg(v) FILTER (WHERE i = 8 OR j = 8) AS e, abs(avg(v) FILTER (WHERE fi) - avg(v) FILTER (WHERE NOT fi)) AS y FROM oc GROUP BY vec_id)
+        SELECT vec_id, round(x, 6) AS pae_pep_mhc, round((p + e) / 2, 6) AS pae_anchors, round(s, 6) AS pae_spread, round(y, 6) AS asymmetry FROM a JOIN s USING (vec_id)""",
+    "pae_anchors": f"""WITH {OWN}, w AS (SELECT vec_id, unnest([1, 2, 3]) AS k, unnest([2, vec_id % 4 + 1, -1]) AS a FROM embeddings),
+        p AS (SELECT oc.vec_id, k, avg(v) AS m FROM oc JOIN w ON w.vec_id = oc.vec_id AND a <= n AND CASE WHEN a < 0 THEN f + n + a ELSE f + a - 1 END IN (i, j) GROUP BY ALL)
+        SELECT vec_id, round(avg(m), 6) AS pae_anchors_ic FROM p GROUP BY vec_id""",
+    "plddt_consistency": f"""WITH {ATOMS}, r AS (SELECT vec_id, r, avg(b) AS b, r = 2 OR r = vec_id % 4 + 1 OR r = 3 AS a FROM atm WHERE chain = 'C' GROUP BY ALL)
+        SELECT vec_id, round(stddev_pop(b), 6) AS plddt_spread, round(avg(b) FILTER (WHERE a) - avg(b) FILTER (WHERE NOT a), 6) AS anchor_gap FROM r GROUP BY vec_id""",
     "contact_features": f"""WITH {ATOMS}, r AS (SELECT vec_id, pr, mr, min(d) AS d FROM ap GROUP BY ALL)
-        SELECT vec_id, count(*) FILTER (WHERE d <= 5) AS n_contacts, count(DISTINCT pr) FILTER (WHERE d <= 5) AS n_pep_residues, count(DISTINCT mr) FILTER (WHERE d <= 5) AS n_mhc_residues,
-        round(count(*) FILTER (WHERE d <= 5) / nullif(count(DISTINCT pr) FILTER (WHERE d <= 5), 0)::DOUBLE, 6) AS mean_degree, round(min(d), 6) AS min_distance FROM r GROUP BY vec_id""",
-    "interface_geometry": f"""WITH {ATOMS}, r AS (SELECT vec_id, pr, count(*) FILTER (WHERE d < 4.5) AS c, count(*) FILTER (WHERE d < 3.5) AS h, min(d) AS m FROM ap GROUP BY ALL)
+        SELECT vec_id, count(*) FILTER (WHERE d <= 4) AS n_contacts, count(DISTINCT pr) FILTER (WHERE d <= 4) AS n_pep_residues, count(DISTINCT mr) FILTER (WHERE d <= 4) AS n_mhc_residues,
+        round(count(*) FILTER (WHERE d <= 4) / count(DISTINCT pr)::DOUBLE, 6) AS mean_degree, round(min(d), 6) AS min_distance FROM r GROUP BY vec_id""",
+    "interface_geometry": f"""WITH {ATOMS}, r AS (SELECT vec_id, pr, count(*) FILTER (WHERE d < 4.5) AS c, count(*) FILTER (WHERE d < 3.5) AS h, min(d) AS m FROM ap GROUP BY ALL),
+        t AS (SELECT vec_id, avg((m < 4.5)::INT) AS bf FROM (SELECT vec_id, pk, min(d) AS m FROM ap GROUP BY ALL) GROUP BY vec_id)
         SELECT vec_id, sum(c)::BIGINT AS n_contacts, sum(h)::BIGINT AS n_close, round(avg(c), 6) AS contacts_per_residue, max(c) FILTER (WHERE pr = 2) AS anchor2_contacts, max(c) FILTER (WHERE pr = 3) AS anchor_last_contacts,
-        round(max(m) FILTER (WHERE pr = 2), 6) AS anchor2_min, round(max(m) FILTER (WHERE pr = 3), 6) AS anchor_last_min, round(avg(m), 6) AS mean_min_dist, round(avg((m <= 4)::INT), 6) AS buried_frac FROM r GROUP BY vec_id""",
-    "interface_plddt": f"""WITH {ATOMS}, rs AS (SELECT vec_id, chain, r, avg(b) AS b FROM atm GROUP BY ALL), tc AS (SELECT DISTINCT vec_id, 'C' AS chain, pr AS r FROM ap WHERE d <= 5 UNION SELECT DISTINCT vec_id, 'A', mr FROM ap WHERE d <= 5)
-        SELECT vec_id, round(avg(b) FILTER (WHERE t.r IS NOT NULL), 6) AS interface_plddt, round(avg(b) FILTER (WHERE rs.chain = 'C'), 6) AS peptide_plddt, count(t.r) AS n_interface, count(*) FILTER (WHERE rs.chain = 'C') AS n_peptide
-        FROM rs LEFT JOIN tc t USING (vec_id, chain, r) GROUP BY vec_id""",
+        round(max(m) FILTER (WHERE pr = 2), 6) AS anchor2_min, round(max(m) FILTER (WHERE pr = 3), 6) AS anchor_last_min, round(avg(m), 6) AS mean_min_dist, round(any_value(bf), 6) AS buried_frac,
+        sum(c * ((pr = 2)::INT + (pr = vec_id % 4 + 1)::INT + (pr = 3)::INT))::BIGINT AS anchor_ic_contacts FROM r JOIN t USING (vec_id) GROUP BY vec_id""",
+    "interface_plddt": f"""WITH {ATOMS}, rs AS (SELECT vec_id, r, avg(b) AS b FROM atm WHERE chain = 'C' GROUP BY ALL), tc AS (SELECT DISTINCT vec_id, pr AS r FROM ap WHERE d <= 5)
+        SELECT vec_id, round(avg(b) FILTER (WHERE t.r IS NOT NULL), 6) AS interface_plddt, round(avg(b), 6) AS peptide_plddt, count(t.r) AS n_interface, count(*) AS n_peptide
+        FROM rs LEFT JOIN tc t USING (vec_id, r) GROUP BY vec_id""",
 }

@@ -14,7 +14,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,8 @@ _PEPTIDE = re.compile(f"[{AMINO_ACIDS}]{{8,14}}")
 _CORE = re.compile(f"[{AMINO_ACIDS}-]{{9}}")
 _QUOTES_IN_PLACE = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
 _BLANKS = re.compile(r"[ \t]+")
+_PHYSICAL = re.compile(r"[^\n]*\n|[^\n]+")
+_MARKS = [chr(x) for x in range(0xE000, 0xF8FF)]
 
 csv.field_size_limit(sys.maxsize)  # a damaged line may run to any length
 
@@ -49,22 +51,37 @@ class Rejected(ValueError):
     """A line that is no valid row; the message is the reason."""
 
 
-def assemble_records(lines: Iterable[str]) -> Iterator[str]:
+def assemble_records(lines: Iterable[str], most_lines: int | None = None) -> Iterator[str]:
     """Join physical lines while a double quote is open, so that a line break inside quotes stays in its record.
 
-    A quote left open at the end yields what was gathered; the parser then names the reason.
+    A quote left open at the end yields what was gathered; the parser then names the reason. With ``most_lines``, a record
+    that is still open after so many lines has a stray quote: its first line stands alone, and assembly goes on with the
+    next, so that one damaged line doesn't swallow the rest of a file.
     """
+    source, again = iter(lines), []
     held: list[str] = []
     is_open = False
-    for line in lines:
-        held.append(line)
-        if line.count('"') % 2:
-            is_open = not is_open
-        if not is_open:
-            yield "\n".join(held)
-            held = []
-    if held:
-        yield "\n".join(held)
+    while True:
+        line = again.pop() if again else next(source, None)
+        if line is None:
+            if not held:
+                return
+            if most_lines is None:
+                yield "\n".join(held)
+                return
+        else:
+            held.append(line)
+            if line.count('"') % 2:
+                is_open = not is_open
+            if not is_open:
+                yield "\n".join(held)
+                held = []
+                continue
+            if most_lines is None or len(held) < most_lines:
+                continue
+        yield held[0]
+        again += reversed(held[1:])
+        held, is_open = [], False
 
 
 def _integer(text: str, least: int, name: str) -> int:
@@ -114,8 +131,9 @@ def _csv_fields(line: str) -> list[str]:
     records = list(assemble_records(line.split("\n")))
     if len(records) > 1:
         raise Rejected("several_records")
+    mark = next(x for x in _MARKS if x not in line)  # a carriage return inside a line is a letter like any other
     try:
-        got = list(csv.reader(line.splitlines(keepends=True), strict=True))
+        got = [[x.replace(mark, "\r") for x in r] for r in csv.reader(_PHYSICAL.findall(line.replace("\r", mark)), strict=True)]
     except csv.Error as e:
         raise Rejected("broken_quoting" if '"' in line else f"unreadable:{e}") from e
     if len(got) != 1:
@@ -197,4 +215,43 @@ def load_with_rejects(df: DataFrame, raw: str = "raw", layout: str = "layout", b
     return slim.mapInArrow(run, schema)
 
 
+#: Physical lines that a record of a file may span.
+MOST_LINES = 50
+
+
+def read_with_rejects(spark: SparkSession, path: str, layout: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """Files of predictor output, any number below ``path``: every record with ``path``, ``line_no`` (its first physical line,
+    from 1), ``kind``, ``reason`` and the typed fields.
+
+    In the ``csv`` layout, records are assembled over physical lines in ``mapInArrow``; see :func:`assemble_records` for stray
+    quotes. A file is read by one task, as its lines depend on each other; predictors write a file per run.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("line_no", T.LongType()), *PARSED.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty, kinds = (None,) * len(ROW_SCHEMA.fields), [_ARROW[f.dataType.typeName()] for f in schema.fields]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = content.decode("utf-8", "replace").split("\n")
+                if lines[-1] == "":
+                    lines.pop()
+                out, at = [], 1
+                for record in assemble_records(lines, most_lines) if layout == "csv" else lines:
+                    kind, why, fields = parse_line(record, layout)
+                    out.append((name, at, kind, why, *(fields or empty)))
+                    at += record.count("\n") + 1
+                    if len(out) == 10_000:
+                        yield batch(out)
+                        out = []
+                if out:
+                    yield batch(out)
+
+    return files.mapInArrow(run, schema)
+
+
 _ARROW = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}

@@ -77,7 +77,9 @@ def test_json_layouts(spark):
     got = {(r["allele"], r["pseudosequence"]) for r in files.pseudosequences(spark.createDataFrame([(p,)], "t string"), "t").collect()}
     assert got == {("HLA-A*02:01", "YF"), ("y", "ZZ")}
     a = '{"min_ic": 1, "length": 9, "alleles": {"A": {"anchors": [2, -1], "ic": [0.5], "n_peptides": 7}}}'
-    assert files.anchor_table(spark.createDataFrame([(a,)], "t string"), "t").first()["anchors"] == [2, -1]
+    t = files.anchor_table(spark.createDataFrame([(a,)], "t string"), "t")
+    assert t.first()["anchors"] == [3, -1]  # places in the document count from 0
+    assert files.anchor_document(t, 1.0, 9).first()["document"] == '{"min_ic":1.0,"length":9,"alleles":{"A":{"anchors":[2,-1],"ic":[0.5],"n_peptides":7}}}'
 
 
 def test_arrays_and_folders(spark, tmp_path):
@@ -103,7 +105,8 @@ def test_pdb_contacts(spark):
     c = structure.contact_features(atoms, ["k"], "C", "A").first()
     assert (c["n_contacts"], c["n_pep_residues"], c["min_distance"]) == (1, 1, 3.0)
     p = structure.interface_plddt(atoms, ["k"], "C", "A").first()
-    assert (p["interface_plddt"], p["peptide_plddt"], p["n_interface"]) == (85.0, 75.0, 2)
+    assert (p["interface_plddt"], p["peptide_plddt"], p["n_interface"], p["n_peptide"]) == (80.0, 75.0, 1, 2)
+    assert c["mean_degree"] == 0.5  # residues without any contact count
     assert structure.structure_features(atoms, ["k"], "C", "A").count() == 1
     cif = "ATOM 1 C CA . GLY A 1 5 ? 1.0 2.0 3.0 1.0 77.0 ? 5 GLY A CA 1"
     assert files.parse_mmcif(spark.createDataFrame([("s", cif)], "k string, l string"), "k", "l").first()["b"] == 77.0
