@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankstead.operators.select import take_largest
 from rankstead.operators.skew import cut_lineage, lookup_skew_safe, positions_within
 
 #: Links that one task may hold at once while it builds its forest (about 200 bytes each), and the least tasks that begin.
@@ -123,30 +124,6 @@ def related_groups(df: DataFrame, id_col: str, ties: list[list[Column]], links_p
     return tied.unionByName(alone.select(F.col("row").alias("row_id"), F.col("row").alias("first_id")))
 
 
-def _take_largest(deficits: list[int], size: int, count: int) -> list[int]:
-    """How often each split is picked when ``count`` groups of ``size`` go, one by one, to the largest deficit.
-
-    Picking lowers a deficit by ``size``; the picks are the ``count`` largest terms of the falling progressions, found by
-    bisection on the term's value instead of one by one. Ties go to the earlier split.
-    """
-
-    def above(t: int) -> list[int]:
-        return [max(0, -(-(d - t) // size)) for d in deficits]
-
-    lo, hi = min(deficits) - size * (count + 1), max(deficits)
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        if sum(above(mid)) > count:
-            lo = mid
-        else:
-            hi = mid
-    picks = above(hi)
-    for i, d in enumerate(deficits):
-        if sum(picks) < count and d - picks[i] * size == hi:
-            picks[i] += 1
-    return picks
-
-
 def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     """``row_id``, ``first_id`` and ``split`` for the rows of :func:`related_groups`; a group is never parted.
 
@@ -162,7 +139,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     deficits = [round(shares[x] * total * scale) for x in names]
     bounds = []
     for size, count in histogram:
-        picks = _take_largest(deficits, size * scale, count)
+        picks = take_largest(deficits, size * scale, count)
         deficits = [d - p * size * scale for d, p in zip(deficits, picks, strict=True)]
         upto = 0
         for name, p in zip(names, picks, strict=True):

@@ -80,7 +80,7 @@ def test_greedy_is_the_greedy(spark):
             i = max(range(3), key=lambda k: d[k])
             d[i] -= size
             want[i] += 1
-        got = splits._take_largest(list(deficits), size, count)
+        got = splits.take_largest(list(deficits), size, count)
         assert sum(got) == count and sorted(x - g * size for x, g in zip(deficits, got)) == sorted(d)
 
 
