@@ -155,3 +155,10 @@ def censored_label(value: str, relation: str, strong: float = 50.0, weak: float
     below = ((r == "=") & (v < strong)) | ((r == "<") & (v <= strong))
     above = ((r == "=") & (v > weak)) | ((r == ">") & (v >= weak))
     return F.when(below, 1).when(above, 0)
+
+
+def first_rows(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """One row per key, the first in ``order`` (which should be unique); an aggregate that combines map-side."""
+    rest = [c for c in df.columns if c not in by]
+    least = df.groupBy(*by).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return least.select(*by, "_r.*").select(*df.columns)

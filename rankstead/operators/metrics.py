@@ -187,14 +187,15 @@ def standardised_orientation(df: DataFrame, label: str, features: list[str], gro
     """Per feature: ``auroc`` in its better orientation, ``direction`` (1 or -1), and ``auroc_z`` of the values standardised
     within groups (sample deviation; 0 where undefined), turned by the direction that the raw values gave.
 
-    Missing values get the feature's mean. Turning a score turns its AUROC a into 1 - a, so nothing is ranked twice.
+    Missing values get the feature's mean. Standard scores are rounded to 9 digits, so that equal ones of different groups
+    are ties. Turning a score turns its AUROC a into 1 - a, so nothing is ranked twice.
     """
     means = df.agg(*[F.avg(f).alias(f) for f in features]).first()  # one number per feature
     filled = df.select(group, label, *[F.coalesce(F.col(f).cast("double"), F.lit(means[f])).alias(f) for f in features])
     long = unpivot(filled, [group, label], features)
     stats = long.groupBy(group, "feature").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_sd")).withColumnRenamed(group, "_g")
     z = long.join(stats.withColumnRenamed("feature", "_f"), F.col(group).eqNullSafe(F.col("_g")) & (F.col("feature") == F.col("_f")))
-    z = z.select(label, "feature", F.coalesce((F.col("value") - F.col("_m")) / F.nullif("_sd", F.lit(0.0)), F.lit(0.0)).alias("value"))
+    z = z.select(label, "feature", F.round(F.coalesce((F.col("value") - F.col("_m")) / F.nullif("_sd", F.lit(0.0)), F.lit(0.0)), 9).alias("value"))
     raw = auto_oriented(auroc(long, label, "value", ["feature"])).select("feature", F.col("auroc_oriented").alias("auroc"), "direction")
     scaled = auroc(z, label, "value", ["feature"]).select("feature", F.col("auroc").alias("_z"))
     return raw.join(scaled, "feature").select("feature", "auroc", "direction", F.when(F.col("direction") > 0, F.col("_z")).otherwise(F.lit(1.0) - F.col("_z")).alias("auroc_z"))

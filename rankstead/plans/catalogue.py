@@ -1,6 +1,7 @@
 """All queries outside the optional subpackage."""
 
-from rankstead.plans import dealt, evaluation, flow, sequences
+from rankstead.plans import dealt, evaluation, flow, selections, sequences
 
-QUERIES = {**dealt.QUERIES, **evaluation.QUERIES, **sequences.QUERIES, **flow.QUERIES}
-SQL = {**dealt.SQL, **evaluation.SQL, **sequences.SQL, **flow.SQL}
+_PLANS = (dealt, evaluation, sequences, selections, flow)
+QUERIES = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
+SQL = {k: s for p in _PLANS for k, s in p.SQL.items()}

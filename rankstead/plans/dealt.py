@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rankstead.functions.text import folded, stripped
 from rankstead.operators.weighted import compress_values, heavy_keys, per_key_percentiles, per_key_summary
-from rankstead.sources.predictor_lines import load_with_rejects
+from rankstead.sources.predictor_lines import ROW_SCHEMA, load_with_rejects
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +22,12 @@ def p1_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy("kind", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
+def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, rejects and lines that are neither, by layout."""
+    lines = load_with_rejects(spark.read.parquet(f"{d}/netmhcpanrecord.parquet"), keep=["layout"])
+    return lines.groupBy("kind", "layout").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).filter(F.col("kind") == "row").drop("kind", "reason")
 
@@ -46,37 +52,44 @@ def p2_length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return per_key_percentiles(v, [0.1, 0.5, 0.9]).select(F.col("key").alias("allele"), F.round("p0", 6).alias("p10"), F.round("p1", 6).alias("p50"), F.round("p2", 6).alias("p90"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_rows, p2_found, p2_allele_stats, p2_length_percentiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_kinds, p1_rows, p2_found, p2_allele_stats, p2_length_percentiles)}
 
 _PEP, _INT, _NUM = "[ACDEFGHIKLMNPQRSTVWY]{8,14}", "[0-9]+", r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _HEAD = ["0*[1-9][0-9]*", r"HLA-[ABC]\*[0-9]{2}:[0-9]{2,3}", _PEP, "[ACDEFGHIKLMNPQRSTVWY-]{9}", *[_INT] * 5, _PEP]
 
 
 def _csv_line(taken: int = -1) -> str:
-    """Pattern of a valid line, with groups around the number ``taken`` of the last five."""
-    quoted = [f'(?:"{x}"|{x})' for x in _HEAD]
-    numbers = [f'(?:"({_NUM})"|({_NUM}))' if i == taken else f'(?:"{_NUM}"|{_NUM})' for i in range(5)]
-    return "^" + ",".join([*quoted, r'(?:"(?:[^"]|"")+"|[^",]+)', *numbers, '(?:"(?:SB|WB)?"|(?:SB|WB)?)']) + "$"
+    """Pattern of a valid line, with groups (quoted, bare) around the field number ``taken`` of the 17."""
+    plain = [*_HEAD, None, *[_NUM] * 5, "(?:SB|WB)?"]
+    pairs = [('(?:[^"]|"")+', '[^",]+') if x is None else (x, x) for x in plain]
+    return "^" + ",".join(f'(?:"({q})"|({u}))' if i == taken else f'(?:"{q}"|{u})' for i, (q, u) in enumerate(pairs)) + "$"
 
 
 def _out_line(taken: int = -1) -> str:
-    numbers = [f"({_NUM})" if i == taken else _NUM for i in range(5)]
-    return "^" + "[ \t]+".join([*_HEAD, "[^ \t]+", *numbers]) + "(?:[ \t]+<=[ \t]+(?:SB|WB))?$"
+    plain = [*_HEAD, "[^ \t]+", *[_NUM] * 5]
+    level = "(?:[ \t]+<=[ \t]+(SB|WB))?" if taken == 16 else "(?:[ \t]+<=[ \t]+(?:SB|WB))?"
+    return "^" + "[ \t]+".join(f"({x})" if i == taken else x for i, x in enumerate(plain)) + level + "$"
 
 
 _GROUPS = ", ".join(
-    f"coalesce(nullif(regexp_extract(l, '{_csv_line(i)}', 1), ''), nullif(regexp_extract(l, '{_csv_line(i)}', 2), '')) AS c{i}, regexp_extract(l, '{_out_line(i)}', 1) AS o{i}" for i in range(5)
+    f"coalesce(nullif(regexp_extract(l, '{_csv_line(i + 11)}', 1), ''), nullif(regexp_extract(l, '{_csv_line(i + 11)}', 2), '')) AS c{i}, regexp_extract(l, '{_out_line(i + 11)}', 1) AS o{i}" for i in range(5)
 )
 _FITS = lambda c: " AND ".join(f"TRY_CAST({c}{i} AS DOUBLE) BETWEEN 0 AND {m}" for i, m in enumerate((1, 100, 1, 100, 1e308))) + f" AND TRY_CAST({c}4 AS DOUBLE) > 0"
 
+_LINES = f"""t AS (SELECT record_id, layout, bind_level, raw, regexp_replace(regexp_replace(raw, '[ \t\r\n]+$', ''), '^[ \t]+', '') AS l FROM netmhcpanrecord),
+        f AS (SELECT *, {_GROUPS} FROM t)"""
+_BAD_LEVEL = "(bind_level IS NOT NULL AND upper(trim(bind_level)) NOT IN ('SB', 'WB'))"
+_NO_ROW = """(regexp_full_match(l, '-*') OR regexp_matches(l, '^(#|Protein|Number)') OR (layout = 'csv' AND regexp_matches(l, '^"?Pos"?,"?MHC"?,"?Peptide"?(,|$)')) OR (layout = 'stdout' AND regexp_matches(l, '^Pos[ \t]+MHC[ \t]+Peptide([ \t]|$)')))"""
+_IS_ROW = f"""((layout = 'csv' AND coalesce(regexp_matches(l, '{_csv_line()}') AND {_FITS("c")}, false)) OR (layout = 'stdout' AND coalesce(regexp_matches(l, '{_out_line()}') AND {_FITS("o")}, false)))"""
+_FIELD = lambda i: f"CASE layout WHEN 'csv' THEN coalesce(nullif(replace(regexp_extract(l, '{_csv_line(i)}', 1), '\"\"', '\"'), ''), nullif(regexp_extract(l, '{_csv_line(i)}', 2), '')) ELSE nullif(regexp_extract(l, '{_out_line(i)}', 1), '') END"
+_KINDS = ["BIGINT", *["VARCHAR"] * 3, *["BIGINT"] * 5, *["VARCHAR"] * 2, *["DOUBLE"] * 5, "VARCHAR"]
+
 SQL = {
-    "p1_found": f"""
-        WITH t AS (SELECT record_id, layout, bind_level, raw, regexp_replace(regexp_replace(raw, '[ \t\r\n]+$', ''), '^[ \t]+', '') AS l FROM netmhcpanrecord),
-        f AS (SELECT *, {_GROUPS} FROM t)
-        SELECT record_id FROM f WHERE raw IS NULL OR (bind_level IS NOT NULL AND upper(trim(bind_level)) NOT IN ('SB', 'WB')) OR NOT (
-            regexp_full_match(l, '-*') OR regexp_matches(l, '^(#|Protein|Number)') OR (layout = 'csv' AND regexp_matches(l, '^"?Pos"?,"?MHC"?,"?Peptide"?(,|$)'))
-            OR (layout = 'stdout' AND regexp_matches(l, '^Pos[ \t]+MHC[ \t]+Peptide([ \t]|$)'))
-            OR (layout = 'csv' AND coalesce(regexp_matches(l, '{_csv_line()}') AND {_FITS("c")}, false)) OR (layout = 'stdout' AND coalesce(regexp_matches(l, '{_out_line()}') AND {_FITS("o")}, false)))""",
+    "p1_found": f"WITH {_LINES} SELECT record_id FROM f WHERE raw IS NULL OR {_BAD_LEVEL} OR NOT ({_NO_ROW} OR {_IS_ROW})",
+    "p1_rows": f"""WITH {_LINES} SELECT record_id, {', '.join(f"CAST({_FIELD(i)} AS {k}) AS {n}" for i, (n, k) in enumerate(zip(ROW_SCHEMA.fieldNames(), _KINDS, strict=True)))}
+        FROM f WHERE raw IS NOT NULL AND NOT {_BAD_LEVEL} AND NOT {_NO_ROW} AND {_IS_ROW}""",
+    "p1_kinds": f"""WITH {_LINES} SELECT CASE WHEN raw IS NULL OR {_BAD_LEVEL} OR NOT ({_NO_ROW} OR {_IS_ROW}) THEN 'reject' WHEN {_NO_ROW} THEN 'other' ELSE 'row' END AS kind,
+        layout, count(*) AS n_lines FROM f GROUP BY ALL""",
     "p2_found": """
         WITH s AS (SELECT allele, count(*) AS n FROM atlas_labelled WHERE allele IS NOT NULL GROUP BY allele)
         SELECT allele FROM s WHERE n >= 0.04 * (SELECT sum(n) FROM s)""",

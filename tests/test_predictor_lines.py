@@ -1,5 +1,6 @@
 import pytest
 
+from rankstead.sources import predictor_lines
 from rankstead.sources.predictor_lines import assemble_records, load_with_rejects, parse_line
 
 CSV = '3,HLA-A*02:01,KLGNQESFL,KLGNQESFL,0,0,0,0,0,KLGNQESFL,"gel ""5"" band",0.5,1.2,5e-1,2.5,120.5,SB'
@@ -68,3 +69,25 @@ def test_frame_with_clashing_columns_and_repeats(spark):
     got = sorted((r["record_id"], r["kind"], r["reason"]) for r in load_with_rejects(df, keep=["record_id"]).collect())
     assert got == sorted([(1, "row", None), (1, "row", None), (2, "reject", "bad_bind_level"), (3, "reject", "null_line"), (4, "other", None)], key=lambda r: (r[0], r[1]))
     assert load_with_rejects(df.limit(0), keep=["record_id"]).count() == 0
+
+
+GOOD = '1,HLA-A*02:01,AAAAAAAAA,AAAAAAAAA,0,0,0,0,0,AAAAAAAAA,"{}",0.9,0.1,0.5,1.0,50.0,SB'
+
+
+@pytest.mark.parametrize("odd", ["\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u2029", "\r"])
+def test_only_line_feeds_part_records(odd):
+    kind, why, fields = predictor_lines.parse_line(GOOD.format(f"id{odd}x"), "csv")
+    assert (kind, why) == ("row", None) and fields[10] == f"id{odd}x"
+    assert predictor_lines.parse_line(GOOD.replace('"', "").format(f"id{odd}x"), "csv")[0] == "row"
+
+
+def test_files_are_assembled_over_physical_lines(spark, tmp_path):
+    lines = ["Pos,MHC,Peptide", GOOD.format("two\nlines"), GOOD.format("x").replace("HLA-A", "HLA-Z"), 'a stray " quote', *[GOOD.format(i) for i in range(4)], GOOD.format("a,b")]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "a" / "empty.csv").write_text("")
+    got = predictor_lines.read_with_rejects(spark, str(tmp_path / "a"), "csv", most_lines=3).orderBy("line_no").collect()
+    assert [(r["line_no"], r["kind"]) for r in got] == [(1, "other"), (2, "row"), (4, "reject"), (5, "reject"), *[(k, "row") for k in range(6, 11)]]
+    assert got[1]["identity"] == "two\nlines" and got[2]["reason"] == "bad_value:MHC" and got[3]["reason"] == "broken_quoting" and got[-1]["identity"] == "a,b"
+    assert list(predictor_lines.assemble_records(['a "', "b", 'c"', "d"])) == ['a "\nb\nc"', "d"]
+    assert list(predictor_lines.assemble_records(['a "', "b"], 5)) == ['a "', "b"]
