@@ -10,6 +10,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _capitals(c: Column | str) -> Column:
+    """In capitals, without white space of any kind around it."""
+    return F.upper(F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", ""))
+
+
 def normalize_key(c: Column | str) -> Column:
     """Permissive: any of ``A0201``, ``A*02:01``, ``HLA-A02:01`` ... to ``HLA-A*02:01``.
 
@@ -17,7 +22,7 @@ def normalize_key(c: Column | str) -> Column:
     that has none, and behind it, where there is no colon, four digits or more become two and two. Nothing is dropped: what
     isn't known keeps its text.
     """
-    t = F.regexp_replace(F.replace(F.upper(F.trim(_c(c))), F.lit(" "), F.lit("")), "^HLA-", "")
+    t = F.regexp_replace(F.replace(_capitals(c), F.lit(" "), F.lit("")), "^HLA-", "")
     starred = F.when(~t.contains("*") & (F.length(t) >= 5), F.regexp_replace(t, r"^(\p{L}+)", r"$1*")).otherwise(t)
     locus = F.substring_index(starred, "*", 1)
     digits = F.regexp_replace(F.substring(starred, F.length(locus) + 2, F.length(starred)), "[^0-9]", "")
@@ -27,7 +32,7 @@ def normalize_key(c: Column | str) -> Column:
 
 def normalize_key_strict(c: Column | str) -> Column:
     """Strict: loci A, B and C only; all digits after the first two make the second field; anything else is null."""
-    t = F.regexp_replace(F.regexp_replace(F.upper(F.trim(_c(c))), r"^HLA-", ""), r"[*:]", "")
+    t = F.regexp_replace(F.regexp_replace(_capitals(c), r"^HLA-", ""), r"[*:]", "")
     ok = t.rlike(r"^[ABC][0-9]{4,}\z")
     return F.when(ok, F.concat(F.lit("HLA-"), F.substring(t, 1, 1), F.lit("*"), F.substring(t, 2, 2), F.lit(":"), F.substring(t, 4, 100)))
 

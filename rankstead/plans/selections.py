@@ -9,7 +9,7 @@ from rankstead.functions import keys
 from rankstead.functions.text import folded
 from rankstead.operators import compose, joins, learn, metrics, motif, ranking, select, stats
 from rankstead.plans.evaluation import AFF, MOD, MODELS, aff, auroc_sql, models, rounded, table
-from rankstead.plans.sequences import AA, BOTH, COUNTS, FREQ, IC, NINE, T, _jsd, nine, tests
+from rankstead.plans.sequences import AA, BOTH, COUNTS, FREQ, IC, NINE, T, _jsd, maxmin_sql, nine, tests
 from rankstead.sources import files
 
 
@@ -286,7 +286,8 @@ SQL = {
         SELECT allele, peptide, round(score, 6) AS score FROM sc JOIN cut USING (allele) WHERE round(score, 9) <= cut""",
     "clean_decoy_candidates": f"""WITH {_jsd()}, {BOTH}, {_FAR}, {_W}, {_SC.format(name='so', src='nine')}, {_CUT.format(q=0.25)}, {_TOP},
         cand AS (SELECT DISTINCT a AS allele, peptide FROM far JOIN nine ON nine.allele = far.b WHERE place <= 3 AND NOT EXISTS (SELECT 1 FROM top4 t WHERE t.allele = far.a AND ((t.pos = 2 AND t.aa = substr(peptide, 2, 1)) OR (t.pos = 9 AND t.aa = substr(peptide, 9, 1))))),
-        {_SC.format(name='sc', src='cand')} SELECT allele, peptide, round(score, 6) AS score FROM sc JOIN cut USING (allele) WHERE round(score, 9) <= cut""",
+        {_SC.format(name='sc', src='cand')}
+        SELECT allele, peptide, round(score, 6) AS score FROM sc JOIN cut USING (allele) WHERE round(score, 9) <= cut""",
     "donor_decoy_candidates": f"WITH {_jsd()}, {BOTH}, {_FAR} SELECT a AS allele, b AS donor, peptide FROM far JOIN nine ON nine.allele = far.b WHERE place = 1",
     "consensus_letters": f"WITH {COUNTS}, best AS (SELECT allele, pos, aa FROM cnt QUALIFY row_number() OVER (PARTITION BY allele, pos ORDER BY n DESC, aa DESC) = 1) SELECT allele, string_agg(aa, '' ORDER BY pos) AS consensus FROM best GROUP BY allele",
     "measured_set": f"""WITH {_CLEAR} SELECT allele, peptide, label FROM clear JOIN rep USING (allele) WHERE n_pos >= 2 AND n_neg >= 2
@@ -340,6 +341,12 @@ SQL = {
     "alignment_problems": """SELECT s_suppkey % 40 AS file, 3 AS target_len, CASE WHEN bool_or(s_suppkey % 7 = 0) THEN 'template length is not the target length' WHEN bool_or(s_suppkey % 11 = 0) THEN 'places are not mapped to themselves' END AS problem FROM supplier GROUP BY 1""",
     "first_rows": r"""SELECT train_id, allele, p AS peptide FROM (SELECT *, upper(regexp_replace(peptide, '^\s+|\s+$', '', 'g')) AS p FROM motmaen_train WHERE peptide IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY p ORDER BY train_id) = 1""",
 }
+_CLEAN_SQL = SQL["clean_decoy_candidates"].removeprefix("WITH ")
+_DONOR_SQL = SQL["donor_decoy_candidates"].removeprefix("WITH ")
+SQL["clean_decoys"] = "WITH RECURSIVE " + _CLEAN_SQL.rpartition("SELECT allele, peptide, round")[0] + f""", picks AS (SELECT allele, peptide FROM sc JOIN cut USING (allele) WHERE round(score, 9) <= cut), {maxmin_sql('picks', 'allele', 2)}
+    SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm"""
+SQL["donor_decoys"] = "WITH RECURSIVE " + _DONOR_SQL.rpartition("SELECT a AS")[0] + f""", picks AS (SELECT a AS allele, peptide FROM far JOIN nine ON nine.allele = far.b WHERE place = 1), {maxmin_sql('picks', 'allele', 2)}
+    SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm"""
 SQL["metric_bundle"] = f"""WITH {AFF}, lev AS (SELECT *, sum(nn) OVER w AS cn, sum(pp) OVER w AS cp, sum(nn) OVER g AS n, sum(pp) OVER g AS p FROM (SELECT allele, s, count(*) AS nn, sum(y::INT) AS pp FROM aff WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY allele, s)
         WINDOW w AS (PARTITION BY allele ORDER BY s DESC), g AS (PARTITION BY allele)), ap AS (SELECT allele, CASE WHEN any_value(n) > any_value(p) AND any_value(p) > 0 THEN round(sum(pp / p::DOUBLE * (cp / cn::DOUBLE)), 6) END AS ap FROM lev GROUP BY allele),
         pv AS (SELECT allele, round(avg(y), 6) AS ppv FROM (SELECT *, row_number() OVER (PARTITION BY allele ORDER BY s DESC, row_id) AS rn FROM aff WHERE s IS NOT NULL) WHERE rn <= 100 GROUP BY allele), a AS ({auroc_sql('aff', 'allele')})

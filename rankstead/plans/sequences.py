@@ -338,6 +338,11 @@ def grouped_folds(spark, d):
     return select.grouped_folds(_clusters(spark, d), 5)
 
 
+def grouped_fold_sizes(spark, d):
+    """Rows and clusters of each fold."""
+    return grouped_folds(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"))
+
+
 def maxmin_select(spark, d):
     return select.maxmin_select(nine(spark, d), ["allele"], "peptide", "peptide", 12)
 
@@ -481,7 +486,7 @@ QUERIES = {
         pwm_score, position_ic, derive_anchors, anchor_survey, motif_breadth, ic_features, jsd_pairs, js_distance_anchors, motif_neighbours, farthest_donors,
         substitution_distance, frequent_letters, carries_anchors, hard_decoys, hard_decoy_pool, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
-        exact_clusters, cluster_holdout, grouped_folds, maxmin_select, spread_pick, motif_classes, class_representatives, coverage_strata, subsample_inflation, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
+        exact_clusters, cluster_holdout, grouped_folds, grouped_fold_sizes, maxmin_select, spread_pick, motif_classes, class_representatives, coverage_strata, subsample_inflation, normalized_keys, key_spellings, encoded_sequences, hamming_functions, event_props,
         positives, pae_blocks, pae_consistency, pae_own_lengths, pae_anchors, plddt_consistency, contact_features, interface_geometry, interface_plddt,
     )
 }
@@ -519,6 +524,29 @@ CELLS = "cl AS (SELECT vec_id, (p - 1) // 8 + 1 AS i, (p - 1) % 8 + 1 AS j, embe
 ATOMS = """atm AS (SELECT vec_id, CASE WHEN k < 6 THEN 'C' ELSE 'A' END AS chain, k // 2 + 1 AS r, embedding[k * 3 + 1]::DOUBLE * 10 AS x, embedding[k * 3 + 2]::DOUBLE * 10 AS y,
     embedding[k * 3 + 3]::DOUBLE * 10 AS z, k * 5.0::DOUBLE AS b, k FROM embeddings, unnest(range(0, 20)) AS u(k)),
     ap AS (SELECT p.vec_id, p.k AS pk, p.r AS pr, m.r AS mr, sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2) AS d FROM atm p JOIN atm m ON p.vec_id = m.vec_id AND p.chain = 'C' AND m.chain = 'A')"""
+_NEXT = "list_transform({rest}, lambda x: list_min(list_transform({got}, lambda y: hamming(x, y))))"
+
+
+def maxmin_sql(src: str, group: str, k: int, name: str = "mm") -> str:
+    """Recursive relations: ``mm`` has, by group, the list ``got`` of what max-min takes from ``src`` (group, peptide), least first."""
+    far = _NEXT.format(rest="rest", got="got")
+    return f"""{name}p AS (SELECT {group}, list(DISTINCT peptide ORDER BY peptide) AS pool FROM {src} GROUP BY {group}),
+        {name}r AS (SELECT {group}, pool, [pool[1]] AS got FROM {name}p UNION ALL
+          SELECT {group}, pool, list_append(got, rest[list_position({far}, list_max({far}))]) FROM (SELECT *, list_filter(pool, lambda z: NOT list_contains(got, z)) AS rest FROM {name}r WHERE len(got) < {k} AND len(got) < len(pool))),
+        {name} AS (SELECT {group}, got FROM {name}r QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY len(got) DESC) = 1)"""
+
+
+def clusters_sql(src: str, keys: str, order: str, most: str) -> str:
+    """Recursive relations: ``cl`` gives each peptide of ``src`` (by ``keys``) the first representative within ``most`` mismatches."""
+    same = " AND ".join(f"q.{k} = g.{k}" for k in keys.split(", "))
+    cols = ", ".join(f"q.{k}" for k in keys.split(", "))
+    return f"""q AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS k FROM {src}),
+        g AS (SELECT {keys}, k, peptide, peptide AS rep, [peptide] AS reps FROM q WHERE k = 1 UNION ALL
+          SELECT {keys}, k, peptide, coalesce(h, peptide), CASE WHEN h IS NULL THEN list_append(reps, peptide) ELSE reps END FROM
+            (SELECT {cols}, q.k, q.peptide, g.reps, list_filter(g.reps, lambda x: hamming(x, q.peptide) <= {most})[1] AS h FROM g JOIN q ON {same} AND q.k = g.k + 1)),
+        cl AS (SELECT {keys}, peptide, rep FROM g)"""
+
+
 OWN = f"""{CELLS}, ol AS (SELECT *, vec_id % 3 + 2 AS n, 8 - (vec_id % 3 + 2) + 1 AS f FROM cl), oc AS (SELECT *, i >= f AS fi FROM ol WHERE (i >= f) <> (j >= f))"""
 CROSS = "((i BETWEEN 6 AND 8) <> (j BETWEEN 6 AND 8))"
 SEEN = "EXISTS (SELECT 1 FROM tr WHERE tr.peptide = t.peptide)"
@@ -638,4 +666,26 @@ SQL = {
     "interface_plddt": f"""WITH {ATOMS}, rs AS (SELECT vec_id, r, avg(b) AS b FROM atm WHERE chain = 'C' GROUP BY ALL), tc AS (SELECT DISTINCT vec_id, pr AS r FROM ap WHERE d <= 5)
         SELECT vec_id, round(avg(b) FILTER (WHERE t.r IS NOT NULL), 6) AS interface_plddt, round(avg(b), 6) AS peptide_plddt, count(t.r) AS n_interface, count(*) AS n_peptide
         FROM rs LEFT JOIN tc t USING (vec_id, r) GROUP BY vec_id""",
+    "greedy_clusters": f"""WITH RECURSIVE {T}, f AS (SELECT peptide, min(test_id) AS o, length(peptide) AS n FROM t GROUP BY peptide), {clusters_sql('f', 'n', 'o', 'floor(0.2::DOUBLE * q.n + 1e-9)')}
+        SELECT t.test_id, t.peptide, dense_rank() OVER (ORDER BY f.o) - 1 AS cluster FROM t JOIN cl ON cl.peptide = t.peptide JOIN f ON f.peptide = cl.rep""",
+    "hamming_clusters": f"""WITH RECURSIVE {NINE}, {clusters_sql('nine', 'allele', 'peptide', '2')} SELECT allele, peptide, dense_rank() OVER (ORDER BY allele, rep) - 1 AS cluster FROM cl""",
+    "maxmin_select": f"""WITH RECURSIVE {NINE}, {maxmin_sql('nine', 'allele', 12)} SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm""",
+    "spread_pick": """WITH RECURSIVE p AS (SELECT locus, list(allele ORDER BY atlas_ms, allele) AS k, list(atlas_ms::DOUBLE ORDER BY atlas_ms, allele) AS v FROM data_type_coverage WHERE atlas_ms IS NOT NULL GROUP BY locus),
+        r AS (SELECT locus, k, v, CASE WHEN len(v) > 1 THEN [1, len(v)] ELSE [1] END AS got FROM p UNION ALL
+          SELECT locus, k, v, list_append(got, list_position(gap, list_max(gap))) FROM (SELECT *, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_contains(got, i) THEN -1 ELSE list_min(list_transform(got, lambda j: abs(v[i] - v[j]))) END) AS gap FROM r WHERE len(got) < 4 AND len(got) < len(v))),
+        b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY locus ORDER BY len(got) DESC) = 1)
+        SELECT locus, unnest(list_transform(got, lambda i: k[i])) AS allele, unnest(range(1, len(got) + 1))::INT AS place FROM b""",
+    "grouped_fold_sizes": f"""WITH RECURSIVE {T}, c AS (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(test_id)) AS k FROM t GROUP BY peptide),
+        r AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS s, [0, 0, 0, 0, 0]::BIGINT[] AS m UNION ALL
+          SELECT k + 1, list_transform(s, lambda x, i: x + CASE WHEN i = at_ THEN n ELSE 0 END), list_transform(m, lambda x, i: x + CASE WHEN i = at_ THEN 1 ELSE 0 END)
+          FROM (SELECT r.k, r.s, r.m, c.n, list_position(r.s, list_min(r.s)) AS at_ FROM r JOIN c ON c.k = r.k + 1)),
+        b AS (SELECT * FROM r ORDER BY k DESC LIMIT 1)
+        SELECT unnest(range(0, 5))::INT AS fold, unnest(s) AS n_rows, unnest(m) AS n_clusters FROM b""",
+    "normalized_keys": r"""WITH a AS (SELECT hla_b_37_01 AS s, upper(regexp_replace(hla_b_37_01, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS u FROM rq3_variants_b37), b AS (SELECT *, regexp_replace(replace(u, ' ', ''), '^HLA-', '') AS t FROM a),
+        c AS (SELECT *, CASE WHEN NOT contains(t, '*') AND length(t) >= 5 THEN regexp_replace(t, '^(\p{L}+)', '\1*') ELSE t END AS st FROM b),
+        e AS (SELECT *, split_part(st, '*', 1) AS lo, regexp_replace(substr(st, strpos(st, '*') + 1), '[^0-9]', '', 'g') AS dg, regexp_replace(regexp_replace(u, '^HLA-', ''), '[*:]', '', 'g') AS k FROM c),
+        x AS (SELECT 'HLA-' || CASE WHEN contains(st, '*') AND NOT contains(st, ':') AND length(dg) >= 4 THEN lo || '*' || substr(dg, 1, 2) || ':' || substr(dg, 3, 2) ELSE st END AS key,
+          CASE WHEN regexp_full_match(k, '[ABC][0-9]{4,}') THEN 'HLA-' || substr(k, 1, 1) || '*' || substr(k, 2, 2) || ':' || substr(k, 4) END AS strict,
+          CASE WHEN regexp_matches(upper(s), '[ABC]\*?\d{2}:?\d{2,3}') THEN 'HLA-' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 1) || '*' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 2) || ':' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 3) END AS found FROM e)
+        SELECT key, strict, found, count(*) AS n FROM x GROUP BY ALL""",
 }

@@ -70,7 +70,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     one inside a header is part of it."""
     rec = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).filter(F.trim("value") != "")
     lines = F.split("value", r"\r?\n")
-    seq = F.upper(F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), ""))
+    seq = F.upper(F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_replace(x, r"\s", "")), ""))
     return rec.select(F.trim(lines[0]).alias("header"), seq.alias("sequence")).filter("sequence <> ''")
 
 

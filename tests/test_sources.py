@@ -45,6 +45,8 @@ def test_nearest_training_allele(spark):
 def test_text_formats(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">one a\nacd\nEF\n>empty\n>two\nGG\n")
     assert [(r["header"], r["sequence"]) for r in files.read_fasta(spark, str(tmp_path / "x.fa")).collect()] == [("one a", "ACDEF"), ("two", "GG")]
+    (tmp_path / "y.fa").write_text(">sp|P1 a->b\r\nac\r\nDE\r\n>q\nGG")
+    assert [(r["header"], r["sequence"]) for r in files.read_fasta(spark, str(tmp_path / "y.fa")).collect()] == [("sp|P1 a->b", "ACDE"), ("q", "GG")]
     (tmp_path / "x.a3m").write_text("#5\t1\n>q\nACDEF\n>h\n--D--\n>g\nAC---\n")
     al = files.read_alignment(spark, str(tmp_path / "x.a3m"))
     assert [r["sequence"] for r in files.alignment_columns(al, 3, 2).orderBy("ord").collect()] == ["DE", "D-"]
@@ -141,6 +143,11 @@ def test_keys(spark):
     assert [g[0] for g in got[:4]] == ["HLA-A*02:01"] * 4
     assert [g[1] for g in got[:5]] == ["HLA-A*02:01"] * 4 + ["HLA-A*02:101"]
     assert got[4][0] == "HLA-A*02:10" and got[5][1] is None and got[6] == (None, None, None)
+    more = spark.createDataFrame([("DRB1*15:01",), ("HLA-DRB1*15:01",), (" a 02:01\u00a0",), ("Mamu",), ("xyz-1",), ("B*4402",)], "k string")
+    assert [r[0] for r in more.select(keys.normalize_key("k")).collect()] == ["HLA-DRB1*15:01", "HLA-DRB1*15:01", "HLA-A*02:01", "HLA-MAMU", "HLA-XYZ*-1", "HLA-B*44:02"]
+    fam = spark.createDataFrame([("HLA-A*02:01",), ("HLA-A*11:01",), (None,)], "k string")
+    assert [tuple(r) for r in fam.select(keys.is_family("k", prefix="HLA-A*02"), keys.is_family("k", pattern=r"HLA-A\*(03|11):")).collect()] == [(True, False), (False, True), (False, False)]
+    assert [r[0] for r in fam.select(keys.predictor_key("k", {"HLA-A*11:01": "A1101"})).collect()] == ["HLA-A02:01", "A1101", None]
     n = spark.createDataFrame([("seed3_p9K",), ("seed3",), ("junk",), (None,)], "n string").select(keys.variant_note("n").alias("v")).collect()
     assert [(r["v"]["seed"], r["v"]["position"], r["v"]["aa"]) for r in n] == [("seed3", 9, "K"), ("seed3", None, None), (None, None, None), (None, None, None)]
     assert [r[0] for r in spark.createDataFrame([("NA",), ("hard",), ("wt",), (None,)], "t string").select(keys.tag_label("t")).collect()] == [1, 0, None, None]
@@ -157,3 +164,81 @@ def test_sequences(spark):
     assert df.select(sequence.windows("a", 2)).collect()[0][0] == ["AC", "CD"] and df.select(sequence.windows("a", 2)).collect()[1][0] == []
     assert df.select(sequence.mosaic("a", F.lit("GGG"), F.lit(5))).collect()[0][0] == "AGD"
     assert spark.range(1).select(sequence.half_even(F.lit(2.5)), sequence.try_number(F.lit("x"))).first() == (2.0, None)
+
+
+def test_pair_of_confidence_documents(spark):
+    details = '{"pae": [[1, 2, 3], [4, 5, 6], [7, 8, 9]], "token_chain_ids": ["A", "A", "C"], "atom_plddts": [50, 70, 90], "atom_chain_ids": ["A", "A", "C"]}'
+    summary = '{"iptm": 0.8, "ptm": 0.7, "ranking_score": 0.9, "has_clash": 0.0, "chain_pair_iptm": [[1, 2, 3], [4, 5, 6], [7, 8, 9]], "chain_pair_pae_min": [[1, 1, 1], [1, 1, 1], [2.5, 1, 1]]}'
+    d = spark.createDataFrame([("f_20240101_120000", details), ("lone", details)], "k string, t string")
+    s = spark.createDataFrame([("f", summary), ("other", summary)], "k string, t string")
+    pair = files.confidence_pair(d, s, "k", "t")
+    r = pair.first()
+    assert pair.count() == 1 and (r["k"], r["iptm_pair"], r["iptm_pep"], r["pae_min_pep_mhc"], r["plddt"], r["plddt_pep"]) == ("f", 5.0, 9.0, 2.5, 0.7, 0.9)
+    cells = structure.at_the_end(files.token_cells(pair, "k"), ["k"], "length")
+    got = structure.interface_pae(cells, ["k"], "first", "length").first()
+    assert got["pae_pep_mhc"] == np.mean([3, 6, 7, 8]) and got["pae_pep"] == 9.0 and got["pae_anchors"] == got["pae_pep_mhc"]
+    assert {(r["k"], r["status"]) for r in files.unmatched(s, d, ["k"]).collect()} == {("f", "missing"), ("other", "missing"), ("f_20240101_120000", "unmatched"), ("lone", "unmatched")}
+
+
+def test_own_lengths_and_anchor_places(spark):
+    cells = spark.createDataFrame([(k, i, j, float(10 * i + j), n) for k, n in (("a", 2), ("b", 1), ("c", 4), ("d", None)) for i in range(1, 5) for j in range(1, 5)], "k string, i int, j int, v double, length int")
+    own = structure.at_the_end(cells, ["k"], "length")
+    got = {r["k"]: r for r in structure.interface_pae(own, ["k"], "first", "length").collect()}
+    cross = lambda p, rest: np.mean([10 * p + o for o in rest] + [10 * o + p for o in rest])
+    assert set(got) == {"a", "b"} and abs(got["a"]["pae_anchor2"] - cross(4, (1, 2))) < 1e-12 and abs(got["b"]["pae_anchor2"] - cross(4, (1, 2, 3))) < 1e-12
+    c = {r["k"]: r for r in structure.consistency(own, ["k"], "first", "length").collect()}
+    rows = [np.mean([31, 32]), np.mean([41, 42])]
+    assert abs(c["a"]["pae_spread"] - np.std(rows)) < 1e-12 and abs(c["a"]["asymmetry"] - abs(np.mean(rows) - np.mean([13, 23, 14, 24]))) < 1e-12 and c["b"]["pae_spread"] == 0
+    places = spark.createDataFrame([("a", [1, 5, -1, 0]), ("b", [7])], "k string, anchors array<int>")
+    a = {r["k"]: r["pae_anchors_ic"] for r in structure.anchor_pae(own, places, ["k"], "first", "length").collect()}
+    assert a == {"a": np.mean([cross(3, (1, 2)), cross(4, (1, 2))])}
+
+
+def test_confidence_spread_and_geometry_at_anchors(spark):
+    lines = [_atom(1, "CA", "A", 1, 0, 90), _atom(2, "CA", "C", 5, 3, 80), _atom(3, "H1", "C", 5, 1, 80), _atom(4, "CA", "C", 6, 4, 70), _atom(5, "CA", "C", 9, 30, 60)]
+    atoms = files.parse_pdb(spark.createDataFrame([("s", x) for x in lines], "k string, l string"), "k", "l")
+    anchors = spark.createDataFrame([("s", [2, -1])], "k string, anchors array<int>")
+    r = structure.confidence_consistency(atoms, anchors, ["k"], "C").first()
+    assert abs(r["plddt_spread"] - np.std([80, 70, 60])) < 1e-9 and r["anchor_gap"] == 65 - 80
+    g = structure.interface_geometry(atoms, ["k"], "C", "A", anchors).first()
+    assert (g["n_contacts"], g["n_close"], g["anchor2_contacts"], g["anchor_last_contacts"], g["anchor_last_min"], g["anchor_ic_contacts"]) == (2, 1, 1, 0, 30.0, 1)
+    assert abs(g["buried_frac"] - 2 / 3) < 1e-12 and abs(g["contacts_per_residue"] - 2 / 3) < 1e-12
+    f = structure.structure_features(atoms, ["k"], "C", "A", spark.createDataFrame([("s", 0.4)], "k string, ipsae double"))
+    assert structure.feature_subset(f, ["k"], True).columns == ["k", "interface_plddt", "peptide_plddt", "ipsae"] and "n_contacts" in structure.feature_subset(f, ["k"], False).columns
+    cif = [(1, "_atom_site.group_PDB"), (2, "_atom_site.type_symbol"), (3, "_atom_site.label_asym_id"), (4, "_atom_site.label_seq_id"), (5, "_atom_site.Cartn_x"), (6, "_atom_site.Cartn_y"), (7, "_atom_site.Cartn_z"), (8, "_atom_site.B_iso_or_equiv"), (9, "ATOM C A 7 1.5 2.5 3.5 44")]
+    t = files.parse_mmcif(spark.createDataFrame([("s", *x) for x in cif], "k string, o int, l string"), "k", "l", "o").first()
+    assert (t["chain"], t["resseq"], t["x"], t["b"], t["resname"]) == ("A", 7, 1.5, 44.0, None)
+
+
+def test_typed_records_and_alignments(spark, tmp_path):
+    text = "x\nMHC Pos Peptide Score %Rank Aff(nM) BindLevel\nA 1 PEP 0.5 1.5 x <= WB\nA one PEP 0.1 9 12\nA 2 PEP\nNumber of\nA 3 PEP 1 1 1"
+    blocks = files.parse_predictor_blocks(spark.createDataFrame([("f", text)], "k string, t string"), "k", "t")
+    r = files.predictor_records(blocks, "k").orderBy("line_no").collect()
+    assert [(x["pos"], x["score_el"], x["rank_el"], x["aff_nm"], x["bind_level"], x["is_binder"]) for x in r] == [(1, 0.5, 1.5, None, "WB", True), (None, 0.1, 9.0, 12.0, None, False)]
+    rows = [("good", 2, 2, "0:0;1:1"), ("split", 2, 2, "0:0;1:1"), ("split", 3, 3, "0:0;1:1;2:2"), ("other", 2, 3, "0:0;1:1"), ("moved", 2, 2, "0:1;1:0"), ("short", 2, 2, "0:0")]
+    got = {x["f"]: x["problem"] for x in files.validated_alignment(spark.createDataFrame(rows, "f string, target_len int, template_len int, alignstring string"), "f").collect()}
+    assert got == {"good": None, "split": "templates disagree on the target length", "other": "template length is not the target length", "moved": "places are not mapped to themselves", "short": "places are not mapped to themselves"}
+    (tmp_path / "bad.a3m").write_text(">q\nACDEF\n>h\nACD\n")
+    with pytest.raises(Exception, match="unequal"):
+        files.alignment_columns(files.read_alignment(spark, str(tmp_path / "bad.a3m")), 1, 2).collect()
+    folds = spark.createDataFrame([("NA", "hla_a_02_01", "AAA"), ("NA", "hla_a_02_01", "AAA"), ("hard", "hla_b_07_02", "AAA"), ("NA", "hla_a_02_01", "AA"), ("NA", "hla_c_01_02", "AAA")], "tag string, allele_slug string, peptide string")
+    chains = spark.createDataFrame([("hla_a_02_01", "GGGGGG"), ("hla_b_07_02", "GG")], "allele_slug string, sequence string")
+    good, bad = files.target_sequences(folds, chains, 7, 3)
+    assert [tuple(x) for x in good.collect()] == [("A*02:01", 0, "AAA", "NA__hla_a_02_01__aaa", "GGGG/AAA")]
+    assert sorted(x["reason"] for x in bad.collect()) == ["no sequence", "peptide length", "sequence too short"]
+    files.write_once_per_key(good, str(tmp_path / "t"), ["targetid"], lengths={"target_chainseq": 7})
+    with pytest.raises(Exception, match="8 letters"):
+        files.write_once_per_key(good, str(tmp_path / "u"), ["targetid"], lengths={"target_chainseq": 8})
+    files.write_siblings({"long": good, "summary": bad}, str(tmp_path / "run"))
+    assert (tmp_path / "run_long").exists() and (tmp_path / "run_summary").exists()
+    assert files.alignment_files(good.withColumn("s", F.lit("GG")), "mhc", "s").count() == 1
+
+
+def test_substitution_matrix_files(spark, tmp_path):
+    from rankstead.operators import motif
+
+    (tmp_path / "m.txt").write_text("# a comment\n   A  C\nA  4  0\nC  0  9\n")
+    m = motif.read_matrix(spark, str(tmp_path / "m.txt"))
+    pairs = spark.createDataFrame([(1, "AC", "AC"), (2, "AA", "CC"), (3, "A", "AC")], "i int, a string, b string")
+    got = {r["i"]: r["distance"] for r in motif.substitution_distance(pairs, "a", "b", m, ["i"]).collect()}
+    assert got[1] == 0.0 and got[2] == 1.0 and got[3] is None
