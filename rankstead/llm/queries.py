@@ -75,6 +75,11 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(splits.cut_lineage(_groups(spark, d)), SHARES)
 
 
+def p5_split_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and groups of each split."""
+    return p5_splits(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("first_id").alias("n_groups"))
+
+
 # Problem 6
 RARE_UPTO, COMMON_FROM = 1, 25
 
@@ -164,7 +169,7 @@ def p9_boilerplate(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p6_found, p6_counts, p6_words, p6_terms, p7_ids, p7_round_trip, p8_found, p8_items, p8_near, p9_found, p9_kinds, p9_boilerplate)
+    for f in (p3_found, p3_records, p4_found, p4_by_split_and_source, p4_coverage, p5_found, p5_splits, p5_split_sizes, p6_found, p6_counts, p6_words, p6_terms, p7_ids, p7_round_trip, p8_found, p8_items, p8_near, p9_found, p9_kinds, p9_boilerplate)
 }
 
 _CANON = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]', '', 'g')"
@@ -189,6 +194,14 @@ _WORDS = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[
 _RUNS = "SELECT {0}, list_aggregate(w[k:k + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1}))"
 _SHARED = f"""WITH shared AS (SELECT DISTINCT item_id, doc_id FROM ({_RUNS.format('item_id', 'eval_items')}) JOIN ({_RUNS.format('doc_id', 'documents')}) USING (g))"""
 
+_TIED = f"""WITH RECURSIVE r AS (SELECT row_id, {_FOLD} AS p, allele || '|' || sample_id AS g FROM atlas_labelled),
+        e AS (SELECT row_id AS a, min(row_id) OVER (PARTITION BY p) AS b FROM r WHERE p IS NOT NULL
+              UNION SELECT row_id, min(row_id) OVER (PARTITION BY g) FROM r WHERE g IS NOT NULL),
+        s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+        w(a, f) USING KEY (a) AS (
+            SELECT row_id, row_id FROM r
+            UNION SELECT s.a, min(w.f) FROM s JOIN w ON s.b = w.a JOIN recurring.w AS o ON o.a = s.a WHERE w.f < o.f GROUP BY s.a)"""
+
 SQL = {
     "p3_found": f"{_CLASSES} SELECT src_table, first_id, row_id AS copy_id FROM c WHERE row_id > first_id",
     "p3_records": f"{_CLASSES} SELECT src_table, first_id, count(*) AS n_copies FROM c GROUP BY ALL",
@@ -202,15 +215,14 @@ SQL = {
         l AS (SELECT p, count(DISTINCT i) AS letters FROM (SELECT p, s, unnest(range(1, length(p) + 1)) AS i FROM m WHERE h <= 2) WHERE substr(p, i, 1) = substr(s, i, 1) GROUP BY p)
         SELECT test_id, coalesce(n, 0)::BIGINT AS n_train, h AS nearest, CASE WHEN length(e.p) > 0 THEN round(coalesce(letters, 0) / length(e.p)::DOUBLE, 6) WHEN e.p IS NOT NULL THEN 0.0 END AS covered
         FROM e LEFT JOIN c USING (p) LEFT JOIN l USING (p)""",
-    "p5_found": f"""
-        WITH RECURSIVE r AS (SELECT row_id, {_FOLD} AS p, allele || '|' || sample_id AS g FROM atlas_labelled),
-        e AS (SELECT row_id AS a, min(row_id) OVER (PARTITION BY p) AS b FROM r WHERE p IS NOT NULL
-              UNION SELECT row_id, min(row_id) OVER (PARTITION BY g) FROM r WHERE g IS NOT NULL),
-        s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
-        w(a, f) USING KEY (a) AS (
-            SELECT row_id, row_id FROM r
-            UNION SELECT s.a, min(w.f) FROM s JOIN w ON s.b = w.a JOIN recurring.w AS o ON o.a = s.a WHERE w.f < o.f GROUP BY s.a)
-        SELECT f AS first_id, a AS row_id FROM w WHERE a > f""",
+    "p5_found": f"{_TIED} SELECT f AS first_id, a AS row_id FROM w WHERE a > f",
+    # Largest group first, to the split whose rows are furthest below its target; ties to the split named first.
+    "p5_split_sizes": f"""{_TIED}, z AS (SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, f) AS k FROM w GROUP BY f), tot AS (SELECT sum(n) AS t FROM z),
+        q AS (SELECT 0::BIGINT AS k, [round(0.8 * t * 1000000), round(0.1 * t * 1000000), round(0.1 * t * 1000000)]::BIGINT[] AS d, [0, 0, 0]::BIGINT[] AS s, [0, 0, 0]::BIGINT[] AS m FROM tot UNION ALL
+          SELECT k + 1, list_transform(d, lambda x, i: x - CASE WHEN i = at_ THEN n * 1000000 ELSE 0 END), list_transform(s, lambda x, i: x + CASE WHEN i = at_ THEN n ELSE 0 END), list_transform(m, lambda x, i: x + CASE WHEN i = at_ THEN 1 ELSE 0 END)
+          FROM (SELECT q.k, q.d, q.s, q.m, z.n, list_position(q.d, list_max(q.d)) AS at_ FROM q JOIN z ON z.k = q.k + 1)),
+        b AS (SELECT * FROM q ORDER BY k DESC LIMIT 1)
+        SELECT unnest(['train', 'validation', 'test']) AS split, unnest(s) AS n_rows, unnest(m) AS n_groups FROM b""",
     "p6_found": f"{_COUNTS} SELECT peptide, CASE WHEN n = 1 THEN 'rare' ELSE 'common' END AS mark FROM c WHERE n = 1 OR n >= 25",
     "p6_counts": f"""{_COUNTS} SELECT peptide, n AS n_occurrences, n AS n_records,
         CASE WHEN n = 1 THEN 'rare' WHEN n >= 25 THEN 'common' END AS mark FROM c""",
