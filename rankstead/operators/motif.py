@@ -135,6 +135,18 @@ def divergence(freq: DataFrame, group: str, distance: bool = False, positions: l
     return per.groupBy("a", "b").agg(F.avg(F.sqrt(d) if distance else d).alias("jsd"))
 
 
+def divergence_from(sample: DataFrame, freq: DataFrame, group: str, also: list[str]) -> DataFrame:
+    """``also``, ``a``, ``b``, ``jsd``: divergence of each sample's profile (group, ``also``, pos, aa, freq) from the whole profile
+    of every other group."""
+    x = sample.select(*also, F.col(group).alias("a"), "pos", "aa", F.col("freq").alias("p"))
+    y = freq.select(F.col(group).alias("b"), "pos", "aa", F.col("freq").alias("q"))
+    pairs = x.join(y, ["pos", "aa"]).filter("a <> b")
+    m = (F.col("p") + F.col("q")) / 2
+    kl = lambda u: F.when(F.col(u) > 0, F.col(u) * F.log2(F.col(u) / m)).otherwise(0.0)
+    per = pairs.groupBy(*also, "a", "b", "pos").agg(F.greatest(F.sum((kl("p") + kl("q")) / 2), F.lit(0.0)).alias("d"))
+    return per.groupBy(*also, "a", "b").agg(F.avg("d").alias("jsd"))
+
+
 def both_ways(pairs: DataFrame, value: str) -> DataFrame:
     """Each unordered pair as two rows."""
     return pairs.select("a", "b", value).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), value))

@@ -259,7 +259,7 @@ def dose_subsample(spark, d):
 
 
 def repeated_trials(spark, d):
-    t = select.trials(nine(spark, d), ["allele"], ["allele", "peptide"], 25, 3)
+    t = select.trials(nine(spark, d), ["allele"], ["allele", "peptide"], 200, 20)
     return t.groupBy("allele", "trial").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.substring("peptide", 2, 1)).alias("n_second"))
 
 
@@ -365,16 +365,20 @@ def coverage_strata(spark, d):
     return c.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.min("atlas_ms").alias("least"), F.max("atlas_ms").alias("most"))
 
 
+TRIAL_SIZE, TRIALS = 100, 10
+
+
 def subsample_inflation(spark, d):
-    """Nearest-motif distance over samples of 30 peptides, less that over all: mean and spread (population) by allele."""
-    full = motif.nearest_groups(_pairs(spark, d), "jsd").select(F.col("a").alias("allele"), F.col("nn_dist").alias("nn_full"))
-    t = select.trials(nine(spark, d), ["allele"], ["allele", "peptide"], 30, 2)
-    per = []
-    for k in range(2):
-        f = motif.frequencies(t.filter(F.col("trial") == k), ["allele"], "peptide", 9)
-        per.append(motif.nearest_groups(motif.divergence(f, "allele"), "jsd").select(F.col("a").alias("allele"), F.col("nn_dist").alias("nn")))
-    sub = per[0].unionByName(per[1]).groupBy("allele").agg(F.avg("nn").alias("nn_sub_mean"), F.stddev_pop("nn").alias("nn_sub_sd"))
-    return rounded(full.join(sub, "allele").withColumn("inflation", F.col("nn_sub_mean") - F.col("nn_full")), "nn_full", "nn_sub_mean", "nn_sub_sd", "inflation")
+    """Nearest-motif distance of samples of an allele's peptides from the whole profiles of the others, less that of all its
+    peptides: mean and spread (population) over the trials, for alleles with more peptides than a sample has."""
+    own, freq = nine(spark, d), _freq(spark, d)
+    full = motif.nearest_groups(motif.divergence(freq, "allele"), "jsd").select(F.col("a").alias("allele"), F.col("nn_dist").alias("nn_full"))
+    large = own.groupBy("allele").agg(F.count(F.lit(1)).alias("n_full")).filter(F.col("n_full") > TRIAL_SIZE)
+    t = select.trials(own.join(large, "allele"), ["allele"], ["allele", "peptide"], TRIAL_SIZE, TRIALS)
+    far = motif.divergence_from(motif.frequencies(t, ["allele", "trial"], "peptide", 9), freq, "allele", ["trial"])
+    sub = far.groupBy(F.col("a").alias("allele"), "trial").agg(F.min("jsd").alias("nn")).groupBy("allele").agg(F.avg("nn").alias("nn_sub_mean"), F.stddev_pop("nn").alias("nn_sub_sd"))
+    out = large.join(full, "allele").join(sub, "allele").withColumn("inflation", F.col("nn_sub_mean") - F.col("nn_full"))
+    return rounded(out, "nn_full", "nn_sub_mean", "nn_sub_sd", "inflation")
 
 
 # Scalars
@@ -609,7 +613,7 @@ SQL = {
         SELECT locus, allele, row_number() OVER (PARTITION BY locus ORDER BY atlas_ms DESC, allele) AS picked FROM data_type_coverage, k
         QUALIFY picked <= CASE locus WHEN 'HLA-C' THEN lc WHEN 'HLA-A' THEN la WHEN 'HLA-B' THEN lb ELSE 0 END""",
     "dose_subsample": "SELECT row_id FROM atlas_labelled WHERE allele IS NOT NULL AND label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY allele, label ORDER BY md5('0|' || row_id), row_id) <= 20",
-    "repeated_trials": f"""WITH {NINE}, d AS (SELECT * FROM nine, unnest(range(0, 3)) AS u(trial) QUALIFY row_number() OVER (PARTITION BY allele, trial ORDER BY md5(trial || '|' || allele || '|' || peptide), allele, peptide) <= 25)
+    "repeated_trials": f"""WITH {NINE}, d AS (SELECT * FROM nine, unnest(range(0, 20)) AS u(trial) QUALIFY row_number() OVER (PARTITION BY allele, trial ORDER BY md5(trial || '|' || allele || '|' || peptide), allele, peptide) <= 200)
         SELECT allele, trial, count(*) AS n, count(DISTINCT substr(peptide, 2, 1)) AS n_second FROM d GROUP BY ALL""",
     "pool_negatives": f"""WITH {NINE}, need AS (SELECT allele, count(*) AS k, ('0x' || substr(md5('7|' || allele), 1, 8))::BIGINT AS f FROM nine GROUP BY allele),
         pool AS (SELECT peptide, row_number() OVER (ORDER BY md5('7|' || peptide), peptide) - 1 AS at_, count(*) OVER () AS size FROM (SELECT DISTINCT peptide FROM nine))
@@ -688,4 +692,14 @@ SQL = {
           CASE WHEN regexp_full_match(k, '[ABC][0-9]{4,}') THEN 'HLA-' || substr(k, 1, 1) || '*' || substr(k, 2, 2) || ':' || substr(k, 4) END AS strict,
           CASE WHEN regexp_matches(upper(s), '[ABC]\*?\d{2}:?\d{2,3}') THEN 'HLA-' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 1) || '*' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 2) || ':' || regexp_extract(upper(s), '([ABC])\*?(\d{2}):?(\d{2,3})', 3) END AS found FROM e)
         SELECT key, strict, found, count(*) AS n FROM x GROUP BY ALL""",
+    "subsample_inflation": f"""WITH {FREQ}, k AS (SELECT allele, count(*) AS n_full FROM nine GROUP BY allele HAVING count(*) > {TRIAL_SIZE}),
+        d AS (SELECT nine.*, trial FROM nine JOIN k USING (allele), unnest(range(0, {TRIALS})) AS u(trial) QUALIFY row_number() OVER (PARTITION BY allele, trial ORDER BY md5(trial || '|' || allele || '|' || peptide), allele, peptide) <= {TRIAL_SIZE}),
+        c AS (SELECT allele, trial, pos, substr(peptide, pos, 1) AS aa, count(*) AS n FROM (SELECT *, unnest(range(1, 10)) AS pos FROM d) WHERE contains('{AA}', substr(peptide, pos, 1)) GROUP BY ALL),
+        gr AS (SELECT allele, trial, pos, aa FROM k, unnest(range(0, {TRIALS})) AS t(trial), unnest(range(1, 10)) AS u(pos), unnest(string_split('{AA}', '')) AS v(aa) WHERE aa <> ''),
+        sf AS (SELECT allele, trial, pos, aa, (coalesce(n, 0) + 0.5) / (sum(coalesce(n, 0)) OVER (PARTITION BY allele, trial, pos) + 10)::DOUBLE AS freq FROM gr LEFT JOIN c USING (allele, trial, pos, aa)),
+        j AS (SELECT x.allele, x.trial, y.allele AS b, pos, greatest(sum((x.freq * log2(x.freq / ((x.freq + y.freq) / 2)) + y.freq * log2(y.freq / ((x.freq + y.freq) / 2))) / 2), 0) AS d FROM sf x JOIN freq y USING (pos, aa) WHERE x.allele <> y.allele GROUP BY ALL),
+        nn AS (SELECT allele, trial, min(m) AS nn FROM (SELECT allele, trial, b, avg(d) AS m FROM j GROUP BY ALL) GROUP BY ALL), sb AS (SELECT allele, avg(nn) AS m, stddev_pop(nn) AS s FROM nn GROUP BY allele),
+        fp AS (SELECT x.allele AS a, y.allele AS b, pos, greatest(sum((x.freq * log2(x.freq / ((x.freq + y.freq) / 2)) + y.freq * log2(y.freq / ((x.freq + y.freq) / 2))) / 2), 0) AS d FROM freq x JOIN freq y USING (pos, aa) WHERE x.allele <> y.allele GROUP BY ALL),
+        fl AS (SELECT a AS allele, min(m) AS f FROM (SELECT a, b, avg(d) AS m FROM fp GROUP BY ALL) GROUP BY a)
+        SELECT allele, n_full, round(f, 6) AS nn_full, round(m, 6) AS nn_sub_mean, round(s, 6) AS nn_sub_sd, round(m - f, 6) AS inflation FROM k JOIN fl USING (allele) JOIN sb USING (allele)""",
 }
