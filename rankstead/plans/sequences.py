@@ -94,12 +94,7 @@ def band_controls(spark, d):
 
 
 def hamming_join(spark, d):
-    a = tests(spark, d).filter("fold_set = 'fold_set_v4'")
-    return joins.hamming_pairs(a, "test_id", "peptide", train_pairs(spark, d), "train_id", "peptide", 2)
-
-
-def hamming_join_all(spark, d):
-    """The near pairs of all evaluation splits; ``hamming_join`` has those of one."""
+    """The near pairs of all evaluation splits."""
     return joins.hamming_pairs(tests(spark, d), "test_id", "peptide", train_pairs(spark, d), "train_id", "peptide", 2)
 
 
@@ -274,13 +269,13 @@ def window_negatives(spark, d):
 
 
 def saturation_variants(spark, d):
-    wt = tests(spark, d).filter("fold_set = 'fold_set_affinity'").select("test_id", "peptide")
+    wt = tests(spark, d).select("test_id", "peptide")
     return select.saturation_variants(wt, ["test_id"], "peptide")
 
 
 def _additive(spark, d) -> DataFrame:
-    """Every mixture of a few test peptides with a background, scored by an additive rule."""
-    wt = tests(spark, d).filter("fold_set = 'fold_set_affinity' AND length(peptide) = 9").select("test_id", "peptide")
+    """Every mixture of the test peptides of nine letters with a background, scored by an additive rule."""
+    wt = tests(spark, d).select("test_id", "peptide")
     c = select.coalitions(wt, ["test_id"], "peptide", ["AAAAAAAAA", "GGGGGGGGG"], 9)
     value = F.aggregate(F.transform(sequence.letters("variant"), lambda x, i: F.ascii(x) * (i + 1.0)), F.lit(0.0), lambda s, v: s + v)
     return c.withColumn("value", value)
@@ -486,7 +481,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         leakage_flags, overlap_flags, negative_member_share, split_survival, held_out_rows, validation_rows, reject_counts, coverage_filled, outer_features,
-        aligned_counts, alias_join, band_controls, hamming_join, hamming_join_all, near_share, wild_type_delta, unambiguous_peptides, censored_labels, position_frequency, pwm_log_odds,
+        aligned_counts, alias_join, band_controls, hamming_join, near_share, wild_type_delta, unambiguous_peptides, censored_labels, position_frequency, pwm_log_odds,
         pwm_score, position_ic, derive_anchors, anchor_survey, motif_breadth, ic_features, jsd_pairs, js_distance_anchors, motif_neighbours, farthest_donors,
         substitution_distance, frequent_letters, carries_anchors, hard_decoys, hard_decoy_pool, canonical_top, stratified_quota, dose_subsample, repeated_trials, pool_negatives,
         window_negatives, saturation_variants, shapley_exact, landscape_sensitivity, landscape_top_positions, seed_stability, hamming_clusters, greedy_clusters,
@@ -572,8 +567,7 @@ SQL = {
         FROM data_type_coverage) c ON v.hla_b_37_01 = c.s""",
     "band_controls": """SELECT a.s_suppkey, count(*) AS n_controls, round(avg(b.s_nationkey), 6) AS control_mean, round(a.s_nationkey - avg(b.s_nationkey), 6) AS difference FROM supplier a JOIN supplier b
         ON a.s_nationkey % 5 = 0 AND b.s_nationkey % 5 <> 0 AND abs(a.s_acctbal - b.s_acctbal) <= 200 GROUP BY a.s_suppkey, a.s_nationkey""",
-    "hamming_join": f"WITH {T}, {TR} SELECT test_id AS left_id, train_id AS right_id, hamming(t.peptide, tr.peptide) AS distance FROM t JOIN tr ON fold_set = 'fold_set_v4' AND length(t.peptide) = length(tr.peptide) AND hamming(t.peptide, tr.peptide) <= 2",
-    "hamming_join_all": f"WITH {T}, {TR} SELECT test_id AS left_id, train_id AS right_id, hamming(t.peptide, tr.peptide) AS distance FROM t JOIN tr ON length(t.peptide) = length(tr.peptide) AND hamming(t.peptide, tr.peptide) <= 2",
+    "hamming_join": f"WITH {T}, {TR} SELECT test_id AS left_id, train_id AS right_id, hamming(t.peptide, tr.peptide) AS distance FROM t JOIN tr ON length(t.peptide) = length(tr.peptide) AND hamming(t.peptide, tr.peptide) <= 2",
     "near_share": f"""WITH {T}, {TR}, a AS (SELECT DISTINCT peptide FROM t), b AS (SELECT DISTINCT peptide FROM tr),
         m AS (SELECT a.peptide, (SELECT min(hamming(a.peptide, b.peptide)) FROM b WHERE length(b.peptide) = length(a.peptide)) AS h FROM a)
         SELECT count(*) AS n, count(*) FILTER (WHERE h = 0) AS n_exact, count(*) FILTER (WHERE h <= 1) AS n_near FROM m""",
@@ -621,11 +615,11 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY allele ORDER BY (at_ - f % size + size) % size) <= k""",
     "window_negatives": f"""WITH {NINE}, tx AS (SELECT string_agg(peptide, '' ORDER BY peptide) AS t FROM nine GROUP BY allele), w AS (SELECT DISTINCT n AS length, substr(t, i, n) AS peptide FROM (SELECT t, n, unnest(range(1, length(t) - n + 2)) AS i FROM tx, unnest([8, 9]) AS u(n)))
         SELECT peptide, length FROM w WHERE regexp_full_match(peptide, '[{AA}]+') AND peptide NOT IN (SELECT peptide FROM nine) QUALIFY row_number() OVER (PARTITION BY length ORDER BY md5('3|' || peptide), peptide) <= CASE length WHEN 8 THEN 50 ELSE 100 END""",
-    "saturation_variants": f"""WITH {T}, w AS (SELECT test_id, peptide FROM t WHERE fold_set = 'fold_set_affinity')
+    "saturation_variants": f"""WITH {T}, w AS (SELECT test_id, peptide FROM t)
         SELECT test_id, NULL::INT AS position, NULL AS aa, peptide AS variant FROM w UNION ALL
         SELECT test_id, i, aa, substr(peptide, 1, i - 1) || aa || substr(peptide, i + 1) FROM (SELECT *, unnest(range(1, length(peptide) + 1)) AS i FROM w), unnest(string_split('{AA}', '')) AS v(aa) WHERE aa <> substr(peptide, i, 1)""",
     "shapley_exact": f"""WITH {T} SELECT test_id, i AS position, round(i * (ascii(substr(peptide, i, 1)) - 68.0::DOUBLE), 6) AS phi
-        FROM (SELECT *, unnest(range(1, 10)) AS i FROM t WHERE fold_set = 'fold_set_affinity' AND length(peptide) = 9)""",
+        FROM (SELECT *, unnest(range(1, 10)) AS i FROM t WHERE length(peptide) = 9)""",
     "landscape_sensitivity": f"WITH {LAND}, m AS (SELECT position, aa, avg(delta) AS delta FROM ld GROUP BY ALL) SELECT position, round(stddev_pop(delta), 6) AS sensitivity FROM m GROUP BY position",
     "landscape_top_positions": f"""WITH {LAND}, m AS (SELECT seed, position, aa, avg(delta) AS delta FROM ld GROUP BY ALL), s AS (SELECT seed, position, round(stddev_pop(delta), 6) AS v FROM m GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY v DESC, position) AS rn FROM s)
