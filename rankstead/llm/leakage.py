@@ -24,7 +24,7 @@ WINDOW = 12
 MAX_EDITS = 2
 #: Places sampled of a walk. It stays with a word for two steps on average, so it has left the window after that many.
 PLACES, STEPS = 4, 2
-TARGET_RECALL = 0.99
+TARGET_RECALL = 0.999
 #: Words of items that one index holds; indexes that one scan of the documents meets; letters a task holds meanwhile.
 WORDS_PER_BLOCK = 500_000
 BLOCKS_PER_SCAN = 64

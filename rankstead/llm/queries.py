@@ -118,7 +118,7 @@ def _ranks() -> dict[bytes, int]:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenizer.encode_column(_table(spark, d, "documents"), "doc_id", "text", _ranks(), SPLIT_PATTERN)
+    return tokenizer.encode_column(_table(spark, d, "documents"), "doc_id", "text", _ranks(), SPLIT_PATTERN, blanks_lead=True)
 
 
 def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -192,6 +192,7 @@ _COUNTS = f"WITH c AS (SELECT {_FOLD} AS peptide, count(*) AS n FROM atlas_label
 _WORDS = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
     w AS (SELECT term, count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_records FROM t GROUP BY term)"""
 _RUNS = "SELECT {0}, list_aggregate(w[k:k + 11], 'string_agg', ' ') AS g FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {0}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {1}))"
+_LETTERS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _SHARED = f"""WITH shared AS (SELECT DISTINCT item_id, doc_id FROM ({_RUNS.format('item_id', 'eval_items')}) JOIN ({_RUNS.format('doc_id', 'documents')}) USING (g))"""
 
 _TIED = f"""WITH RECURSIVE r AS (SELECT row_id, {_FOLD} AS p, allele || '|' || sample_id AS g FROM atlas_labelled),
@@ -229,6 +230,19 @@ SQL = {
     "p6_words": f"{_WORDS} SELECT * FROM w",
     "p6_terms": f"{_WORDS} SELECT *, CASE WHEN n_records <= 1 THEN 'rare' WHEN n_records >= 25 THEN 'common' END AS mark FROM w",
     "p8_found": f"{_SHARED} SELECT item_id, doc_id FROM shared",
+    # Every item here has twelve words or more.
+    "p8_near": f"""WITH it AS (SELECT item_id, {_LETTERS} AS w FROM eval_items), iw AS (SELECT DISTINCT item_id, w[k:k + 11] AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM it)),
+        v AS (SELECT DISTINCT unnest(g) AS x FROM iw), dt AS (SELECT doc_id, {_LETTERS} AS w FROM documents),
+        dk AS (SELECT doc_id, k, (x IS NOT NULL)::INT AS known FROM (SELECT doc_id, unnest(w) AS y, unnest(range(1, len(w) + 1)) AS k FROM dt) LEFT JOIN v ON x = y),
+        ds AS (SELECT doc_id, k, sum(known) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS n FROM dk),
+        dw AS (SELECT DISTINCT doc_id, w[k:k + 11] AS g FROM ds JOIN dt USING (doc_id) WHERE n >= 10 AND k + 11 <= len(w)),
+        -- Windows of one length within two edits differ in two words at most, or agree when each loses one word.
+        u AS (SELECT DISTINCT false AS d, g FROM iw UNION ALL SELECT DISTINCT true, g FROM dw),
+        o1 AS (SELECT d, g, hash(list_concat(g[1:i - 1], g[i + 1:12])) AS h FROM u, unnest(range(1, 13)) AS r(i)),
+        o2 AS (SELECT d, g, i, j, hash(list_concat(g[1:i - 1], g[i + 1:j - 1], g[j + 1:12])) AS h FROM u, unnest(range(1, 13)) AS r(i), unnest(range(1, 13)) AS q(j) WHERE i < j),
+        p AS (SELECT a.g AS a, b.g AS b FROM o1 a JOIN o1 b USING (h) WHERE NOT a.d AND b.d UNION SELECT a.g, b.g FROM o2 a JOIN o2 b USING (i, j, h) WHERE NOT a.d AND b.d),
+        e AS (SELECT a, b, least(2, list_sum(list_transform(range(1, 13), lambda i: (a[i] <> b[i])::INT))) AS n FROM p)
+        SELECT item_id, doc_id, min(n)::INT AS edits, 12 AS words FROM e JOIN iw ON iw.g = e.a JOIN dw ON dw.g = e.b GROUP BY item_id, doc_id""",
     "p8_items": f"""{_SHARED} SELECT e.item_id, e.suite, e.split, count(s.doc_id) AS n_docs FROM eval_items e LEFT JOIN shared s USING (item_id)
         GROUP BY ALL""",
     "p9_boilerplate": r"""

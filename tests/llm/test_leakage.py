@@ -138,7 +138,7 @@ def test_recall_over_near_pairs_only(place):
 def test_repetitions_follow_the_hit_chance():
     assert leakage.repetitions(0.99, 12, 0) == 1
     assert 1 < leakage.repetitions(0.99, 12, 1) < leakage.repetitions(0.99, 12, 2) < leakage.repetitions(0.99, 12, 4)
-    assert leakage.repetitions(0.5, 12, 2) < leakage.repetitions(0.999, 12, 2)
+    assert leakage.repetitions(0.5, 12, 2) < leakage.repetitions(0.99, 12, 2) < leakage.repetitions(0.999, 12, 2)
     assert [leakage.edits_for(n) for n in (1, 5, 6, 11, 12, 40)] == [0, 0, 1, 1, 2, 2]
 
 
