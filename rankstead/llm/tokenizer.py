@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -54,6 +55,7 @@ class Transducer:
         self.index = {self.states[0]: 0}
         self.steps: dict[int, tuple[int, int]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, list[int]] = {}  # a blank and what follows up to the next
         self._follows: dict[int, bool] = {}
         # By the last bytes that begin a token, and one more: those of them that again begin one, and the tokens that end
         # here, each with the number of bytes before it.
@@ -178,10 +180,35 @@ class Transducer:
         if len(self.steps) > MAX_TRANSITIONS or len(self._follows) > MAX_TRANSITIONS or len(self.tails) > MAX_TRANSITIONS:
             self._reset()
 
-    def encode(self, text: str | None, pattern: regex.Pattern) -> list[int]:
-        """Ids of a text; null and the empty text give an empty list."""
+    def encode(self, text: str | None, pattern: regex.Pattern, blanks_lead: bool = False) -> list[int]:
+        """Ids of a text; null and the empty text give an empty list.
+
+        ``blanks_lead`` says that a word of the pattern holds blanks only as its first letter, or is white space only, and
+        that white space before a word leaves it the last blank. Then a text may be cut before every blank that no white
+        space follows, and pieces met before need no pattern.
+        """
         if not text:
             return []
+        if not blanks_lead:
+            return self._words(text, pattern)
+        first, *rest = text.split(" ")
+        if "" in rest:  # blanks in a row, or one at the end
+            return self._words(text, pattern)
+        out, pieces = self._words(first, pattern), self.pieces
+        for piece in rest:
+            ids = pieces.get(piece)
+            if ids is None:
+                if piece[0].isspace():
+                    return self._words(text, pattern)
+                ids = self._words(" " + piece, pattern)
+                if len(piece) <= 64:
+                    if len(pieces) >= MAX_WORDS:
+                        pieces.clear()
+                    pieces[piece] = ids
+            out += ids
+        return out
+
+    def _words(self, text: str, pattern: regex.Pattern) -> list[int]:
         out: list[int] = []
         # The words of a long text are not all held at once.
         for word in pattern.findall(text) if len(text) < LONG_TEXT else (m.group() for m in pattern.finditer(text)):
@@ -222,9 +249,11 @@ def decode_stream(ids: Iterable[int], bytes_of: dict[int, bytes], errors: str =
         yield piece
 
 
-def encode_column(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+def encode_column(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int], pattern: str, blanks_lead: bool = False) -> DataFrame:
     """``id_col`` and ``ids`` (array of int) of every row, without special tokens; null and empty texts have no ids.
 
+    For ``blanks_lead`` see :meth:`Transducer.encode`.
+
     The vocabulary (a megabyte) is broadcast. One pass, no shuffle; whole texts of any length, each row on its own.
     """
     held = df.sparkSession.sparkContext.broadcast(ranks)
@@ -234,11 +263,15 @@ def encode_column(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, words = _kept(name, held.value), regex.compile(pattern)
-        for b in batches:
-            for at in range(0, max(b.num_rows, 1), 500):
-                part = b.slice(at, 500)
-                ids = pa.array([machine.encode(t.as_py(), words) for t in part.column(1)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+        gc.disable()  # the tables, bounded and without cycles, would be gone through again and again
+        try:
+            for b in batches:
+                for at in range(0, max(b.num_rows, 1), 500):
+                    part = b.slice(at, 500)
+                    ids = pa.array([machine.encode(t.as_py(), words, blanks_lead) for t in part.column(1)], pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
+        finally:
+            gc.enable()
 
     return slim.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 

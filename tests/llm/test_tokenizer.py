@@ -30,10 +30,32 @@ def test_ids_equal_the_library_and_decode_back(machine):
     m, pattern = machine
     for text, want in zip(texts(), t.encode_batch(texts(), add_special_tokens=False)):
         ids = m.encode(text, pattern)
-        assert ids == want.ids
+        assert ids == want.ids == m.encode(text, pattern, blanks_lead=True)
         assert "".join(tokenizer.decode_stream(ids, m.bytes_of)) == text
 
 
+def test_pieces_between_blanks_give_the_same_ids(machine):
+    m, pattern = machine
+    rnd = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rnd.choices(["a", "bc", " ", " ", "\n", "\t", "\u00a0", "\u2009", "1", "'s", ".", "é", "\x1c", "\r\n"], k=rnd.randint(0, 14)))
+        assert m.encode(text, pattern, blanks_lead=True) == m.encode(text, pattern), repr(text)
+
+
+def test_long_words_are_put_out_on_the_way(machine, monkeypatch):
+    m, pattern = machine
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("ACDEFGHIKLMNPQRSTVWYacd", k=n)) for n in (50, 99, 500)] + ["=" * 300, "ab" * 150]
+    want = [m.encode(w, pattern) for w in words]
+    monkeypatch.setattr(tokenizer, "LONG_WORD", 7)
+    monkeypatch.setattr(tokenizer, "LONG_TEXT", 10)
+    m.words.clear()
+    assert [m.encode(w, pattern) for w in words] == want
+    monkeypatch.setattr(tokenizer, "MAX_TRANSITIONS", 20)
+    m.words.clear()
+    assert [m.encode(w, pattern) for w in words] == want
+
+
 def test_tables_may_be_emptied_at_any_time(machine, monkeypatch):
     m, pattern = machine
     sample = texts()[:200]
