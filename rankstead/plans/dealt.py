@@ -83,8 +83,32 @@ _NO_ROW = """(regexp_full_match(l, '-*') OR regexp_matches(l, '^(#|Protein|Numbe
 _IS_ROW = f"""((layout = 'csv' AND coalesce(regexp_matches(l, '{_csv_line()}') AND {_FITS("c")}, false)) OR (layout = 'stdout' AND coalesce(regexp_matches(l, '{_out_line()}') AND {_FITS("o")}, false)))"""
 _FIELD = lambda i: f"CASE layout WHEN 'csv' THEN coalesce(nullif(replace(regexp_extract(l, '{_csv_line(i)}', 1), '\"\"', '\"'), ''), nullif(regexp_extract(l, '{_csv_line(i)}', 2), '')) ELSE nullif(regexp_extract(l, '{_out_line(i)}', 1), '') END"
 _KINDS = ["BIGINT", *["VARCHAR"] * 3, *["BIGINT"] * 5, *["VARCHAR"] * 2, *["DOUBLE"] * 5, "VARCHAR"]
+_NAMES = ["Pos", "MHC", "Peptide", "Core", "Of", "Gp", "Gl", "Ip", "Il", "Icore", "Identity", "Score_EL", "%Rank_EL", "Score_BA", "%Rank_BA", "Aff(nM)"]
+
+
+def _first_bad() -> str:
+    """The first field that isn't as it should be: Identity, then the others in order."""
+    tests = [("Identity", "f[11] = ''"), ("Pos", "NOT regexp_full_match(f[1], '[0-9]{1,18}') OR TRY_CAST(f[1] AS BIGINT) < 1")]
+    tests += [(_NAMES[i], f"NOT regexp_full_match(f[{i + 1}], '{_HEAD[i]}')") for i in (1, 2, 3)]
+    tests += [(_NAMES[i], f"NOT regexp_full_match(f[{i + 1}], '[0-9]{{1,18}}')") for i in range(4, 9)] + [("Icore", f"NOT regexp_full_match(f[10], '{_PEP}')")]
+    for i, most in zip(range(11, 16), (1, 100, 1, 100, 1.7976931348623157e308), strict=True):
+        low = " OR TRY_CAST(f[16] AS DOUBLE) <= 0" if i == 15 else ""
+        tests.append((_NAMES[i], f"NOT regexp_full_match(f[{i + 1}], '{_NUM}') OR coalesce(TRY_CAST(f[{i + 1}] AS DOUBLE) NOT BETWEEN 0 AND {most}, true){low}"))
+    return " ".join(f"WHEN {test} THEN 'bad_value:{name}'" for name, test in tests)
+
+
+_QUOTED = '"(?:[^"]|"")*"'
+_REASONS = f"""t AS (SELECT layout, raw, bind_level, regexp_replace(regexp_replace(raw, '[ \t\r\n]+$', ''), '^[ \t]+', '') AS l FROM netmhcpanrecord),
+        g AS (SELECT *, layout = 'csv' AND NOT regexp_full_match(l, '(?:{_QUOTED}|[^",]*)(?:,(?:{_QUOTED}|[^",]*))*') AS broken,
+          CASE layout WHEN 'csv' THEN list_transform(regexp_extract_all(l || ',', '({_QUOTED}|[^",]*),', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) ELSE string_split_regex(l, '[ \t]+') END AS w FROM t),
+        m AS (SELECT *, CASE WHEN layout = 'csv' THEN w[17] WHEN len(w) = 18 AND w[17] = '<=' THEN w[18] ELSE '' END AS level, CASE WHEN layout = 'stdout' AND len(w) = 18 AND w[17] = '<=' THEN w[1:16] WHEN layout = 'csv' AND len(w) = 17 THEN w[1:16] ELSE w END AS f FROM g),
+        k AS (SELECT *, CASE WHEN raw IS NULL THEN 'null_line' WHEN {{no_row}} THEN NULL WHEN broken THEN 'broken_quoting' WHEN layout = 'csv' AND len(w) <> 17 THEN 'wrong_columns:' || len(w)
+          WHEN level NOT IN ('', 'SB', 'WB') OR (layout = 'stdout' AND len(w) = 18 AND w[17] = '<=' AND level = '') THEN 'bad_value:BindLevel' WHEN layout = 'stdout' AND len(f) <> 16 THEN 'wrong_columns:' || len(w) {{bad}} END AS why,
+          coalesce({{no_row}}, false) AS other FROM m)"""
 
 SQL = {
+    "p1_reasons": f"""WITH {_REASONS.format(no_row=_NO_ROW, bad=_first_bad())}, r AS (SELECT *, why IS NULL AND bind_level IS NOT NULL AND upper(trim(bind_level)) NOT IN ('SB', 'WB') AS bad FROM k)
+        SELECT CASE WHEN why IS NOT NULL OR bad THEN 'reject' WHEN other THEN 'other' ELSE 'row' END AS kind, CASE WHEN bad THEN 'bad_bind_level' ELSE why END AS reason, count(*) AS n_lines FROM r GROUP BY ALL""",
     "p1_found": f"WITH {_LINES} SELECT record_id FROM f WHERE raw IS NULL OR {_BAD_LEVEL} OR NOT ({_NO_ROW} OR {_IS_ROW})",
     "p1_rows": f"""WITH {_LINES} SELECT record_id, {', '.join(f"CAST({_FIELD(i)} AS {k}) AS {n}" for i, (n, k) in enumerate(zip(ROW_SCHEMA.fieldNames(), _KINDS, strict=True)))}
         FROM f WHERE raw IS NOT NULL AND NOT {_BAD_LEVEL} AND NOT {_NO_ROW} AND {_IS_ROW}""",

@@ -347,6 +347,17 @@ SQL["clean_decoys"] = "WITH RECURSIVE " + _CLEAN_SQL.rpartition("SELECT allele,
     SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm"""
 SQL["donor_decoys"] = "WITH RECURSIVE " + _DONOR_SQL.rpartition("SELECT a AS")[0] + f""", picks AS (SELECT a AS allele, peptide FROM far JOIN nine ON nine.allele = far.b WHERE place = 1), {maxmin_sql('picks', 'allele', 2)}
     SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm"""
+# Five alleles by max-min on their consensus letters, the forced one first, and what is picked of each.
+_GROUPS = f"""{FREQ}, best AS (SELECT allele, pos, aa FROM cnt QUALIFY row_number() OVER (PARTITION BY allele, pos ORDER BY n DESC, aa DESC) = 1), cons AS (SELECT allele, string_agg(aa, '' ORDER BY pos) AS c FROM best GROUP BY allele),
+    gp AS (SELECT list(allele ORDER BY allele) AS k, list(c ORDER BY allele) AS v FROM cons),
+    gr AS (SELECT k, v, [coalesce(nullif(list_position(k, 'HLA-A*02:01'), 0), 1)] AS got FROM gp UNION ALL SELECT k, v, list_append(got, list_position(gap, list_max(gap))) FROM
+      (SELECT *, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_contains(got, i) THEN -1 ELSE list_min(list_transform(got, lambda j: hamming(v[i], v[j]))) END) AS gap FROM gr WHERE len(got) < 5 AND len(got) < len(v))),
+    picked AS (SELECT unnest(list_transform(got, lambda i: k[i])) AS allele FROM (SELECT * FROM gr ORDER BY len(got) DESC LIMIT 1)), mine AS (SELECT nine.* FROM nine JOIN picked USING (allele))"""
+_PICKS = "SELECT allele, unnest(got) AS peptide, unnest(range(1, len(got) + 1))::INT AS place FROM mm"
+SQL["diverse_set"] = f"WITH RECURSIVE {_GROUPS}, {maxmin_sql('mine', 'allele', 4)} {_PICKS}"
+SQL["canonical_set"] = f"""WITH RECURSIVE {_GROUPS}, {_W}, {_SC.format(name='sc', src='mine')},
+    top AS (SELECT allele, peptide, round(score, 9) AS s FROM sc QUALIFY row_number() OVER (PARTITION BY allele ORDER BY round(score, 9) DESC, peptide DESC) <= greatest(2, floor(count(*) OVER (PARTITION BY allele) * 0.1))),
+    {maxmin_sql('top', 'allele', 2, order='s DESC, peptide DESC')} {_PICKS}"""
 SQL["metric_bundle"] = f"""WITH {AFF}, lev AS (SELECT *, sum(nn) OVER w AS cn, sum(pp) OVER w AS cp, sum(nn) OVER g AS n, sum(pp) OVER g AS p FROM (SELECT allele, s, count(*) AS nn, sum(y::INT) AS pp FROM aff WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY allele, s)
         WINDOW w AS (PARTITION BY allele ORDER BY s DESC), g AS (PARTITION BY allele)), ap AS (SELECT allele, CASE WHEN any_value(n) > any_value(p) AND any_value(p) > 0 THEN round(sum(pp / p::DOUBLE * (cp / cn::DOUBLE)), 6) END AS ap FROM lev GROUP BY allele),
         pv AS (SELECT allele, round(avg(y), 6) AS ppv FROM (SELECT *, row_number() OVER (PARTITION BY allele ORDER BY s DESC, row_id) AS rn FROM aff WHERE s IS NOT NULL) WHERE rn <= 100 GROUP BY allele), a AS ({auroc_sql('aff', 'allele')})

@@ -526,10 +526,11 @@ ATOMS = """atm AS (SELECT vec_id, CASE WHEN k < 6 THEN 'C' ELSE 'A' END AS chain
 _NEXT = "list_transform({rest}, lambda x: list_min(list_transform({got}, lambda y: hamming(x, y))))"
 
 
-def maxmin_sql(src: str, group: str, k: int, name: str = "mm") -> str:
-    """Recursive relations: ``mm`` has, by group, the list ``got`` of what max-min takes from ``src`` (group, peptide), least first."""
+def maxmin_sql(src: str, group: str, k: int, name: str = "mm", order: str = "peptide") -> str:
+    """Recursive relations: ``mm`` has, by group, the list ``got`` of what max-min takes from ``src`` (group, distinct peptide),
+    beginning with the first in ``order``."""
     far = _NEXT.format(rest="rest", got="got")
-    return f"""{name}p AS (SELECT {group}, list(DISTINCT peptide ORDER BY peptide) AS pool FROM {src} GROUP BY {group}),
+    return f"""{name}p AS (SELECT {group}, list(peptide ORDER BY {order}) AS pool FROM {src} GROUP BY {group}),
         {name}r AS (SELECT {group}, pool, [pool[1]] AS got FROM {name}p UNION ALL
           SELECT {group}, pool, list_append(got, rest[list_position({far}, list_max({far}))]) FROM (SELECT *, list_filter(pool, lambda z: NOT list_contains(got, z)) AS rest FROM {name}r WHERE len(got) < {k} AND len(got) < len(pool))),
         {name} AS (SELECT {group}, got FROM {name}r QUALIFY row_number() OVER (PARTITION BY {group} ORDER BY len(got) DESC) = 1)"""
