@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankstead.operators.skew import running_totals
+from rankstead.operators.skew import cut_lineage, running_totals
 from rankstead.operators.weighted import compress_values, per_key_percentiles
 
 
@@ -50,6 +50,27 @@ def ranked(df: DataFrame, score: str, group: list[str] = (), name: str = "rank",
     return df.join(right, same, "left").drop(*[f"_r_{k}" for k in [*keys, score]])
 
 
+def ranked_together(df: DataFrame, scores: list[str], group: list[str] = (), ranks: list[str] | None = None, shares: list[str] | None = None) -> DataFrame:
+    """:func:`ranked` for several numeric scores: the counts of all their distinct values are sorted and summed in one pass.
+
+    ``ranks`` and ``shares`` name the added columns, one for each score; either may be left out.
+    """
+    keys, levels = list(group), None
+    for i, s in enumerate(scores):
+        one = df.filter(has_value(df, s)).groupBy(*keys, F.col(s).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_i", F.lit(i))
+        levels = one if levels is None else levels.unionByName(one)
+    upto = cut_lineage(running_totals(levels, [*keys, "_i"], ["_v"], {"_upto": F.col("_n")}, {"_all": F.col("_n")}))
+    rank = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    for i, s in enumerate(scores):
+        added = ([rank.alias(ranks[i])] if ranks else []) + ([(rank / F.col("_all")).alias(shares[i])] if shares else [])
+        right = upto.filter(F.col("_i") == i).select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_v").alias("_rv"), *added)
+        same = F.col(s).cast("double") == F.col("_rv")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        df = df.join(right, same, "left").drop("_rv", *[f"_r_{k}" for k in keys])
+    return df
+
+
 def with_group_stats(df: DataFrame, group: list[str], stats: dict[str, Column]) -> DataFrame:
     """Add aggregates of each group (of all rows, without one) to its rows. One row per group is joined back."""
     keys = list(group)
@@ -72,9 +93,7 @@ def with_zscore(df: DataFrame, score: str, group: list[str] = (), name: str = "z
 
 def with_rank_average(df: DataFrame, scores: list[str], group: list[str] = (), name: str = "mean_rank") -> DataFrame:
     """Add the mean over several scores of their average rank divided by the number of scores."""
-    out = df
-    for i, s in enumerate(scores):
-        out = ranked(out, s, group, f"_a{i}", f"_p{i}").drop(f"_a{i}")
+    out = ranked_together(df, scores, group, shares=[f"_p{i}" for i in range(len(scores))])
     total = sum((F.col(f"_p{i}") for i in range(len(scores))), F.lit(0.0))
     return out.withColumn(name, total / F.lit(float(len(scores)))).drop(*[f"_p{i}" for i in range(len(scores))])
 

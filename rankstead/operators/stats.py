@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankstead.operators.ranking import ranked
+from rankstead.operators.ranking import ranked_together
 from rankstead.operators.skew import running_totals
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] = (), name: str = "rho") -> DataFrame:
     """Spearman's rho per group: Pearson's r of average ranks. Rows with a null in x or y don't count."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = ranked(ranked(both.select(*dict.fromkeys([*group, x, y])), x, list(group), "_x"), y, list(group), "_y")
+    ranks = ranked_together(both.select(*dict.fromkeys([*group, x, y])), [x, y], list(group), ["_x", "_y"])
     return ranks.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias(name))
 
 
@@ -28,8 +28,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] = (
     """
     whole = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull())
     r = whole.select(*dict.fromkeys([*group, x, y, z]))
-    for i, c in enumerate((x, y, z)):
-        r = ranked(r, c, list(group), f"_{i}")
+    r = ranked_together(r, [x, y, z], list(group), ["_0", "_1", "_2"])
     c = r.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("_0", "_1").alias("raw_rho"), F.corr("_0", "_2").alias("_xz"), F.corr("_1", "_2").alias("_yz"))
     under = F.sqrt((1 - F.col("_xz") * F.col("_xz")) * (1 - F.col("_yz") * F.col("_yz")))
     return c.withColumn("partial_rho", (F.col("raw_rho") - F.col("_xz") * F.col("_yz")) / F.nullif(under, F.lit(0.0))).select(*group, "n", "raw_rho", "partial_rho", F.col("_xz").alias("rho_x_z"))

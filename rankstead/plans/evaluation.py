@@ -125,7 +125,7 @@ def rank_average(spark, d):
 
 
 def rank_gap(spark, d):
-    return ranking.ranked(ranking.ranked(models(spark, d), "m1", name="a"), "m2", name="b").select("vec_id", (F.col("a") - F.col("b")).alias("gap"))
+    return ranking.ranked_together(models(spark, d), ["m1", "m2"], ranks=["a", "b"]).select("vec_id", (F.col("a") - F.col("b")).alias("gap"))
 
 
 def percentile_of_score(spark, d):
@@ -145,7 +145,7 @@ def minmax_gate(spark, d):
 
 
 def weight_sweep(spark, d):
-    z = ranking.ranked(ranking.ranked(models(spark, d), "m1", share="a"), "m2", name="rank2", share="b")
+    z = ranking.ranked_together(models(spark, d), ["m1", "m2"], shares=["a", "b"])
     return rounded(metrics.auroc(learn.weight_sweep(z, "a", "b"), "y", "mixed", ["weight"]), "auroc")
 
 

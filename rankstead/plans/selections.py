@@ -358,6 +358,9 @@ SQL["diverse_set"] = f"WITH RECURSIVE {_GROUPS}, {maxmin_sql('mine', 'allele', 4
 SQL["canonical_set"] = f"""WITH RECURSIVE {_GROUPS}, {_W}, {_SC.format(name='sc', src='mine')},
     top AS (SELECT allele, peptide, round(score, 9) AS s FROM sc QUALIFY row_number() OVER (PARTITION BY allele ORDER BY round(score, 9) DESC, peptide DESC) <= greatest(2, floor(count(*) OVER (PARTITION BY allele) * 0.1))),
     {maxmin_sql('top', 'allele', 2, order='s DESC, peptide DESC')} {_PICKS}"""
+SQL["hard_decoy_pool"] = f"""WITH RECURSIVE {FREQ}, w AS (SELECT allele, pos, aa, log2(freq / 0.05::DOUBLE) AS w FROM freq), {_SC.format(name='so', src='nine')}, cut AS (SELECT allele, quantile_cont(score, 0.5) AS cut FROM so GROUP BY allele), {_TOP},
+    pool AS (SELECT DISTINCT peptide FROM p9), fit AS (SELECT x.allele, peptide FROM pool JOIN top4 x ON x.pos = 2 AND x.aa = substr(peptide, 2, 1) JOIN top4 y ON y.allele = x.allele AND y.pos = 9 AND y.aa = substr(peptide, 9, 1)),
+    cand AS (SELECT * FROM fit WHERE (allele, peptide) NOT IN (SELECT (allele, peptide) FROM nine)), {_SC.format(name='sc', src='cand')}, low AS (SELECT allele, peptide FROM sc JOIN cut USING (allele) WHERE score <= cut), {maxmin_sql('low', 'allele', 6)} {_PICKS}"""
 SQL["metric_bundle"] = f"""WITH {AFF}, lev AS (SELECT *, sum(nn) OVER w AS cn, sum(pp) OVER w AS cp, sum(nn) OVER g AS n, sum(pp) OVER g AS p FROM (SELECT allele, s, count(*) AS nn, sum(y::INT) AS pp FROM aff WHERE s IS NOT NULL AND y IS NOT NULL GROUP BY allele, s)
         WINDOW w AS (PARTITION BY allele ORDER BY s DESC), g AS (PARTITION BY allele)), ap AS (SELECT allele, CASE WHEN any_value(n) > any_value(p) AND any_value(p) > 0 THEN round(sum(pp / p::DOUBLE * (cp / cn::DOUBLE)), 6) END AS ap FROM lev GROUP BY allele),
         pv AS (SELECT allele, round(avg(y), 6) AS ppv FROM (SELECT *, row_number() OVER (PARTITION BY allele ORDER BY s DESC, row_id) AS rn FROM aff WHERE s IS NOT NULL) WHERE rn <= 100 GROUP BY allele), a AS ({auroc_sql('aff', 'allele')})
