@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankstead.operators.skew import cut_lineage, running_totals
+from rankstead.operators.skew import cut_lineage, positions_within, running_totals
 from rankstead.operators.weighted import compress_values, per_key_percentiles
 
 
@@ -142,16 +142,21 @@ def with_minmax_gate(df: DataFrame, x: str, group: list[str] = (), name: str = "
 
 
 def top_k(df: DataFrame, k: int | Column, group: list[str], order: list[Column]) -> DataFrame:
-    """The first ``k`` rows of each group in ``order``, which should be total."""
+    """The first ``k`` rows of each group in ``order``, which must be total.
+
+    With a number, each task passes on at most so many rows of a group; with a column, rows are numbered over the cluster.
+    """
+    if isinstance(k, Column):
+        return positions_within(df, list(group), list(order), name="_rn").filter(F.col("_rn") <= k).drop("_rn")
     w = Window.partitionBy(*group).orderBy(*order)
-    limit = k if isinstance(k, Column) else F.lit(k)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 
 def top_fraction(df: DataFrame, share: float, least: int, group: list[str], order: list[Column]) -> DataFrame:
-    """The first ``max(least, floor(n * share))`` rows of each group in ``order``."""
-    counted = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
-    return top_k(counted, F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(share))), group, order).drop("_n")
+    """The first ``max(least, floor(n * share))`` rows of each group, of any size, in ``order``, which must be total."""
+    one = F.lit(1).cast("bigint")
+    ran = running_totals(df, list(group), list(order), {"_rn": one}, {"_n": one})
+    return ran.filter(F.col("_rn") <= F.greatest(F.lit(least), F.floor(F.col("_n") * F.lit(share)))).drop("_rn", "_n")
 
 
 def hash_order(seed: int | str, *parts: Column | str) -> Column:
@@ -171,5 +176,4 @@ def quota_pick(df: DataFrame, stratum: str, entity: str, order: list[Column], qu
         carried = q + carried - got
         limits.append((s, got))
     limit = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(n)) for s, n in limits], F.lit(0))
-    w = Window.partitionBy(stratum).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= limit)
+    return positions_within(df, [stratum], list(order), name=name).filter(F.col(name) <= limit)

@@ -104,12 +104,12 @@ def lookup_skew_safe(
     return out
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], totals: dict[str, Column], final: dict[str, Column] | None = None) -> DataFrame:
+def running_totals(df: DataFrame, group: list[str], order: list[str | Column], totals: dict[str, Column], final: dict[str, Column] | None = None) -> DataFrame:
     """Add running sums of ``totals`` over each group in ``order``, the row itself included, and sums ``final`` of the group.
 
     Rows are range-partitioned by group and order, so a huge group spans many partitions. Sums per (partition, group) are
     one row each; their running sum gives the offset of every piece, and no window ever spans a whole group. ``order``
-    must be unique within a group. The placed rows are written out before the offsets are taken, because a range
+    (names, or columns with a direction) must be unique within a group. The placed rows are written out before the offsets are taken, because a range
     partitioning that is computed twice may place rows differently.
     """
     parts = tasks_for(df)
@@ -128,7 +128,7 @@ def running_totals(df: DataFrame, group: list[str], order: list[str], totals: di
     return joined.select(*df.columns, *[(F.col(f"_r{i}") + F.col(f"_o{i}")).alias(n) for i, n in enumerate(names)], *(final or {}))
 
 
-def positions_within(df: DataFrame, group: list[str], order: list[str], weight: str | None = None, name: str = "position") -> DataFrame:
+def positions_within(df: DataFrame, group: list[str], order: list[str | Column], weight: str | None = None, name: str = "position") -> DataFrame:
     """Add the 1-based position of each row in its group by ``order`` (with ``weight``: the running weight)."""
     w = F.lit(1) if weight is None else F.col(weight)
     return running_totals(df, group, order, {name: w.cast("bigint")})
