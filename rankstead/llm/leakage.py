@@ -32,7 +32,11 @@ LETTERS_HELD = 32_000_000
 #: Documents searched, and pairs of windows compared, at once.
 TEXTS, PAIRS = 500, 100_000
 
+#: Letters of a text whose words are read at once.
+LONG_TEXT = 1_000_000
+
 _WORD = re.compile(r"[^\W_]+")
+_GAP = re.compile(r"[\W_]")
 _U = np.uint64
 
 
@@ -149,8 +153,7 @@ class WindowIndex:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text number, item id, fewest edits, words of the window) of every text and item with windows near enough."""
-        known = self.vocabulary.get
-        ids = [[known(w, 0) for w in words_of(t)] for t in texts]
+        ids = [self._ids(t) for t in texts]
         flat = np.array([v for x in ids for v in (*x, -1)], dtype=np.int64)  # -1 parts the texts
         owner = np.repeat(np.arange(len(ids)), [len(x) + 1 for x in ids])
         best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -165,6 +168,16 @@ class WindowIndex:
                                 best[text, i] = (e, s.size)
         return [(t, i, e, n) for (t, i), (e, n) in best.items()]
 
+    def _ids(self, text: str | None) -> list[int]:
+        """Word numbers of a text (0: in no item); of a long one, the words themselves are never all held at once."""
+        known, out, at = self.vocabulary.get, [], 0
+        while at < len(text or ""):
+            gap = _GAP.search(text, at + LONG_TEXT)
+            end = gap.start() if gap else len(text)
+            out += [known(w, 0) for w in words_of(text[at:end])]
+            at = end
+        return out
+
     def _usable(self, flat: np.ndarray, s: _Sized) -> np.ndarray:
         """Starts of windows inside one text that can be near at all: an edit spoils one word and two pairs of neighbours."""
         n = len(flat) - s.size + 1

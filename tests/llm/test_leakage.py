@@ -148,3 +148,15 @@ def test_a_passage_that_all_items_share_and_a_crowded_bucket(monkeypatch):
     items = [(i, f"{shared} own{i}") for i in range(200)]
     got = leakage.WindowIndex(items).search([f"x {shared} y", None, "", "s1 s2"])
     assert {(t, i) for t, i, e, n in got if e == 0} == {(0, i) for i in range(200)}
+
+
+def test_words_of_long_texts_are_read_in_parts(monkeypatch):
+    items = [(1, " ".join(f"w{i}" for i in range(15)))]
+    text = "Über_w0, " * 30 + items[0][1].upper() + " end" * 40
+    index = leakage.WindowIndex(items)
+    want = index._ids(text)
+    assert want == [index.vocabulary.get(w, 0) for w in leakage.words_of(text)]
+    for n in (1, 7, 50):
+        monkeypatch.setattr(leakage, "LONG_TEXT", n)
+        assert index._ids(text) == want and index._ids("") == index._ids(None) == []
+    assert [(t, i, e) for t, i, e, _ in index.search([text])] == [(0, 1, 0)]
