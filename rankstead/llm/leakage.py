@@ -212,15 +212,20 @@ class WindowIndex:
 
         for walk, (keys, order) in zip(s.walks, s.buckets, strict=True):
             mine = walk.keys(symbols, self.code[-1])
-            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-            upto = np.cumsum(hi - lo)
-            total, a = int(upto[-1]) if len(upto) else 0, 0
+            lo = np.searchsorted(keys, mine)
+            hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == mine)
+            if not len(hit):
+                continue
+            lo = lo[hit]
+            many = np.searchsorted(keys, mine[hit], "right") - lo
+            upto = np.cumsum(many)
+            total, a = int(upto[-1]), 0
             while a < total:  # a bucket of any size is taken in parts
                 number = np.arange(a, min(total, a + PAIRS))
                 at = np.searchsorted(upto, number, "right")
-                entry = lo[at] + number - (upto[at] - (hi - lo)[at])
-                held.append(np.unique(at * len(s.rows) + order[entry]))
-                size += len(held[-1])
+                entry = lo[at] + number - (upto[at] - many[at])
+                held.append(hit[at] * len(s.rows) + order[entry])
+                size += len(number)
                 a += PAIRS
                 if size >= PAIRS:
                     yield compared(held)
