@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -228,10 +227,38 @@ def auroc_numpy(y: np.ndarray, s: np.ndarray) -> float:
     return float((rank[y == 1].sum() - n1 * (n1 + 1) / 2.0) / (n1 * n0))
 
 
-def _resamples(n: int, times: int, seed: int) -> Iterable[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    for _ in range(times):
-        yield rng.integers(0, n, n)
+#: Cells of the matrix of resamples by rows that are worked on at once.
+RESAMPLED_CELLS = 4_000_000
+
+
+def resampled_aurocs(y: np.ndarray, scores: list[np.ndarray], times: int, seed: int) -> np.ndarray:
+    """AUROCs (a row for each score) of ``times`` resamples with replacement, the same for all scores; NaN where a class is
+    absent.
+
+    A resample is how often each row was drawn, so scores are sorted once and many resamples are summed level by level
+    together.
+    """
+    n, rng, out = len(y), np.random.default_rng(seed), []
+    y = y.astype(float)
+    sorts = []
+    for s in scores:
+        order = np.argsort(s, kind="stable")
+        sorts.append((order, np.concatenate(([0], np.flatnonzero(np.diff(s[order])) + 1)), y[order]))
+    step = max(1, RESAMPLED_CELLS // max(n, 1))
+    for at in range(0, times, step):
+        rows = min(step, times - at)
+        picked = rng.integers(0, n, (rows, n)) + np.arange(rows)[:, None] * n
+        drawn = np.bincount(picked.ravel(), minlength=rows * n).reshape(rows, n).astype(float)
+        part = []
+        for order, starts, label in sorts:
+            own = drawn[:, order]
+            pos, every = np.add.reduceat(own * label, starts, axis=1), np.add.reduceat(own, starts, axis=1)
+            neg = every - pos
+            wins = (pos * (np.cumsum(neg, axis=1) - neg / 2)).sum(axis=1)
+            both = pos.sum(axis=1) * neg.sum(axis=1)
+            part.append(np.where(both > 0, wins / np.where(both > 0, both, 1), np.nan))
+        out.append(np.stack(part))
+    return np.concatenate(out, axis=1)
 
 
 def bootstrap_ci(df: DataFrame, label: str, score: str, key: list[str], group: list[str] = (), times: int = 2000, seed: int = 0) -> DataFrame:
@@ -248,8 +275,9 @@ def bootstrap_ci(df: DataFrame, label: str, score: str, key: list[str], group: l
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(list(key), kind="stable")
         y, s = part[label].to_numpy().astype(int), part[score].to_numpy(dtype=float)
-        got = [a for i in _resamples(len(y), times, seed) if not math.isnan(a := auroc_numpy(y[i], s[i]))]
-        lo, hi = np.percentile(got, [2.5, 97.5]) if got else (None, None)
+        got = resampled_aurocs(y, [s], times, seed)[0]
+        got = got[~np.isnan(got)]
+        lo, hi = np.percentile(got, [2.5, 97.5]) if len(got) else (None, None)
         a = auroc_numpy(y, s)
         return pd.DataFrame([[*part[keys].iloc[0].tolist(), None if math.isnan(a) else a, lo, hi, len(y)]], columns=[*keys, "auroc", "ci_lo", "ci_hi", "n"])
 
@@ -265,9 +293,10 @@ def paired_bootstrap(df: DataFrame, label: str, a: str, b: str, key: list[str],
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(list(key), kind="stable")
         y, s, t = part[label].to_numpy().astype(int), part[a].to_numpy(dtype=float), part[b].to_numpy(dtype=float)
-        got = [d for i in _resamples(len(y), times, seed) if not math.isnan(d := auroc_numpy(y[i], s[i]) - auroc_numpy(y[i], t[i]))]
-        lo, hi, mean = (*np.percentile(got, [2.5, 97.5]), float(np.mean(got))) if got else (None, None, None)
-        return pd.DataFrame([[*part[keys].iloc[0].tolist(), mean, lo, hi, bool(got) and not lo <= 0 <= hi, len(y)]], columns=[*keys, "diff", "ci_lo", "ci_hi", "differs", "n"])
+        of_a, of_b = resampled_aurocs(y, [s, t], times, seed)
+        got = (of_a - of_b)[~np.isnan(of_a)]
+        lo, hi, mean = (*np.percentile(got, [2.5, 97.5]), float(np.mean(got))) if len(got) else (None, None, None)
+        return pd.DataFrame([[*part[keys].iloc[0].tolist(), mean, lo, hi, bool(len(got)) and not lo <= 0 <= hi, len(y)]], columns=[*keys, "diff", "ci_lo", "ci_hi", "differs", "n"])
 
     kinds = ", ".join([*(f"`{k}` {slim.schema[k].dataType.simpleString()}" for k in keys), "diff double, ci_lo double, ci_hi double, differs boolean, n bigint"])
     return slim.groupBy(*(keys or ["_all"])).applyInPandas(run, kinds)

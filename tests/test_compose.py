@@ -171,3 +171,14 @@ def test_sql_surface(spark, data):
     assert spark.sql("SELECT count(*) AS n FROM p2_allele_stats s JOIN data_type_coverage c USING (allele)").first()["n"] > 0
     r = spark.sql("SELECT hamming('ACD', 'ACE') AS h, hamming('A', 'AC') AS u, is_sequence('ACB') AS s, substitute_letter('ACD', 2, 'W') AS w, slug_of_key('HLA-A*02:01') AS g, key_of_slug('hla_a_02_01') AS k, entropy_gate(0) AS e").first()
     assert (r["h"], r["u"], r["s"], r["w"], r["g"], r["k"]) == (1, 2, False, "AWD", "hla_a_02_01", "HLA-A*02:01") and abs(r["e"]) < 1e-9
+
+
+def test_resampled_aurocs_equal_one_by_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    y, s, t = rng.integers(0, 2, 40), np.round(rng.normal(size=40), 1), rng.normal(size=40)
+    monkeypatch.setattr(stats, "RESAMPLED_CELLS", 300)
+    got, draw = stats.resampled_aurocs(y, [s, t], 50, 9), np.random.default_rng(9)
+    for k in range(50):
+        i = draw.integers(0, 40, 40)
+        assert abs(got[0, k] - stats.auroc_numpy(y[i], s[i])) < 1e-12 and abs(got[1, k] - stats.auroc_numpy(y[i], t[i])) < 1e-12
+    assert np.isnan(stats.resampled_aurocs(np.ones(3), [np.arange(3.0)], 5, 1)).all()
