@@ -7,15 +7,17 @@ always a stated one, so results don't depend on how rows are partitioned.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankstead.functions.sequence import AMINO_ACIDS, letters, mosaic, substitute
 from rankstead.operators.ranking import hash_order, top_k
-from rankstead.operators.skew import cut_lineage, positions_within
+from rankstead.operators.skew import cut_lineage, positions_within, tasks_for
 
 
 def _codes(texts: list[str]) -> np.ndarray:
@@ -208,6 +210,8 @@ def spread_pick(df: DataFrame, group: list[str], key: str, value: str, k: int) -
 
 #: Places of the pool that one row makes at once; lengths that windows may be wanted of.
 AT_ONCE, MOST_LENGTHS = 100_000, 1000
+#: Letters of a piece of a long text, and pieces handed on at once.
+PIECE, PIECES_AT_ONCE = 100, 10_000
 
 
 def pool_negatives(positives: DataFrame, group: str, seq: str, ratio: float = 1.0, seed: int = 0) -> DataFrame:
@@ -234,9 +238,29 @@ def pool_negatives(positives: DataFrame, group: str, seq: str, ratio: float = 1.
     return drawn.select(F.col("g").alias(group), F.col("s").alias(seq), F.lit(0).alias("label"), F.col("n").alias("length"))
 
 
+def _pieces(texts: DataFrame, text: str, overlap: int) -> DataFrame:
+    """Texts cut, in one walk over each, into parts of ``PIECE`` letters and the ``overlap`` that follow: ``_t``, spread evenly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                t = t.as_py()
+                for at in range(0, len(t), PIECE * PIECES_AT_ONCE):
+                    ends = range(at, min(len(t), at + PIECE * PIECES_AT_ONCE), PIECE)
+                    yield pa.RecordBatch.from_arrays([pa.array([t[i : i + PIECE + overlap] for i in ends], pa.string())], names=["_t"])
+
+    cut = texts.select(F.col(text).alias("_t")).dropna().mapInArrow(run, "_t string")
+    return cut.repartition(tasks_for(texts))
+
+
 def window_negatives(texts: DataFrame, text: str, need: DataFrame, exclude: DataFrame, seq: str, seed: int = 0, alphabet: str = AMINO_ACIDS) -> DataFrame:
-    """Windows of given lengths (``need``: ``length``, ``k``) of long texts, valid and not excluded, drawn by hash order."""
-    from rankstead.functions.sequence import is_valid, windows
+    """Windows of given lengths (``need``: ``length``, ``k``) of long texts, valid and not excluded, drawn by hash order.
+
+    The work is linear in the letters, however long a text: windows are made from short pieces of it. Only those whose
+    hash is below a bound move on, to be made distinct and held against what is excluded; where they turn out fewer than
+    wanted, the bound is raised and all is done again, up to no bound at all. So the draw is that from all windows.
+    """
+    from rankstead.functions.sequence import is_valid
 
     wanted = need.select(F.col("length").cast("int"), F.col("k").cast("bigint")).limit(MOST_LENGTHS + 1).collect()
     if len(wanted) > MOST_LENGTHS:
@@ -244,9 +268,22 @@ def window_negatives(texts: DataFrame, text: str, need: DataFrame, exclude: Data
     if not wanted:
         return exclude.select(F.col(seq), F.length(seq).alias("length")).limit(0)
     lengths = F.explode(F.array(*[F.struct(F.lit(r["length"]).alias("length"), F.lit(r["k"]).alias("k")) for r in wanted])).alias("w")
-    cut = texts.select(F.col(text).alias("_t"), lengths).select("w.length", "w.k", F.explode(windows("_t", F.col("w.length"))).alias("s")).distinct()
-    ok = cut.filter(is_valid("s", alphabet)).join(exclude.select(F.col(seq).alias("s")).distinct(), "s", "left_anti")
-    return top_k(ok, F.col("k"), ["length"], [hash_order(seed, "s"), F.col("s")]).select(F.col("s").alias(seq), "length")
+    pieces = cut_lineage(_pieces(texts, text, max(0, *(r["length"] - 1 for r in wanted))))
+    n = pieces.count() * PIECE
+    places = F.explode(F.sequence(F.lit(1), F.length("_t") - F.col("length") + 1)).alias("_at")
+    long = pieces.select("_t", lengths).select("w.*", "_t").filter("length > 0 AND length <= length(_t)").select("length", "k", "_t", places)
+    cut = long.select("length", "k", F.substring("_t", F.col("_at"), F.col("length")).alias("s"))
+    barred = exclude.select(F.col(seq).alias("s")).distinct()
+    draw, most = hash_order(seed, "s"), max(r["k"] or 0 for r in wanted)
+    bound = 16 * most / max(n, 1)
+    while True:
+        low = cut if bound >= 1 else cut.filter(F.substring(draw, 1, 8) < f"{int(bound * 2**32):08x}")
+        ok = cut_lineage(low.filter(is_valid("s", alphabet)).distinct().join(barred, "s", "left_anti"))
+        got = {(r["length"], r["k"]): r["count"] for r in ok.groupBy("length", "k").count().collect()}
+        if bound >= 1 or all(got.get((r["length"], r["k"]), 0) >= (r["k"] or 0) for r in wanted):
+            break
+        bound *= 64
+    return top_k(ok, F.col("k"), ["length"], [draw, F.col("s")]).select(F.col("s").alias(seq), "length")
 
 
 def dose_sample(df: DataFrame, by: list[str], key: list[str], dose: int, seed: int = 0) -> DataFrame:

@@ -1,9 +1,12 @@
+import hashlib
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
 
+from rankstead.operators import select
 from rankstead.operators.motif import AMINO_ACIDS
 from rankstead.plans import sequences
 
@@ -43,3 +46,32 @@ def test_near_pairs_of_every_split_are_found(spark, data):
     got = [tuple(r) for r in sequences.QUERIES["hamming_join"](spark, data).select("left_id", "right_id", "distance").collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert len({splits[i]["fold_set"] for i, _, _ in want}) > 1
+
+
+def windows_by_hand(texts, need, exclude, seed):
+    out = set()
+    for n, k in need:
+        found = {t[i : i + n] for t in texts if t for i in range(len(t) - n + 1)} - set(exclude)
+        free = sorted((hashlib.md5(f"{seed}|{w}".encode()).hexdigest(), w) for w in found if set(w) <= set(AMINO_ACIDS))
+        out |= {(w, n) for _, w in free[:k]}
+    return out
+
+
+def test_window_negatives_read_a_long_text_in_linear_time(spark):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices(AMINO_ACIDS, k=400_000)), "ACDX" * 60, "ACD", None, ""]
+    need, exclude = [(8, 50), (9, 100)], [texts[0][i : i + 8] for i in range(0, 4000, 3)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    began = time.time()
+    got = select.window_negatives(frame([(t,) for t in texts], "t string"), "t", frame(need, "length int, k int"), frame([(x,) for x in exclude], "s string"), "s", 3).collect()
+    assert time.time() - began < 120  # minutes, when every window was counted off from the start of its text
+    assert len(got) == 150 and {tuple(r) for r in got} == windows_by_hand(texts, need, exclude, 3)
+
+
+def test_window_negatives_are_drawn_from_all_windows(spark):
+    """Few distinct windows among many, others excluded, lengths beyond a piece or a text, more wanted than there are."""
+    rnd = random.Random(6)
+    texts = ["ACDEFGHIK" * 300, "".join(rnd.choices("ACx", k=1500)), "".join(rnd.choices(AMINO_ACIDS, k=700)), "Aé😀CDEFGHIKL" * 20, None]
+    need, exclude = [(3, 40), (8, 9), (99, 5), (150, 7), (651, 100), (2800, 3)], ["ACDEFGHI", "CDEFGHIK", "AAA", texts[2][:99]]
+    got = select.window_negatives(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame(need, "length int, k int"), spark.createDataFrame([(x,) for x in [*exclude, None]], "s string"), "s", 1).collect()
+    assert {tuple(r) for r in got} == windows_by_hand(texts, need, exclude, 1) and len(got) == len({tuple(r) for r in got})
