@@ -6,6 +6,8 @@ always a stated one, so results don't depend on how rows are partitioned.
 
 from __future__ import annotations
 
+import array
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -26,12 +28,74 @@ def _codes(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).reshape(len(texts), n) if n else np.zeros((len(texts), 0), np.uint32)
 
 
-def _first_representative(texts: list[str], most: float) -> list[int]:
-    """For texts of one length in order: the number of the first representative within ``most`` mismatches."""
-    codes, reps, out = _codes(texts), np.empty(0, dtype=np.int64), []
+def _first_representative(texts: list[str], most: int) -> list[int]:
+    """For texts of one length in order: the number of the first representative within ``most`` mismatches.
+
+    Two texts are within ``most`` mismatches if they agree when some ``most`` places are left out. There are few choices of
+    places for short texts, and the work is then linear in the texts; else each is compared with all representatives.
+    """
+    n, length = len(texts), len(texts[0]) if texts else 0
+    choices = math.comb(length, min(most, length))
+    return _by_places(_codes(texts), min(most, length)) if choices * COMPARED_BY_CHOICE < n else _by_comparison(_codes(texts), most)
+
+
+#: Comparisons of two texts that cost as much as looking up a text by one choice of places; texts looked up at once.
+COMPARED_BY_CHOICE, LOOKED_UP_AT_ONCE = 20, 20_000
+
+
+def _same(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row, equal for rows that are equal in all columns."""
+    out = np.unique(columns[0], return_inverse=True)[1].astype(np.int64)
+    for c in columns[1:]:
+        here = np.unique(c, return_inverse=True)[1].astype(np.int64)
+        out = np.unique(out * (here.max() + 1) + here, return_inverse=True)[1].astype(np.int64)
+    return out
+
+
+def _by_places(codes: np.ndarray, most: int) -> list[int]:
+    n, length = codes.shape
+    letters = np.unique(codes, return_inverse=True)[1].reshape(codes.shape).astype(np.int64)
+    bits = max(1, int(letters.max()).bit_length())
+    each = 63 // bits  # letters of a packed word
+    where, bucket, buckets = [], [], 0
+    for out in itertools.combinations(range(length), most):
+        kept = [p for p in range(length) if p not in out]
+        words = []
+        for i in range(0, len(kept), each):
+            w = np.zeros(n, np.int64)
+            for p in kept[i : i + each]:
+                w = w << bits | letters[:, p]
+            words.append(w)
+        same = _same(words) if words else np.zeros(n, np.int64)
+        size = np.bincount(same)
+        shared = np.flatnonzero(size[same] > 1)  # a text that agrees with no other is of no use to any
+        number = np.cumsum(size > 1) - 1
+        where.append(shared.astype(np.int32))
+        bucket.append(number[same[shared]] + buckets)
+        buckets += int((size > 1).sum())
+    where, bucket = np.concatenate(where), np.concatenate(bucket)
+    order = np.argsort(where, kind="stable")
+    bucket, ends = bucket[order], np.searchsorted(where[order], np.arange(n + 1))
+    reps, held = np.arange(n), array.array("i", [n]) * buckets  # the first representative in each bucket
+    for at in range(0, n, LOOKED_UP_AT_ONCE):
+        some = ends[at : at + LOOKED_UP_AT_ONCE + 1].tolist()
+        own = bucket[some[0] : some[-1]].tolist()
+        for i in np.flatnonzero(np.diff(some)).tolist():
+            mine = own[some[i] - some[0] : some[i + 1] - some[0]]
+            nearest = min(map(held.__getitem__, mine))
+            if nearest < n:
+                reps[at + i] = nearest
+            else:
+                for b in mine:
+                    held[b] = at + i
+    return reps.tolist()
+
+
+def _by_comparison(codes: np.ndarray, most: int) -> list[int]:
+    reps, out = np.empty(0, dtype=np.int64), []
     held = np.empty((0, codes.shape[1]), dtype=np.uint32)
     room = 0
-    for i in range(len(texts)):
+    for i in range(len(codes)):
         near = np.flatnonzero((held[:room] != codes[i]).sum(axis=1) <= most) if room else ()
         if len(near):
             out.append(int(reps[near[0]]))
@@ -51,7 +115,7 @@ def hamming_clusters(df: DataFrame, group: str, seq: str, identity: float = 0.8)
 
     A sequence joins the first representative within ``round((1 - identity) * length)`` mismatches, else it is one itself.
     Cluster numbers run over all groups, lengths and representatives in sorted order. A block of one group and length is
-    one task; distinct sequences only.
+    one task, whose work is linear in its sequences if they are short (:func:`_first_representative`); distinct sequences only.
     """
     unique = df.select(F.col(group).alias("g"), F.col(seq).alias("s")).dropna().distinct().withColumn("n", F.length("s"))
 

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -212,3 +213,24 @@ def test_average_linkage_and_representatives(spark):
     w = spark.createDataFrame([("b", 5), ("c", 1)], "g string, n int")
     rep = {r["class"]: r["member"] for r in select.class_representatives(select.linkage_classes(pairs, "a", "b", "d", 2), w, "g", "n", ["d"]).collect()}
     assert rep == {0: "b", 1: "d"}
+
+
+@pytest.mark.parametrize("length, most, alphabet", [(1, 1, "ACD"), (3, 0, "ACD"), (5, 2, "ACDEF"), (9, 2, "ACDEFGHIKLMNPQRSTVWY"), (9, 2, "aé😀X"), (14, 1, "AC"), (30, 2, "ACDEFGHIKLMNPQRSTVWY")])
+def test_representatives_by_places_are_those_by_comparison(length, most, alphabet):
+    rnd = random.Random(length)
+    made = {"".join(rnd.choices(alphabet, k=length)) for _ in range(300)}
+    for t in sorted(made):
+        at = rnd.randrange(length)
+        made.add(t[:at] + rnd.choice(alphabet) + t[at + 1 :])
+    codes = select._codes(sorted(made))
+    assert select._by_places(codes, most) == select._by_comparison(codes, most)
+
+
+def test_a_large_block_is_clustered_in_linear_time():
+    rnd = random.Random(7)
+    texts = sorted({"".join(rnd.choices("ACDEFGHIKLMNPQRSTVWY", k=9)) for _ in range(150_000)})
+    texts = sorted({*texts, *(t[:4] + "CC" + t[6:] for t in texts[:5000])})
+    began = time.time()
+    reps = select._first_representative(texts, 2)
+    assert time.time() - began < 60  # many minutes, when each was compared with all representatives
+    assert all(r == i or reps[r] == r < i and sum(a != b for a, b in zip(texts[r], texts[i])) <= 2 for i, r in enumerate(reps)) and len(set(reps)) < len(texts)
