@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rankstead.operators.ranking import ranked_together
-from rankstead.operators.skew import running_totals
+from rankstead.operators.ranking import has_value, ranked_together
+from rankstead.operators.skew import cut_lineage, positions_within, running_totals
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] = (), name: str = "rho") -> DataFrame:
@@ -33,12 +37,105 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, group: list[str] = (
     return c.withColumn("partial_rho", (F.col("raw_rho") - F.col("_xz") * F.col("_yz")) / F.nullif(under, F.lit(0.0))).select(*group, "n", "raw_rho", "partial_rho", F.col("_xz").alias("rho_x_z"))
 
 
+#: Most distinct keys that models may have to be compared in blocks, models of a block, and pairs of blocks of a task.
+MOST_KEYS, BLOCK, PAIRS_OF_TASK = 256, 512, 4
+
+
 def pairwise_spearman(long: DataFrame, model: str, key: list[str], value: str, least: int = 0) -> DataFrame:
-    """Spearman's rho of every pair of models over the keys that both have; pairs with fewer than ``least`` are left out."""
-    a = long.select(*key, F.col(model).alias("a"), F.col(value).alias("va"))
-    b = long.select(*key, F.col(model).alias("b"), F.col(value).alias("vb"))
-    pairs = a.join(b, list(key)).filter("a < b AND va IS NOT NULL AND vb IS NOT NULL")
-    return spearman(pairs, "va", "vb", ["a", "b"]).filter(F.col("n") >= least)
+    """Spearman's rho of every pair of models over the keys that both have; pairs with fewer than ``least`` are left out.
+
+    ``long`` has one row for each model and key. With up to ``MOST_KEYS`` keys, more models than keys and no NaN, the models are
+    compared block by block, by products of matrices; else the joined values of each pair are ranked over the cluster.
+    """
+    rows = cut_lineage(long.select(F.col(model).alias("m"), *key, F.col(value).alias("v")).dropna(subset=["m", *key]).filter("v IS NOT NULL"))
+    keys = rows.select(*key).distinct().limit(MOST_KEYS + 1).collect()
+    many = len(keys) <= MOST_KEYS and rows.select("m").distinct().limit(len(keys) + 1).count() > len(keys)
+    if many and rows.filter(~has_value(rows, "v")).isEmpty():
+        return _spearman_in_blocks(rows, list(key), [tuple(r) for r in keys], least)
+    a = rows.select(*key, F.col("m").alias("a"), F.col("v").alias("va"))
+    b = rows.select(*key, F.col("m").alias("b"), F.col("v").alias("vb"))
+    return spearman(a.join(b, list(key)).filter("a < b"), "va", "vb", ["a", "b"]).filter(F.col("n") >= least)
+
+
+def _doubled_ranks(v: np.ndarray) -> np.ndarray:
+    """Twice the average ranks within each row, less their mean: whole numbers."""
+    n = v.shape[1]
+    order = np.argsort(v, axis=1, kind="stable")
+    s = np.take_along_axis(v, order, 1)
+    new = np.ones((len(v), n + 1), bool)
+    new[:, 1:-1] = s[:, 1:] != s[:, :-1]
+    at = np.arange(n)
+    first = np.maximum.accumulate(np.where(new[:, :-1], at, 0), axis=1)
+    last = np.minimum.accumulate(np.where(new[:, 1:], at, n)[:, ::-1], axis=1)[:, ::-1]
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last + 1 - n).astype(float), 1)
+    return out
+
+
+def _rho_of_blocks(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``left`` with each of ``right``: their common places (NaN: none) and rho (NaN: undefined).
+
+    Rows that have the same places are ranked together, once for each set of places of the other side; the sums of
+    products are of whole numbers, hence exact.
+    """
+    n, rho = np.zeros((len(left), len(right)), np.int64), np.full((len(left), len(right)), np.nan)
+    sides = []
+    for x in (left, right):
+        has, of = np.unique(~np.isnan(x), axis=0, return_inverse=True)
+        sides.append([(h, np.flatnonzero(of.reshape(-1) == i)) for i, h in enumerate(has)])
+    for hl, il in sides[0]:
+        for hr, ir in sides[1]:
+            both = np.flatnonzero(hl & hr)
+            at = np.ix_(il, ir)
+            n[at] = len(both)
+            if len(both) > 1 and len(both) >= least:
+                x, y = _doubled_ranks(left[np.ix_(il, both)]), _doubled_ranks(right[np.ix_(ir, both)])
+                under = np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None, :])
+                rho[at] = np.divide(x @ y.T, under, out=np.full(under.shape, np.nan), where=under > 0)
+    return n, rho
+
+
+def _spearman_in_blocks(rows: DataFrame, key: list[str], keys: list[tuple], least: int) -> DataFrame:
+    """The pairs of models that share a key, as :func:`pairwise_spearman` gives them.
+
+    Models are numbered by the keys that they have, so that those of a block mostly have the same, and each pair of blocks
+    is a row of two matrices.
+    """
+    spark, width = rows.sparkSession, len(keys)
+    places = spark.createDataFrame([(*k, i) for i, k in enumerate(sorted(keys))], rows.select(*key, F.lit(0).alias("_p")).schema)
+    had = rows.join(F.broadcast(places), key).groupBy("m").agg(F.sort_array(F.collect_list(F.struct("_p", F.col("v").cast("double").alias("v")))).alias("x"))
+    models = positions_within(had.withColumn("_has", F.col("x._p")), [], ["_has", "m"], name="_at").withColumn("_b", F.floor((F.col("_at") - 1) / BLOCK))
+    blocks = cut_lineage(models.groupBy("_b").agg(F.collect_list(F.struct("m", "x")).alias("x")))
+    count = blocks.count()
+    pairs = blocks.select(F.col("_b").alias("i"), "x").join(blocks.select(F.col("_b").alias("j"), F.col("x").alias("y")), F.col("i") <= F.col("j"))
+    pairs = pairs.repartition(max(1, count * (count + 1) // 2 // PAIRS_OF_TASK), "i", "j")
+    kind = rows.schema["m"].dataType
+
+    def matrix(x: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        names, had = x.values.field("m"), x.values.field("x")
+        out = np.full((len(names), width), np.nan)
+        cells = had.flatten()
+        row = np.repeat(np.arange(len(names)), pc.list_value_length(had).to_numpy())
+        out[row, cells.field("_p").to_numpy()] = cells.field("v").to_numpy()
+        return names, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x, j, y in zip(*batch.columns):
+                (ml, left), (mr, right) = matrix(x), matrix(y)
+                n, rho = _rho_of_blocks(left, right, least)
+                one, other = np.nonzero(n >= max(least, 1))
+                names = pa.concat_arrays([ml, mr])
+                place = np.empty(len(names), np.int64)
+                place[sorted(range(len(names)), key=names.to_pylist().__getitem__)] = np.arange(len(names))
+                less = place[one] < place[other + len(ml)]
+                if i.as_py() == j.as_py():  # each pair once, no model with itself
+                    one, other, less = one[one < other], other[one < other], less[one < other]
+                a, b = np.where(less, one, other + len(ml)), np.where(less, other + len(ml), one)
+                values = rho[one, other]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(n[one, other]), pa.array(values, mask=np.isnan(values))], names=["a", "b", "n", "rho"])
+
+    return pairs.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType()), T.StructField("rho", T.DoubleType())]))
 
 
 def one_predictor_ols(df: DataFrame, y: str, x: str, group: list[str] = ()) -> DataFrame:

@@ -234,3 +234,33 @@ def test_a_large_block_is_clustered_in_linear_time():
     reps = select._first_representative(texts, 2)
     assert time.time() - began < 60  # many minutes, when each was compared with all representatives
     assert all(r == i or reps[r] == r < i and sum(a != b for a, b in zip(texts[r], texts[i])) <= 2 for i, r in enumerate(reps)) and len(set(reps)) < len(texts)
+
+
+def test_many_models_are_compared_in_blocks(spark, monkeypatch):
+    """Models lack keys, have ties, or have one value only, for which rho is undefined."""
+    rnd = random.Random(8)
+    rows = [(f"m{i}é", p, float(rnd.randint(0, 6)) if i % 9 else 1.0) for i in range(40) for p in range(1, 9) if rnd.random() < (0.95 if i % 4 else 0.5)]
+    df = spark.createDataFrame([*rows, ("m1é", 98, None), (None, 1, 2.0), ("m2é", 99, None)], "m string, p int, v double")
+    monkeypatch.setattr(stats, "BLOCK", 7)
+    has = {m: {p: v for x, p, v in rows if x == m} for m, _, _ in rows}
+    rank = lambda v: [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+    for least in (0, 5):
+        want = {}
+        for a in has:
+            for b in has:
+                both = sorted(set(has[a]) & set(has[b]))
+                if a < b and len(both) >= max(least, 1):
+                    x, y = (np.array(rank([has[m][p] for p in both])) for m in (a, b))
+                    want[a, b] = (len(both), round(float(np.corrcoef(x, y)[0, 1]), 9) if x.std() * y.std() else None)
+        found = [tuple(r) for r in stats.pairwise_spearman(df, "m", ["p"], "v", least).collect()]
+        assert {(a, b): (n, rho if rho is None else round(rho, 9)) for a, b, n, rho in found} == want and len(found) == len(want) > 300
+    assert any(rho is None for _, rho in want.values())
+
+
+def test_pairs_of_many_models_are_never_joined_by_key(spark, monkeypatch):
+    """The rows of a join would be the square of the models times the keys."""
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, p, rnd.random()) for i in range(600) for p in range(9)], "m int, p int, v double")
+    monkeypatch.setattr(stats, "spearman", None)
+    out = stats.pairwise_spearman(df, "m", ["p"], "v", 5)
+    assert out.dtypes[0] == ("a", "int") and out.filter("a < b AND n = 9 AND abs(rho) <= 1").count() == 600 * 599 // 2
