@@ -1,13 +1,12 @@
 """Template residue, filler, error pages and script notices.
 
 Normalised lines are counted by host. A line that recurs in a host, or in the whole collection, is boilerplate: code that
-many notes quote, a menu, a footer. Evidence is of two strengths. Unmistakable evidence (a server's error message, mock
-Latin, a field that no language but a template's writes) counts wherever it stands and however often. Template syntax that
-program code writes as well, and wordings that menus use too, counts only on lines that are left when boilerplate has
-been subtracted. A document is set apart if its residual text holds evidence.
+many notes quote, a menu, a footer. It is subtracted, and a document is set apart if its residual text holds evidence.
 
-Each document is read once. Of its lines only those with weak evidence can be turned by the subtraction, so only these
-are counted to judge documents; :func:`boilerplate` counts all lines, by the same rule, to report them.
+Evidence is of two strengths. A line that by itself is unmistakable evidence (a server's error message, mock Latin, a
+field that no language but a template's writes) is never subtracted, as such a document counts however often the message
+recurs. Template syntax that program code writes as well, wordings that menus use too, and what only several lines
+together show, count only if they are left by the subtraction.
 """
 
 from __future__ import annotations
@@ -242,22 +241,33 @@ def weak_lines(text: str, mask: int = -1) -> dict[str, str]:
     return out
 
 
-def judge(text: str | None) -> tuple[str | None, dict[str, str]]:
-    """The kind of unmistakable evidence, and the lines with weak evidence."""
+def judge(text: str | None, boilerplate: set[int] = frozenset()) -> str | None:
+    """The first kind of evidence in the residual text; ``boilerplate`` holds the numbers (from 0) of the lines to subtract.
+
+    A line that is unmistakable evidence by itself is not subtracted, however often it recurs: decided on the line as it stands.
+    """
     if not text:
-        return None, {}
+        return None
+    if boilerplate:
+        text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in boilerplate or evidence(x))
     folded = fold(text)
     mask = _triggered(folded)
-    return _strong(text, folded, mask), weak_lines(text, mask) if mask >> (len(EVIDENCE) + 1) else {}
+    strong = _strong(text, folded, mask)
+    return strong or (min(weak_lines(text, mask).values(), default=None) if mask >> (len(EVIDENCE) + 1) else None)
+
+
+def _plates(counts: DataFrame, sizes: DataFrame, share: float, least_docs: int) -> DataFrame:
+    """The rows of ``counts`` (``n`` documents of ``host``) that are boilerplate, with ``n_docs``. ``sizes`` has a row per host."""
+    return counts.filter(F.col("n") >= least_docs).join(sizes, "host").filter(F.col("n") >= F.lit(share) * F.col("n_docs"))
 
 
 def _recurrent(lines: DataFrame, sizes: DataFrame, share: float, least_docs: int) -> DataFrame:
     """``host``, ``line``, ``n``, ``n_docs`` of the lines (``host``, ``line``: one row per document) that are boilerplate.
 
-    Counting combines map-side, so a host with a third of the documents is no hot spot. ``sizes`` has a row per host.
+    Counting combines map-side, so a host with a third of the documents is no hot spot.
     """
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs)
-    return counts.join(sizes, "host").filter(F.col("n") >= F.lit(share) * F.col("n_docs")).select("host", "line", "n", "n_docs")
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    return _plates(counts, sizes, share, least_docs).select("host", "line", "n", "n_docs")
 
 
 def _host(host: str):
@@ -287,37 +297,47 @@ def _normal_lines(text: str):
     return F.transform(F.split(c, "\n"), lambda x: F.trim(x))
 
 
+def _digests(lines):
+    """Digests of lines, two hashes each: what is counted and joined instead of the lines."""
+    return F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(x, F.lit(1)).alias("h2"))))
+
+
 def find_residue(df: DataFrame, id_col: str, text: str, host: str, share: float = BOILERPLATE_SHARE, least_docs: int = BOILERPLATE_DOCS) -> DataFrame:
     """``id_col`` and ``kind`` of evidence (null: none) of every document, judged by its text without boilerplate.
 
-    Null, empty and blank texts have no evidence. Whole texts are read, once, and never move: what is shuffled are the
-    lines with weak evidence of documents without better, and their counts. A line of a hot host, or one that a third of
-    the documents share, is told apart and broadcast (:func:`rankstead.operators.skew.lookup_skew_safe`). Repeated ids are
-    judged row by row.
+    All lines are counted by host and over all. As subtraction only takes lines away, a document whose whole text holds no
+    evidence has none left; all others are judged anew by their residual text. Null, empty and blank texts have no evidence.
+    Only texts with evidence move, once, by row. A line of a hot host, or one that a third of the documents share, is told
+    apart and broadcast (:func:`rankstead.operators.skew.lookup_skew_safe`). Repeated ids are judged row by row.
     """
     slim = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), _host(host))
     id_kind = slim.schema["_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = pa.array([t if judge(t) else None for t in b.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), texts, b.column(2)], names=["_id", "_text", "host"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [judge(t) for t in b.column(1).to_pylist()]
-            kinds = pa.array([k for k, _ in found], pa.string())
-            lines = pa.array([list(w.items()) for _, w in found], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), kinds, lines], names=["_id", "host", "kind", "lines"])
-
-    judged = cut_lineage(slim.mapInArrow(run, f"_id {id_kind}, host string, kind string, lines map<string, string>").withColumn("_row", F.monotonically_increasing_id()))
-    weak = judged.filter("size(lines) > 0").select("_row", "_id", "host", "kind", F.explode("lines").alias("line", "weak"))
-    sizes = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    own = _recurrent(weak, sizes, share, least_docs).select("host", "line", "n")
+            kinds = [judge(t, set(n or ())) for t, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string())], names=["_id", "kind"])
+
+    seen = cut_lineage(slim.mapInArrow(first, f"_id {id_kind}, _text string, host string").withColumn("_row", F.monotonically_increasing_id()))
+    each = slim.select("host", F.explode(F.array_distinct(_digests(_normal_lines("_text")))).alias("_h")).filter("_h IS NOT NULL")
+    counts = cut_lineage(each.groupBy("host", "_h.h1", "_h.h2").agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut_lineage(seen.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs")))
+    own = _plates(counts, sizes, share, least_docs).select("host", "h1", "h2", "n", F.lit(True).alias("in_host"))
     everywhere = F.lit("*").alias("host")  # the whole collection as one host
-    whole = _recurrent(weak.select(everywhere, "line"), sizes.groupBy(everywhere).agg(F.sum("n_docs").alias("n_docs")), share, least_docs).select("line", "n")
-    open_rows = cut_lineage(weak.filter("kind IS NULL").drop("kind"))
-    left = lookup_skew_safe(open_rows, cut_lineage(own.withColumn("in_host", F.lit(True))), ["host", "line"], "n", "left")
-    left = lookup_skew_safe(cut_lineage(left), cut_lineage(whole.withColumn("in_all", F.lit(True))), ["line"], "n", "left")
-    kept = F.min(F.when(F.coalesce("in_host", "in_all", F.lit(False)) == F.lit(False), F.col("weak")))
-    turned = left.groupBy("_row").agg(F.first("_id").alias("_id"), kept.alias("kind"))
-    sure = judged.filter("kind IS NOT NULL OR size(lines) = 0")
-    return sure.select(F.col("_id").alias(id_col), "kind").unionByName(turned.select(F.col("_id").alias(id_col), "kind"))
+    total = counts.groupBy("h1", "h2").agg(F.sum("n").alias("n")).select(everywhere, "h1", "h2", "n")
+    whole = _plates(total, sizes.groupBy(everywhere).agg(F.sum("n_docs").alias("n_docs")), share, least_docs).select("h1", "h2", "n", F.lit(True).alias("in_all"))
+    open_rows = seen.filter("_text IS NOT NULL")
+    lines = open_rows.select("_row", "host", F.posexplode(_digests(_normal_lines("_text"))).alias("_at", "_h")).select("_row", "host", "_at", "_h.h1", "_h.h2").filter("h1 IS NOT NULL")
+    left = lookup_skew_safe(cut_lineage(lines), cut_lineage(own), ["host", "h1", "h2"], "n", "left")
+    left = lookup_skew_safe(cut_lineage(left), cut_lineage(whole), ["h1", "h2"], "n", "left")
+    plates = left.filter("in_host OR in_all").groupBy("_row").agg(F.collect_list("_at").alias("_plates"))
+    judged = open_rows.join(plates, "_row", "left").select("_id", "_text", "_plates").mapInArrow(again, f"_id {id_kind}, kind string")
+    return seen.filter("_text IS NULL").select(F.col("_id").alias(id_col), F.lit(None).cast("string").alias("kind")).unionByName(judged.select(F.col("_id").alias(id_col), "kind"))
 
 
 def _normal(line: str) -> str:

@@ -79,6 +79,18 @@ def test_recurrent_evidence_is_judged_on_the_raw_line(spark, line):
     assert {i for i, k in got.items() if k} == set(range(60))
 
 
+def test_evidence_of_several_lines_is_judged_on_the_residual_text(spark):
+    """A block of lines that many notes quote is subtracted, though the whole text would match; alone it is a field."""
+    block = "{{\n  panel row\n}}"
+    rows = [(i, f"body {chr(97 + i)}\n{block}\nend", "hot") for i in range(20)] + [(100 + i, f"x{chr(97 + i)}\n{block}", f"h{i}") for i in range(3)]
+    rows += [(200, "one\n{{\n  run title\n}}", "hot"), (201, f"{block}\nPage not found.", "hot"), (202, f"{block}\nsee <first_author>, please", "h9"), (203, "TODO:\nadd the legend", "h8")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r["doc_id"]: r["kind"] for r in residue.find_residue(df, "doc_id", "text", "source").collect()}
+    assert len(got) == len(rows) and {i: k for i, k in got.items() if k} == {201: "error", 202: "field", 203: "prompt"}
+    alone = residue.find_residue(df.filter("doc_id IN (1, 2, 200)"), "doc_id", "text", "source").collect()
+    assert {r["kind"] for r in alone} == {"field"} and len(alone) == 3
+
+
 def wording(parsed, rnd):
     """Some text that a parsed pattern may match, all its alternatives being equally likely."""
     out = ""
